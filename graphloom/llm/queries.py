@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, forest, langid, packing, pii, quality, simhash
+from graphloom.llm import bpe, chat, forest, langid, packing, pii, quality, repeats, simhash
 from graphloom.llm.common import table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     q = F.col("quality")
@@ -63,6 +67,10 @@ FROM placed GROUP BY conv_id
 """
 
 
+def op8_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -72,7 +80,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op2_quality_rules, op3_embedding_near_dedup, op4_pii, op5_language_id, op6_chat_formatting, op9_packing, op10_simhash_near_dedup)
+    own = (op1_bpe, op2_quality_rules, op3_embedding_near_dedup, op4_pii, op5_language_id, op6_chat_formatting, op8_repeat_removal, op9_packing, op10_simhash_near_dedup)
     return {f.__name__: f for f in own}
 
 

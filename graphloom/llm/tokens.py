@@ -41,13 +41,15 @@ class ByteBpe:
         ids = [model["vocab"][m] for m in merges]
         if ids != sorted(ids):
             raise ValueError(f"{path}: ids do not follow the order of merges")
+        #: The narrowest type that holds every id.
+        self.kind = "<u2" if max(*ranks.values(), *special.values(), 0) < 1 << 16 else "<u4"
         self.codec = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str) -> np.ndarray:
         return self.codec.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
-    def decode(self, ids) -> str:
-        return self.codec.decode_bytes(ids).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        return self.codec.decode_bytes(ids.tolist()).decode("utf-8", "replace")
 
 
 @lru_cache(4)
