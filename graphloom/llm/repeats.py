@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint, key_groups
+from graphloom.llm.common import key_groups
 from graphloom.llm.rolling import Bitmap, bitmap_of, prefix_sums, window_hashes
 
 WIDTH = 100
@@ -158,7 +159,7 @@ def _lead(shared: Bitmap, width: int, gram: int):
             if (known := _by_document(doc[sure], docs, first[sure], last[sure] + width)) is not None:
                 n = known.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.int64()), known.column(0), known.column(1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), known.column(2)],
+                    [known.column(1), known.column(0), known.column(1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), known.column(2)],
                     ["h", "doc_id", "hash", "place", "before", "after", "bytes", "runs"],
                 )
             held.clear()
@@ -212,10 +213,17 @@ def repeated(h: np.ndarray, rank: np.ndarray, before: np.ndarray, after: np.ndar
 
 
 def _compare(width: int):
-    def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Groups of equal h, many at a time."""
+    def whole_groups(batches: Iterator[pa.RecordBatch], known: list[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Groups of equal h, many at a time; rows with runs go to known."""
+
+        def leads() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                done = batch.column("runs").is_valid()
+                known.append(batch.filter(done).select(["doc_id", "hash", "runs"]))
+                yield batch.filter(pc.invert(done))
+
         held, n = [], 0
-        for _, t in key_groups(batches, ["h"]):
+        for _, t in key_groups(leads(), ["h"]):
             if t.num_rows > 1:
                 held.append(t)
                 n += t.num_rows
@@ -226,7 +234,10 @@ def _compare(width: int):
             yield pa.concat_tables(held)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches):
+        known: list[pa.RecordBatch] = []
+        for t in whole_groups(batches, known):
+            while known:
+                yield known.pop()
             h, place, before, after = (t.column(c).to_numpy() for c in ("h", "place", "before", "after"))
             docs = list(zip(t.column("doc_id").to_pylist(), t.column("hash").to_numpy().view(np.uint64).tolist(), strict=True))
             distinct = sorted(set(docs), key=_order)
@@ -243,6 +254,7 @@ def _compare(width: int):
             start = place[row] - far
             if (found := _by_document(doc[row], distinct, start, start + width)) is not None:
                 yield found
+        yield from known
 
     return compare
 
@@ -276,9 +288,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seen = rows.mapInArrow(_count(width, gram), "h long, n int").groupBy("h").agg(F.sum("n").alias("n"))
     shared = bitmap_of(seen.where("n > 1"), "h", bits)
-    leads = checkpoint(rows.mapInArrow(_lead(shared, width, gram), _LEAD))
-    meet = leads.where("h is not null").drop("runs").repartition("h").sortWithinPartitions("h")
-    found = meet.mapInArrow(_compare(width), _SEEN).union(leads.where("h is null").select("doc_id", "hash", "runs"))
+    leads = rows.mapInArrow(_lead(shared, width, gram), _LEAD)
+    found = leads.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(width), _SEEN)
     runs = found.groupBy("doc_id", "hash").agg(F.collect_list("runs").alias("runs")).withColumnRenamed("doc_id", "of")
     joined = rows.join(runs, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("hash")), "left")
     return joined.select("doc_id", "text", "runs").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
