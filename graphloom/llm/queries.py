@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, chat, forest, langid, packing, pii, quality, repeats, simhash
+from graphloom.llm import bpe, chat, forest, langid, lines, packing, pii, quality, repeats, simhash
 from graphloom.llm.common import table
 
 
@@ -67,6 +67,10 @@ FROM placed GROUP BY conv_id
 """
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.count_removed(table(spark, sf_dir, "documents"))
+
+
 def op8_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -80,7 +84,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_bpe, op2_quality_rules, op3_embedding_near_dedup, op4_pii, op5_language_id, op6_chat_formatting, op8_repeat_removal, op9_packing, op10_simhash_near_dedup)
+    own = (op1_bpe, op2_quality_rules, op3_embedding_near_dedup, op4_pii, op5_language_id, op6_chat_formatting, op7_line_dedup, op8_repeat_removal, op9_packing, op10_simhash_near_dedup)
     return {f.__name__: f for f in own}
 
 
