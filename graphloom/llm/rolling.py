@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -46,14 +47,20 @@ class Bitmap:
     def __init__(self, bits: int):
         self.bits, self.words = bits, np.zeros(bits >> 6, np.uint64)
 
-    def __contains__(self, h: int) -> bool:
-        return bool(self.has(np.array([h], np.uint64))[0])
+    def __reduce__(self):
+        return _unpacked, (self.bits, zlib.compress(self.words.tobytes(), 1))
 
     def has(self, h: np.ndarray) -> np.ndarray:
         at = h & np.uint64(self.bits - 1)
         return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
+def _unpacked(bits: int, data: bytes) -> Bitmap:
+    out = Bitmap.__new__(Bitmap)
+    out.bits, out.words = bits, np.frombuffer(zlib.decompress(data), np.uint64)
+    return out
+
+
 def bitmap_of(rows: DataFrame, column: str, bits: int) -> Bitmap:
     """Of the hashes in a long column. The driver gets bits / 64 words at most, however many rows there are."""
     at = F.col(column).bitwiseAND(F.lit(bits - 1))
