@@ -2,9 +2,9 @@
 
 A line's tokens are its distinct shingles of five words. Two lines are alike if the Jaccard similarity of their token
 sets is at least 4/5. Of sets that alike, any global order of tokens makes the first fifth (and one) of either share a
-token, so lines meet by the tokens of their prefixes. Prefixes go by hash first; lines that meet a token of more than
-FREQUENT lines there are ordered anew by rarity, counted over all tokens of all such lines, so that what is common to many
-lines comes last. Pairs that pass the length and positional filters are verified, and the later line goes.
+token, so lines meet by the tokens of their prefixes. Shingles that begin with a long, hence rare, word come first; lines
+that meet a token of more than FREQUENT lines in their prefixes are ordered anew by rarity, counted over all tokens of all
+such lines, so that what is common to many lines comes last. Pairs that pass the length and positional filters are verified, and the later line goes.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from graphloom.llm.common import checkpoint
 SHINGLE = 5
 #: Lines in which a token of a prefix is found, beyond which its lines are ordered by rarity, or compared with the first of them before others.
 FREQUENT = 64
+#: Characters of a word that counts as short.
+SHORT = 4
 #: Rows of two hashes that may be broadcast (some 100 MB); beyond, the join is by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -25,10 +27,50 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
 
 
-def _tokens(hashes: Column) -> Column:
-    """Distinct shingles, sorted. hashes: of the words."""
-    shingle = F.transform(F.slice(hashes, 1, F.size(hashes) - (SHINGLE - 1)), lambda x, i: F.xxhash64(x, *(F.get(hashes, i + k) for k in range(1, SHINGLE))))
-    return F.sort_array(F.array_distinct(shingle))
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _hashes(line: Column) -> Column:
+    """Of the words; those of long words, which are rarer, come before all others."""
+    return F.transform(_words(line), lambda w: F.when(F.length(w) <= SHORT, F.shiftrightunsigned(F.xxhash64(w), 1)).otherwise(F.xxhash64(w).bitwiseOR(F.lit(-(1 << 63)))))
+
+
+def _high(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(-(1 << 32)))
+
+
+def _shingle(h: Column, x: Column, i: Column) -> Column:
+    """A token: half from its first word, by which tokens are ordered, and half from all its words."""
+    return _high(x).bitwiseOR(F.xxhash64(x, *(F.get(h, i + k) for k in range(1, SHINGLE))).bitwiseAND(F.lit((1 << 32) - 1)))
+
+
+def _starts(h: Column) -> Column:
+    """The hashes at which a shingle begins."""
+    return F.slice(h, 1, F.greatest(F.size(h) - (SHINGLE - 1), F.lit(0)))
+
+
+def _tokens(h: Column) -> Column:
+    """Distinct shingles in order; none of fewer than five words. h: the words' hashes."""
+    return F.sort_array(F.array_distinct(F.transform(_starts(h), lambda x, i: _shingle(h, x, i))))
+
+
+def _prefix_tokens(h: Column) -> Column:
+    """The prefix of _tokens and some more: all shingles that begin with the first words in it.
+
+    As many distinct first words as the prefix has tokens (or all) stand for as many tokens at least, so only their
+    shingles need to be made.
+    """
+
+    def made(starts: Column, last: Column) -> Column:
+        return F.array_distinct(F.array_compact(F.transform(starts, lambda x, i: F.when(_high(x) <= last, _shingle(h, x, i)))))
+
+    def of(starts: Column) -> Column:
+        n = _prefix(F.size(starts))
+        return _let(F.sort_array(F.array_distinct(starts)), lambda words: _let(_high(F.get(words, F.least(n, F.size(words)) - 1)), lambda last: made(starts, last)))
+
+    return _let(_starts(h), of)
 
 
 def _prefix(n: Column) -> Column:
@@ -41,11 +83,10 @@ def _joinable(df: DataFrame) -> DataFrame:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """doc_id, th, at (the line's place in the order of all lines), line, l1 and l2 (its hashes) of the lines with five words or more."""
+    """l1 and l2 (hashes of a line), at (its place in the order of all lines) and line, of all lines that can have five words."""
     each = rows.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    each = each.where(F.size(_words(F.col("line"))) >= SHINGLE)
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "ln").alias("at")
-    return each.select(F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"), at, "line")
+    return each.where(F.length("line") >= 2 * SHINGLE - 1).select(F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"), at, "line")
 
 
 def _fits(a: str, b: str) -> Column:
@@ -60,10 +101,8 @@ def _pair(a: Column, b: Column) -> list[Column]:
 
 
 def _met(entries: DataFrame) -> DataFrame:
-    """Entries (tok, l, doc, n, i) whose token others have too, with the number of them and the first."""
-    w = Window.partitionBy("tok")
-    met = entries.withColumns({"many": F.count("*").over(w), "first": F.min(F.struct("doc", "l", "n", "i")).over(w)})
-    return met.where("many > 1")
+    """Entries (tok, l) whose token other lines have too, with the number of them."""
+    return entries.withColumn("many", F.count("*").over(Window.partitionBy("tok"))).where("many > 1")
 
 
 def _all_pairs(met: DataFrame) -> DataFrame:
@@ -71,11 +110,19 @@ def _all_pairs(met: DataFrame) -> DataFrame:
     return a.join(b, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.l") < F.col("y.l")) & _fits("x", "y")).select(F.col("x.l").alias("a"), F.col("y.l").alias("b"))
 
 
+def _placed(met: DataFrame, known: DataFrame) -> DataFrame:
+    """met with n, the size of the line's token set, and i, the token's place in its prefix from 0."""
+    return met.join(known.select("l", "tokens"), "l").select("tok", "l", "many", F.size("tokens").alias("n"), (F.array_position("tokens", F.col("tok")) - 1).alias("i"))
+
+
 def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """(l, at) of the later lines of pairs that are alike."""
+    pairs = checkpoint(pairs.distinct())
+    some = _joinable(checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("l")).distinct()))
+    known = known.join(some, "l", "left_semi")
     a = known.select(F.col("l").alias("a"), F.col("at").alias("at_a"), F.col("tokens").alias("t_a"))
     b = known.select(F.col("l").alias("b"), F.col("at").alias("at_b"), F.col("tokens").alias("t_b"))
-    both = pairs.distinct().join(a, "a").join(b, "b")
+    both = pairs.join(a, "a").join(b, "b")
     shared = F.size(F.array_intersect("t_a", "t_b"))
     alike = both.where((9 * shared >= 4 * (F.size("t_a") + F.size("t_b"))) & (F.col("at_a") != F.col("at_b")))
     later = F.when(F.col("at_a") > F.col("at_b"), F.struct(F.col("a").alias("l"), F.col("at_a").alias("at"))).otherwise(F.struct(F.col("b").alias("l"), F.col("at_b").alias("at")))
@@ -90,25 +137,23 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     lines = _lines(rows)
-    copies = lines.groupBy("l1", "l2").agg(F.min("at").alias("first"), F.min("at").alias("least"), F.max("at").alias("most"))
-    copies = checkpoint(copies.where("least <> most").select("l1", "l2", "first"))
-    placed = lines.join(_joinable(copies), ["l1", "l2"], "left")
-    again = lines.select("l1", "l2", "at").join(_joinable(copies), ["l1", "l2"]).where("at <> first").select("at")
-    hashes = F.transform(_words(F.col("line")), lambda x: F.xxhash64(x))
-    firsts = placed.where("first is null or at = first").select(F.col("l1").alias("l"), F.col("at.doc_id").alias("doc"), hashes.alias("h"))
-    firsts = firsts.select("l", "doc", _tokens(F.col("h")).alias("tokens"))
-    entries = firsts.select("l", "doc", F.size("tokens").alias("n"), F.posexplode(F.slice("tokens", 1, _prefix(F.size("tokens")))).alias("i", "tok"))
+    base = checkpoint(lines.select("l1", "l2", "at", _let(_hashes(F.col("line")), _prefix_tokens).alias("prefix"))).where(F.size("prefix") > 0)
+    twice = _joinable(checkpoint(base.groupBy("l1", "l2").count().where("count > 1").select("l1", "l2")))
+    copies = checkpoint(base.join(twice, ["l1", "l2"]).groupBy("l1", "l2").agg(F.min("at").alias("first")))
+    with_copies = _joinable(copies)
+    again = base.select("l1", "l2", "at").join(with_copies, ["l1", "l2"]).where(F.col("at") != F.col("first")).select("at")
+    firsts = base.join(with_copies, ["l1", "l2"], "left").where("first is null or at = first")
+    entries = firsts.select(F.col("l1").alias("l"), F.explode("prefix").alias("tok"))
     met = checkpoint(_met(entries))
     wanted = _joinable(checkpoint(met.select("l").distinct()))
-    again_lines = lines.join(wanted, F.col("l1") == F.col("l"), "left_semi").join(_joinable(copies), ["l1", "l2"], "left").where("first is null or at = first")
-    known = again_lines.select(F.col("l1").alias("l"), "at", hashes.alias("h")).select("l", "at", _tokens(F.col("h")).alias("tokens"))
-    known = checkpoint(known.repartition("l"))
-    rare = met.where(F.col("many") <= FREQUENT)
+    found = lines.join(wanted, F.col("l1") == F.col("l"), "left_semi").join(with_copies, ["l1", "l2"], "left").where("first is null or at = first")
+    known = checkpoint(found.select(F.col("l1").alias("l"), "at", _let(_hashes(F.col("line")), _tokens).alias("tokens")))
     often = met.where(F.col("many") > FREQUENT).select("l").distinct()
-    by_rarity = _by_rarity(known.join(often, "l"))
-    met2 = checkpoint(_met(by_rarity))
+    rare = _placed(met.where(F.col("many") <= FREQUENT), known)
+    met2 = checkpoint(_met(_by_rarity(known.join(_joinable(checkpoint(often)), "l"))))
+    first = F.min(F.struct("doc", "l", "n", "i")).over(Window.partitionBy("tok"))
     small, large = met2.where(F.col("many") <= FREQUENT), met2.where(F.col("many") > FREQUENT)
-    leaders = large.alias("x").where((F.col("x.l") != F.col("x.first.l"))).select("x.l", "x.n", "x.i", "x.first").select(*_pair(F.col("l"), F.col("first.l")))
+    leaders = large.withColumn("first", first).where(F.col("l") != F.col("first.l")).select(*_pair(F.col("l"), F.col("first.l")))
     gone = checkpoint(_verified(_all_pairs(rare).union(_all_pairs(small)).union(leaders), known))
     rest = large.join(gone.select("l").distinct(), "l", "left_anti").alias("x")
     open_pairs = rest.join(large.alias("y"), (F.col("x.tok") == F.col("y.tok")) & (F.col("x.l") != F.col("y.l")) & _fits("x", "y")).select(*_pair(F.col("x.l"), F.col("y.l")))
