@@ -26,7 +26,7 @@ GRAM = 20
 #: Bits of the bitmap of repeated owners (8 MB). When it fills up, more owners are compared in vain; no result changes.
 BITS = 1 << 26
 #: Bytes hashed at once, and the most of one document in that; owners held until equal ones are sorted out.
-CHUNK, SEGMENT, HELD = 1 << 21, 1 << 20, 150_000
+CHUNK, SEGMENT, HELD = 1 << 20, 1 << 19, 100_000
 _SEEN = "doc_id long, hash long, runs binary"
 
 
@@ -227,7 +227,7 @@ def _compare(width: int):
             if t.num_rows > 1:
                 held.append(t)
                 n += t.num_rows
-                if n > HELD // 4:
+                if n > HELD // 10:
                     yield pa.concat_tables(held)
                     held, n = [], 0
         if held:

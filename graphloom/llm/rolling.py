@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,18 +13,22 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(64).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(8)
+_tables: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, of: int) -> np.ndarray:
-    out = np.full(n, of, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """The first n powers; one table of each base is kept, as long as the longest asked for."""
+    if len(_tables.get(of, ())) < n:
+        out = np.full(1 << max(12, (n - 1).bit_length()), of, np.uint64)
+        out[0] = 1
+        _tables[of] = np.cumprod(out, dtype=np.uint64)
+    return _tables[of][:n]
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Sums of the hashed bytes times growing powers, modulo 2 ** 64; one more than there are bytes."""
-    size = 1 << max(10, (len(data) + 1).bit_length())
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(size, _BASE)[: len(data)], out=out[1:])
+    np.cumsum(_BYTE[data] * _powers(len(data), _BASE), out=out[1:])
     return out
 
 
@@ -37,8 +40,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def window_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of the bytes in each [start, end), the same wherever they stand."""
-    size = 1 << max(10, len(sums).bit_length())
-    return mix((sums[ends] - sums[starts]) * _powers(size, _INVERSE)[starts])
+    return mix((sums[ends] - sums[starts]) * _powers(len(sums), _INVERSE)[starts])
 
 
 class Bitmap:
