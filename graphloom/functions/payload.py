@@ -87,3 +87,25 @@ def boundary(attributes: ColumnLike) -> Column:
 
 def unresolved(attributes: ColumnLike) -> Column:
     return attr_enabled(attributes, "unresolved") & ~attr_enabled(attributes, "internal_candidate")
+
+
+def parsed(payload: ColumnLike) -> Column:
+    """The payload read once: a map from key to kind (of JSON value) and text, for many tests of one row."""
+    each = F.from_json(_c(payload), "map<string,variant>")
+    return F.transform_values(each, lambda k, v: F.struct(F.schema_of_variant(v).alias("kind"), v.cast("string").alias("text")))
+
+
+def with_parsed(payload: ColumnLike, body) -> Column:
+    """body(map), the payload being read once."""
+    return F.get(F.transform(F.array(parsed(payload)), body), F.lit(0))
+
+
+def map_truthy(m: Column, key: str) -> Column:
+    """truthy() of a key of parsed()."""
+    kind, text = m[key]["kind"], m[key]["text"]
+    number = ~F.coalesce(text.try_cast("double") == 0, F.lit(False))
+    return F.coalesce(F.when(kind == "STRING", text != "").when(kind == "BOOLEAN", text == "true").otherwise(~text.isin("[]", "{}") & number), F.lit(False))
+
+
+def map_length(m: Column, key: str) -> Column:
+    return F.when(m[key]["kind"] == "STRING", F.length(m[key]["text"])).otherwise(F.json_array_length(m[key]["text"]))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import payload as p
 from graphloom.functions.names import SPECIAL, is_c_file, is_entry
-from graphloom.functions.payload import attr_enabled, truthy
+from graphloom.functions.payload import attr_enabled
 
 #: Fixed values: (key, weight, name of the reason, how its argument is made) for C and C++ files.
 C_RULES = (
@@ -67,43 +65,45 @@ RULES = (
 )
 
 
-def _of_type(meta: str, key: str, kind: str) -> Column:
-    items = F.from_json(p.value(meta, key), "array<struct<type:string>>")
+def _of_type(m: Column, key: str, kind: str) -> Column:
+    items = F.from_json(m[key]["text"], "array<struct<type:string>>")
     return F.coalesce(F.size(F.filter(items, lambda x: x["type"] == kind)), F.lit(0))
 
 
-def _rule(meta: str, key: str, name: str, argument: str) -> tuple[Column, Column]:
+def _rule(m: Column, key: str, name: str, argument: str) -> tuple[Column, Column]:
     """(whether it holds, its reason)."""
     key, _, kind = key.partition(":")
     if argument in ("typed", "any"):
-        n = _of_type(meta, key, kind)
-        return truthy(meta, key) & (n > 0), F.concat(F.lit(f"{name}("), n.cast("string"), F.lit(")")) if argument == "typed" else F.lit(name)
-    made = {"count": p.length(meta, key).cast("string"), "value": p.value(meta, key), "list": F.array_join(p.strings(meta, key), ",")}.get(argument)
-    return truthy(meta, key), F.lit(name) if made is None else F.concat(F.lit(f"{name}("), made, F.lit(")"))
-
-
-def has_access_control(meta: str, guards: Column) -> Column:
-    return (guards > 0) | truthy(meta, "modifiers") | truthy(meta, "role_guards") | truthy(meta, "access_controls")
+        n = _of_type(m, key, kind)
+        return p.map_truthy(m, key) & (n > 0), F.concat(F.lit(f"{name}("), n.cast("string"), F.lit(")")) if argument == "typed" else F.lit(name)
+    text = m[key]["text"]
+    made = {"count": p.map_length(m, key).cast("string"), "value": text, "list": F.array_join(F.from_json(text, "array<string>"), ",")}.get(argument)
+    return p.map_truthy(m, key), F.lit(name) if made is None else F.concat(F.lit(f"{name}("), made, F.lit(")"))
 
 
 def scored(functions: DataFrame, meta: str = "metadata") -> DataFrame:
     """functions with score and reasons. They need visibility, file, metadata and the counts writes, ext_calls and guards."""
     entry_writes = is_entry() & (F.col("writes") > 0)
-    open_writes = entry_writes & ~has_access_control(meta, F.col("guards"))
     c_file = is_c_file("file")
-    rows = [
-        (entry_writes, 3, F.concat(F.lit("entry+writes("), F.col("writes").cast("string"), F.lit(")"))),
-        (F.col("ext_calls") > 0, 3, F.concat(F.lit("ext_calls("), F.col("ext_calls").cast("string"), F.lit(")"))),
-    ]
-    for table, here in ((C_RULES, c_file), (RULES, ~c_file)):
-        for key, weight, name, argument in table:
-            holds, reason = _rule(meta, key, name, argument)
-            rows.append((here & holds, weight, reason))
-    mutable = ~truthy(meta, "view") & ~truthy(meta, "pure")
-    rows.append((open_writes & (c_file | mutable), 2, F.lit("no_access_control")))
-    score = reduce(lambda a, b: a + b, (F.when(holds, weight).otherwise(0) for holds, weight, _ in rows))
-    reasons = F.array_compact(F.array(*(F.when(holds, reason) for holds, _, reason in rows)))
-    return functions.withColumns({"score": score, "reasons": reasons})
+
+    def judge(m: Column) -> Column:
+        rows = [
+            (entry_writes, 3, F.concat(F.lit("entry+writes("), F.col("writes").cast("string"), F.lit(")"))),
+            (F.col("ext_calls") > 0, 3, F.concat(F.lit("ext_calls("), F.col("ext_calls").cast("string"), F.lit(")"))),
+        ]
+        for table, here in ((C_RULES, c_file), (RULES, ~c_file)):
+            for key, weight, name, argument in table:
+                holds, reason = _rule(m, key, name, argument)
+                rows.append((here & holds, weight, reason))
+        guarded = (F.col("guards") > 0) | p.map_truthy(m, "modifiers") | p.map_truthy(m, "role_guards") | p.map_truthy(m, "access_controls")
+        mutable = ~p.map_truthy(m, "view") & ~p.map_truthy(m, "pure")
+        rows.append((entry_writes & ~guarded & (c_file | mutable), 2, F.lit("no_access_control")))
+        found = F.array(*(F.when(holds, F.struct(F.lit(weight).alias("weight"), reason.alias("reason"))) for holds, weight, reason in rows))
+        return F.array_compact(found)
+
+    out = functions.withColumn("__found", p.with_parsed(meta, judge))
+    score = F.aggregate("__found", F.lit(0), lambda a, x: a + x["weight"])
+    return out.withColumns({"score": score, "reasons": F.transform("__found", lambda x: x["reason"])}).drop("__found")
 
 
 def with_counts(nodes: DataFrame, edges: DataFrame, cpi: bool = False) -> DataFrame:

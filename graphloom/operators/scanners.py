@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import payload as p
@@ -59,11 +59,18 @@ def unsafe_keys(category: str = "all") -> dict[str, tuple[str, str]]:
 
 def findings(nodes: DataFrame, keys: dict[str, tuple[str, str]]) -> DataFrame:
     """One row for each function and key with a true value: key, category, id, label, file, line_start, visibility, details (JSON), language, source_context."""
-    present = F.array_compact(F.array(*(F.when(p.truthy("metadata", k), F.lit(k)) for k in keys))) if keys else F.array().cast("array<string>")
-    rows = nodes.where("type = 'function'").withColumn("key", F.explode(present))
-    category = F.create_map(*(F.lit(x) for k, (name, _) in keys.items() for x in (k, name))) if keys else F.create_map()
-    details = F.get_json_object("metadata", F.concat(F.lit("$."), F.col("key")))
-    return rows.select("key", (category[F.col("key")] if keys else F.lit("")).alias("category"), "id", "label", "file", "line_start", "visibility", details.alias("details"), F.coalesce(p.value("metadata", "language"), F.lit("")).alias("language"), p.source_context("metadata").alias("source_context"), "metadata")
+    functions = nodes.where("type = 'function'")
+    rows = functions.withColumn("f", F.explode(_found(keys)))
+    category = F.element_at(F.create_map(*(F.lit(x) for k, (name, _) in keys.items() for x in (k, name))), F.col("f.key")) if keys else F.lit("")
+    return rows.select("f.key", category.alias("category"), "id", "label", "file", "line_start", "visibility", F.call_function("get_json_object", "metadata", F.concat(F.lit("$."), F.col("f.key"))).alias("details"), F.coalesce(p.value("metadata", "language"), F.lit("")).alias("language"), p.source_context("metadata").alias("source_context"), "metadata")
+
+
+def _found(keys) -> Column:
+    """The keys with a true value."""
+    empty = F.array().cast("array<struct<key:string>>")
+    if not keys:
+        return empty
+    return p.with_parsed("metadata", lambda m: F.coalesce(F.array_compact(F.array(*(F.when(p.map_truthy(m, k), F.struct(F.lit(k).alias("key"))) for k in keys))), empty))
 
 
 def scan(nodes: DataFrame, keys: dict[str, tuple[str, str]], max_per_category: int = 25) -> DataFrame:
@@ -79,5 +86,4 @@ def foreign_calls(nodes: DataFrame) -> DataFrame:
 
 def tallies(nodes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(key, functions): how many functions have a true value under each key."""
-    present = F.array_compact(F.array(*(F.when(p.truthy("metadata", k), F.lit(k)) for k in keys)))
-    return nodes.where("type = 'function'").select(F.explode(present).alias("key")).groupBy("key").agg(F.count("*").alias("functions"))
+    return nodes.where("type = 'function'").select(F.explode(_found(keys)).alias("f")).groupBy("f.key").agg(F.count("*").alias("functions"))

@@ -43,7 +43,7 @@ def closure(starts: DataFrame, edges: DataFrame, max_hops: int = 0) -> DataFrame
 
     starts: a column of ids, read as `start`. Ids without a node row count. max_hops 0: without bound.
     """
-    step = edges.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct()
+    step = cut(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct())
     new = cut(starts.toDF("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("distance")))
     levels, hops = [new], 0
     seen = new
