@@ -162,10 +162,11 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def _by_rarity(known: DataFrame) -> DataFrame:
-    """Entries of the prefixes by the number of these lines that have a token."""
-    each = known.select("l", F.col("at.doc_id").alias("doc"), F.explode("tokens").alias("tok"))
-    counts = each.groupBy("tok").agg(F.count("*").alias("df"))
-    ranked = each.join(counts, "tok").groupBy("l", "doc").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t"))
+    """Entries of the prefixes, tokens of more than FREQUENT of these lines coming last, by the number of lines."""
+    counts = known.select(F.explode("tokens").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") > FREQUENT)
+    counts = _joinable(checkpoint(counts))
+    each = known.select("l", F.col("at.doc_id").alias("doc"), "tokens").repartition("l").select("l", "doc", F.explode("tokens").alias("tok"))
+    ranked = each.join(counts, "tok", "left").groupBy("l", "doc").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("t"))
     return ranked.select("l", "doc", F.size("t").alias("n"), F.posexplode(F.slice("t", 1, _prefix(F.size("t")))).alias("i", "e")).select("l", "doc", "n", "i", F.col("e.tok").alias("tok"))
 
 
