@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 #: Rows in a batch handed to Python. Texts differ in length by four orders of magnitude, so batches stay short.
 BATCH_ROWS = 500
@@ -27,6 +28,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Holds a table that is read more than once on the executors' disks; what is lost with one is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def key_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
     """Groups of batches that are sorted by integer keys; one group is held at a time."""
     held: list[pa.RecordBatch] = []

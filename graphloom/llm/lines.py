@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint
+from graphloom.llm.common import checkpoint, keep
 
 SHINGLE = 5
 #: Lines in which a token of a prefix is found, beyond which its lines are ordered by rarity, or compared with the first of them before others.
@@ -105,20 +105,29 @@ def _met(entries: DataFrame) -> DataFrame:
     return entries.withColumn("many", F.count("*").over(Window.partitionBy("tok"))).where("many > 1")
 
 
-def _all_pairs(met: DataFrame) -> DataFrame:
-    a, b = met.alias("x"), met.alias("y")
-    return a.join(b, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.l") < F.col("y.l")) & _fits("x", "y")).select(F.col("x.l").alias("a"), F.col("y.l").alias("b"))
+def _placed(met: DataFrame, known: DataFrame) -> DataFrame:
+    """met with doc, n (the size of the line's token set) and i (the token's place in its prefix, from 0)."""
+    return met.join(known, "l").select("tok", "l", F.col("at.doc_id").alias("doc"), F.size("tokens").alias("n"), (F.array_position("tokens", F.col("tok")) - 1).cast("int").alias("i"))
 
 
-def _placed(met: DataFrame, known: DataFrame) -> DataFrame:
-    """met with n, the size of the line's token set, and i, the token's place in its prefix from 0."""
-    return met.join(known.select("l", "tokens"), "l").select("tok", "l", "many", F.size("tokens").alias("n"), (F.array_position("tokens", F.col("tok")) - 1).alias("i"))
+def _with_first(placed: DataFrame) -> DataFrame:
+    """Pairs of each line and the first line that has one of its tokens: as many as there are entries at most."""
+    first = placed.groupBy("tok").agg(F.min(F.struct("doc", "l", "n", "i")).alias("y"))
+    both = placed.alias("x").join(first.select(F.col("tok").alias("t"), "y"), F.col("tok") == F.col("t"))
+    return both.where((F.col("x.l") != F.col("y.l")) & _fits("x", "y")).select(*_pair(F.col("x.l"), F.col("y.l")))
+
+
+def _with_others(rest: DataFrame, placed: DataFrame) -> DataFrame:
+    """Pairs of each of the rest and all lines that have one of its tokens, unless in a later document."""
+    x, y = rest.alias("x"), placed.alias("y")
+    order = (F.col("y.doc") <= F.col("x.doc")) | F.col("x.doc").isNull() | F.col("y.doc").isNull()
+    return x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.l") != F.col("y.l")) & order & _fits("x", "y")).select(*_pair(F.col("x.l"), F.col("y.l")))
 
 
 def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """(l, at) of the later lines of pairs that are alike."""
     pairs = checkpoint(pairs.distinct())
-    some = _joinable(checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("l")).distinct()))
+    some = _joinable(keep(pairs.select(F.explode(F.array("a", "b")).alias("l")).distinct()))
     known = known.join(some, "l", "left_semi")
     a = known.select(F.col("l").alias("a"), F.col("at").alias("at_a"), F.col("tokens").alias("t_a"))
     b = known.select(F.col("l").alias("b"), F.col("at").alias("at_b"), F.col("tokens").alias("t_b"))
@@ -138,26 +147,22 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     lines = _lines(rows)
     base = checkpoint(lines.select("l1", "l2", "at", _let(_hashes(F.col("line")), _prefix_tokens).alias("prefix"))).where(F.size("prefix") > 0)
-    twice = _joinable(checkpoint(base.groupBy("l1", "l2").count().where("count > 1").select("l1", "l2")))
-    copies = checkpoint(base.join(twice, ["l1", "l2"]).groupBy("l1", "l2").agg(F.min("at").alias("first")))
+    twice = _joinable(keep(base.groupBy("l1", "l2").count().where("count > 1").select("l1", "l2")))
+    copies = keep(base.join(twice, ["l1", "l2"]).groupBy("l1", "l2").agg(F.min("at").alias("first")))
     with_copies = _joinable(copies)
     again = base.select("l1", "l2", "at").join(with_copies, ["l1", "l2"]).where(F.col("at") != F.col("first")).select("at")
     firsts = base.join(with_copies, ["l1", "l2"], "left").where("first is null or at = first")
     entries = firsts.select(F.col("l1").alias("l"), F.explode("prefix").alias("tok"))
     met = checkpoint(_met(entries))
-    wanted = _joinable(checkpoint(met.select("l").distinct()))
+    wanted = _joinable(keep(met.select("l").distinct()))
     found = lines.join(wanted, F.col("l1") == F.col("l"), "left_semi").join(with_copies, ["l1", "l2"], "left").where("first is null or at = first")
     known = checkpoint(found.select(F.col("l1").alias("l"), "at", _let(_hashes(F.col("line")), _tokens).alias("tokens")))
-    often = met.where(F.col("many") > FREQUENT).select("l").distinct()
-    rare = _placed(met.where(F.col("many") <= FREQUENT), known)
-    met2 = checkpoint(_met(_by_rarity(known.join(_joinable(checkpoint(often)), "l"))))
-    first = F.min(F.struct("doc", "l", "n", "i")).over(Window.partitionBy("tok"))
-    small, large = met2.where(F.col("many") <= FREQUENT), met2.where(F.col("many") > FREQUENT)
-    leaders = large.withColumn("first", first).where(F.col("l") != F.col("first.l")).select(*_pair(F.col("l"), F.col("first.l")))
-    gone = checkpoint(_verified(_all_pairs(rare).union(_all_pairs(small)).union(leaders), known))
-    rest = large.join(gone.select("l").distinct(), "l", "left_anti").alias("x")
-    open_pairs = rest.join(large.alias("y"), (F.col("x.tok") == F.col("y.tok")) & (F.col("x.l") != F.col("y.l")) & _fits("x", "y")).select(*_pair(F.col("x.l"), F.col("y.l")))
-    near = gone.union(_verified(open_pairs, known)).select("at")
+    often = keep(met.where(F.col("many") > FREQUENT).select("l").distinct())
+    by_rarity = _met(_by_rarity(known.join(_joinable(often), "l"))).select("tok", "l", "doc", "n", "i")
+    placed = checkpoint(_placed(met.where(F.col("many") <= FREQUENT), known).union(by_rarity))
+    gone = checkpoint(_verified(_with_first(placed), known))
+    rest = placed.join(_joinable(gone.select("l").distinct()), "l", "left_anti")
+    near = gone.union(_verified(_with_others(rest, placed), known)).select("at")
     return near.union(again).distinct().select("at.doc_id", "at.th", "at.ln")
 
 
