@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -33,6 +34,12 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more; it learns of them by garbage collection only."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def key_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
     """Groups of batches that are sorted by integer keys; one group is held at a time."""
     held: list[pa.RecordBatch] = []

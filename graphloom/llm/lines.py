@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint, keep
+from graphloom.llm.common import checkpoint, keep, release
 
 SHINGLE = 5
 #: Lines in which a token of a prefix is found, beyond which its lines are ordered by rarity, or compared with the first of them before others.
@@ -138,6 +138,17 @@ def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return alike.select(later.alias("x")).select("x.*").distinct()
 
 
+def _copies_and_met(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines found more than once with their first places, the places of their copies, and the tokens by which first lines meet."""
+    base = checkpoint(lines.select("l1", "l2", "at", _let(_hashes(F.col("line")), _prefix_tokens).alias("prefix"))).where(F.size("prefix") > 0)
+    twice = _joinable(keep(base.groupBy("l1", "l2").count().where("count > 1").select("l1", "l2")))
+    copies = checkpoint(base.join(twice, ["l1", "l2"]).groupBy("l1", "l2").agg(F.min("at").alias("first")))
+    again = checkpoint(base.select("l1", "l2", "at").join(_joinable(copies), ["l1", "l2"]).where(F.col("at") != F.col("first")).select("at"))
+    firsts = base.join(_joinable(copies), ["l1", "l2"], "left").where("first is null or at = first")
+    entries = firsts.select(F.col("l1").alias("l"), F.explode("prefix").alias("tok"))
+    return copies, again, checkpoint(_met(entries))
+
+
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, ln): the lines that go, by document (its id and the hash of its text) and number from 0.
 
@@ -146,21 +157,19 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     lines = _lines(rows)
-    base = checkpoint(lines.select("l1", "l2", "at", _let(_hashes(F.col("line")), _prefix_tokens).alias("prefix"))).where(F.size("prefix") > 0)
-    twice = _joinable(keep(base.groupBy("l1", "l2").count().where("count > 1").select("l1", "l2")))
-    copies = keep(base.join(twice, ["l1", "l2"]).groupBy("l1", "l2").agg(F.min("at").alias("first")))
+    copies, again, met = _copies_and_met(lines)
     with_copies = _joinable(copies)
-    again = base.select("l1", "l2", "at").join(with_copies, ["l1", "l2"]).where(F.col("at") != F.col("first")).select("at")
-    firsts = base.join(with_copies, ["l1", "l2"], "left").where("first is null or at = first")
-    entries = firsts.select(F.col("l1").alias("l"), F.explode("prefix").alias("tok"))
-    met = checkpoint(_met(entries))
+    release(docs.sparkSession)
     wanted = _joinable(keep(met.select("l").distinct()))
+    hashes = _hashes(F.col("line"))
     found = lines.join(wanted, F.col("l1") == F.col("l"), "left_semi").join(with_copies, ["l1", "l2"], "left").where("first is null or at = first")
-    known = checkpoint(found.select(F.col("l1").alias("l"), "at", _let(_hashes(F.col("line")), _tokens).alias("tokens")))
+    known = checkpoint(found.select(F.col("l1").alias("l"), "at", _let(hashes, _tokens).alias("tokens")))
+    release(docs.sparkSession)
     often = keep(met.where(F.col("many") > FREQUENT).select("l").distinct())
     by_rarity = _met(_by_rarity(known.join(_joinable(often), "l"))).select("tok", "l", "doc", "n", "i")
     placed = checkpoint(_placed(met.where(F.col("many") <= FREQUENT), known).union(by_rarity))
     gone = checkpoint(_verified(_with_first(placed), known))
+    release(docs.sparkSession)
     rest = placed.join(_joinable(gone.select("l").distinct()), "l", "left_anti")
     near = gone.union(_verified(_with_others(rest, placed), known)).select("at")
     return near.union(again).distinct().select("at.doc_id", "at.th", "at.ln")
