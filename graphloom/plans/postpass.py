@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import payload as p
 from graphloom.functions.names import bare_id, contract_key, short_variable
-from graphloom.operators.traverse import all_callers_guarded, inherited_member
+from graphloom.operators.traverse import all_callers_guarded, cut, inherited_member
 from graphloom.sources.store import Graph, last_wins
 
 #: Fixed value: the attributes of a call that was resolved to another file.
@@ -89,9 +89,10 @@ def cross_reentrancy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def annotate(graph: Graph) -> Graph:
     """All passes; findings go into the metadata of the functions."""
-    edges = resolve_bare_calls(graph.nodes, graph.edges)
-    edges = resolve_bases(graph.nodes, edges)
-    edges = resolve_cross_file(graph.nodes, edges)
+    graph = Graph(cut(graph.nodes), cut(graph.edges), graph.transitions, graph.facts)
+    edges = cut(resolve_bare_calls(graph.nodes, graph.edges))
+    edges = cut(resolve_bases(graph.nodes, edges))
+    edges = cut(resolve_cross_file(graph.nodes, edges))
     drop = suppressible(graph.nodes, edges).select("id").withColumn("drop", F.lit(True))
     labels = graph.nodes.select(F.col("id").alias("via"), F.col("label").alias("via_label"))
     item = F.struct(F.col("via_label").alias("via"), "stale_vars")
