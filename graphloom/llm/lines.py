@@ -89,11 +89,17 @@ def _lines(rows: DataFrame) -> DataFrame:
     return each.where(F.length("line") >= 2 * SHINGLE - 1).select(F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"), at, "line")
 
 
+def _signature(tokens: Column) -> Column:
+    """64 parities of tokens by hash: two sets differ in as many tokens at least as their signatures in bits."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def _fits(a: str, b: str) -> Column:
-    """The length filter and the positional filter."""
+    """The length filter, the positional filter, and the bound that signatures give."""
     na, nb, ia, ib = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.i"), F.col(f"{b}.i")
     most = F.least(ia, ib) + F.least(na - ia, nb - ib)
-    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (9 * most >= 4 * (na + nb))
+    apart = F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig")))
+    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (9 * most >= 4 * (na + nb)) & (9 * apart <= na + nb)
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
@@ -106,13 +112,13 @@ def _met(entries: DataFrame) -> DataFrame:
 
 
 def _placed(met: DataFrame, known: DataFrame) -> DataFrame:
-    """met with doc, n (the size of the line's token set) and i (the token's place in its prefix, from 0)."""
-    return met.join(known, "l").select("tok", "l", F.col("at.doc_id").alias("doc"), F.size("tokens").alias("n"), (F.array_position("tokens", F.col("tok")) - 1).cast("int").alias("i"))
+    """met with doc, sig, n (the size of the line's token set) and i (the token's place in its prefix, from 0)."""
+    return met.join(known, "l").select("tok", "l", F.col("at.doc_id").alias("doc"), "sig", F.size("tokens").alias("n"), (F.array_position("tokens", F.col("tok")) - 1).cast("int").alias("i"))
 
 
 def _with_first(placed: DataFrame) -> DataFrame:
     """Pairs of each line and the first line that has one of its tokens: as many as there are entries at most."""
-    first = placed.groupBy("tok").agg(F.min(F.struct("doc", "l", "n", "i")).alias("y"))
+    first = placed.groupBy("tok").agg(F.min(F.struct("doc", "l", "n", "i", "sig")).alias("y"))
     both = placed.alias("x").join(first.select(F.col("tok").alias("t"), "y"), F.col("tok") == F.col("t"))
     return both.where((F.col("x.l") != F.col("y.l")) & _fits("x", "y")).select(*_pair(F.col("x.l"), F.col("y.l")))
 
@@ -163,10 +169,11 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     wanted = _joinable(keep(met.select("l").distinct()))
     hashes = _hashes(F.col("line"))
     found = lines.join(wanted, F.col("l1") == F.col("l"), "left_semi").join(with_copies, ["l1", "l2"], "left").where("first is null or at = first")
-    known = checkpoint(found.select(F.col("l1").alias("l"), "at", _let(hashes, _tokens).alias("tokens")))
+    known = found.select(F.col("l1").alias("l"), "at", _let(hashes, _tokens).alias("tokens"))
+    known = checkpoint(known).withColumn("sig", _signature(F.col("tokens")))
     release(docs.sparkSession)
     often = keep(met.where(F.col("many") > FREQUENT).select("l").distinct())
-    by_rarity = _met(_by_rarity(known.join(_joinable(often), "l"))).select("tok", "l", "doc", "n", "i")
+    by_rarity = _met(_by_rarity(known.join(_joinable(often), "l"))).select("tok", "l", "doc", "sig", "n", "i")
     placed = checkpoint(_placed(met.where(F.col("many") <= FREQUENT), known).union(by_rarity))
     gone = checkpoint(_verified(_with_first(placed), known))
     release(docs.sparkSession)
@@ -179,9 +186,9 @@ def _by_rarity(known: DataFrame) -> DataFrame:
     """Entries of the prefixes, tokens of more than FREQUENT of these lines coming last, by the number of lines."""
     counts = known.select(F.explode("tokens").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") > FREQUENT)
     counts = _joinable(checkpoint(counts))
-    each = known.select("l", F.col("at.doc_id").alias("doc"), "tokens").repartition("l").select("l", "doc", F.explode("tokens").alias("tok"))
-    ranked = each.join(counts, "tok", "left").groupBy("l", "doc").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("t"))
-    return ranked.select("l", "doc", F.size("t").alias("n"), F.posexplode(F.slice("t", 1, _prefix(F.size("t")))).alias("i", "e")).select("l", "doc", "n", "i", F.col("e.tok").alias("tok"))
+    each = known.select("l", F.col("at.doc_id").alias("doc"), "sig", "tokens").repartition("l").select("l", "doc", "sig", F.explode("tokens").alias("tok"))
+    ranked = each.join(counts, "tok", "left").groupBy("l", "doc", "sig").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("t"))
+    return ranked.select("l", "doc", "sig", F.size("t").alias("n"), F.posexplode(F.slice("t", 1, _prefix(F.size("t")))).alias("i", "e")).select("l", "doc", "sig", "n", "i", F.col("e.tok").alias("tok"))
 
 
 def _per_document(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
