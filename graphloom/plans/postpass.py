@@ -44,7 +44,7 @@ def resolve_bare_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def resolve_bases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Placeholders of base types (`_::Name`) lead to the last type of that label; those without one stay."""
-    last = nodes.where(F.col("type").isin(*BASES)).groupBy(F.col("label").alias("name")).agg(F.max_by("id", "seq").alias("to"))
+    last = nodes.where(F.col("type").isin(*BASES)).groupBy(F.col("label").alias("name")).agg(F.max(F.struct("seq", "id"))["id"].alias("to"))
     open_ = edges.where((F.col("relation") == "inherits") & F.col("target").rlike("^.::")).select("source", "target", "relation", F.expr("substring(target, 4)").alias("name"))
     return _retarget(edges, open_.join(last, "name").select("source", "target", "relation", "to"))
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import names, payload as p
 from graphloom.operators import audit, match, paths, relations, rules, scanners, sinks, states, summary, traverse
 from graphloom.operators.caps import cap_per_key
-from graphloom.plans import postpass
+from graphloom.plans import postpass, profile
 from graphloom.plans.projection import FLAGS, graph, sql, tables, users
-from graphloom.sources import flows, store
+from graphloom.sources import flows, store, walk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -492,7 +492,7 @@ def inserted_edges(spark, sf):
     return first.join(store.last_wins(raw, keys).select("source", "target", F.col("seq").alias("last_seq"), F.col("attributes").alias("last_attributes")), ["source", "target"])
 
 
-@query(f"WITH raw AS ({_RAW}), e AS (SELECT source, target, k, arg_max(attributes->k, seq) AS v FROM (SELECT *, unnest(json_keys(attributes)) AS k FROM raw) x GROUP BY source, target, k) SELECT source, target, '{{' || string_agg('\"' || k || '\":' || CAST(v AS VARCHAR), ',' ORDER BY '\"' || k || '\":' || CAST(v AS VARCHAR)) || '}}' AS attributes FROM e GROUP BY source, target")
+@query(f"WITH raw AS ({_RAW}), e AS (SELECT source, target, k, max(struct_pack(s := seq, v := CAST(attributes->k AS VARCHAR))).v AS v FROM (SELECT *, unnest(json_keys(attributes)) AS k FROM raw) x GROUP BY source, target, k) SELECT source, target, '{{' || string_agg('\"' || k || '\":' || CAST(v AS VARCHAR), ',' ORDER BY '\"' || k || '\":' || CAST(v AS VARCHAR)) || '}}' AS attributes FROM e GROUP BY source, target")
 def merged_edges(spark, sf):
     return store.merge_attributes(_raw_edges(spark, sf)).select("source", "target", "attributes")
 
@@ -554,3 +554,133 @@ def cross_reentrancy(spark, sf):
 def flagged_share(spark, sf):
     nodes = graph(spark, sf).nodes.where("type = 'function'")
     return nodes.agg(F.lit(len(FLAGS)).alias("flags"), F.count("*").alias("functions"), F.round(100.0 * F.count_if(p.truthy("metadata", "reentrancy_risk")) / F.count("*"), 1).alias("share"))
+
+
+# ---- more of paths, caps and passes -----------------------------------------------------------------------------------------
+
+_WALK = f""", steps AS MATERIALIZED {STEPS}, walk AS (SELECT id AS start, id AS here, [id] AS path FROM nodes WHERE label = 'f12' UNION ALL SELECT w.start, s.target, list_append(path, s.target) FROM walk w JOIN steps s ON s.source = w.here WHERE NOT list_contains(path, s.target) AND len(path) <= 8),
+  found AS MATERIALIZED (SELECT start, here AS goal, path, len(path) - 1 AS n FROM walk WHERE here LIKE '\\_sink%' ESCAPE '\\' AND len(path) > 1)"""
+
+
+def _found_paths(g) -> DataFrame:
+    ends = g.nodes.where(F.col("id").startswith("_sink")).select("id")
+    return traverse.simple_paths(match.exact_label(g.nodes, "f12").select("id"), ends, traverse.traversal_edges(g.edges), 8)
+
+
+@query(_WALK + " SELECT start, goal, array_to_string(min(struct_pack(n := n, p := path)).p, ' > ') AS route FROM found GROUP BY start, goal", "nodes", "edges")
+def shortest_call_paths(spark, sf):
+    g = graph(spark, sf)
+    ends = g.nodes.where(F.col("id").startswith("_sink")).select("id")
+    found = traverse.shortest_path(match.exact_label(g.nodes, "f12").select("id"), ends, traverse.traversal_edges(g.edges), 8)
+    return found.select("start", F.col("end").alias("goal"), F.array_join("path", " > ").alias("route"))
+
+
+@query(
+    _WALK
+    + """, hops AS (SELECT array_to_string(path, ' > ') AS route, unnest(path) AS id, generate_subscripts(path, 1) - 1 AS hop FROM found), k AS (SELECT target AS id, source AS other, 'guard' AS kind FROM edges WHERE relation = 'guards'
+    UNION ALL SELECT source, target, CASE relation WHEN 'reads_state' THEN 'read' ELSE 'write' END FROM edges WHERE relation IN ('reads_state', 'writes_state')), r AS (SELECT route, hop, hops.id, kind, label, row_number() OVER (PARTITION BY route, hop, kind ORDER BY label, other) AS n FROM hops JOIN k ON k.id = hops.id JOIN nodes ON nodes.id = k.other)
+  SELECT route, CAST(hop AS INT) AS hop, id, kind, label FROM r WHERE n <= 2""",
+    "nodes", "edges",
+)
+def path_annotations(spark, sf):
+    g = graph(spark, sf)
+    rows = paths.annotations(_found_paths(g), g.nodes, g.edges, 2, 2)
+    return rows.select(F.replace("key", F.lit("\x00"), F.lit(" > ")).alias("route"), F.col("at").alias("hop"), "id", "kind", "label")
+
+
+@query(f", steps AS MATERIALIZED {STEPS}, r AS (SELECT id AS start, id AS node, 0 AS d FROM nodes WHERE label = 'f12' UNION SELECT r.start, s.target, d + 1 FROM r JOIN steps s ON s.source = r.node WHERE d < 3) SELECT start, node, CAST(min(d) AS INT) AS distance FROM r GROUP BY start, node", "nodes", "edges")
+def bounded_reach(spark, sf):
+    g = graph(spark, sf)
+    return traverse.closure(match.exact_label(g.nodes, "f12").select("id"), traverse.traversal_edges(g.edges), 3)
+
+
+@query(_BACK + ", x AS (SELECT sink, n.id, min(distance) AS distance, any_value(n.file) AS file, any_value(n.line_start) AS line_start FROM back JOIN nodes n ON n.id = node WHERE distance > 0 AND type = 'function' GROUP BY sink, n.id), y AS (SELECT *, count(*) OVER (PARTITION BY sink) AS total, row_number() OVER (PARTITION BY sink ORDER BY distance, file, line_start, id) AS k FROM x) SELECT sink, id, CAST(distance AS INT) AS distance, total FROM y WHERE k <= 10", "nodes", "edges")
+def capped_sink_callers(spark, sf):
+    g = graph(spark, sf)
+    return sinks.capped_callers(g.nodes, g.edges).select("sink", "id", "distance", "total")
+
+
+@query(_score_sql().replace("SELECT *, CASE", "SELECT count(*) AS n, CASE") + " GROUP BY bucket", "nodes", "edges")
+def hotspot_buckets(spark, sf):
+    g = graph(spark, sf)
+    return rules.hotspots(g.nodes, g.edges).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+def _bare_edges(g) -> DataFrame:
+    calls = g.edges.where("relation = 'calls'")
+    return calls.withColumn("target", names.bare_id("target")).groupBy("source", "target", "relation").agg(F.min_by("attributes", "seq").alias("attributes"), F.min("seq").alias("seq"))
+
+
+@query(
+    """, c AS (SELECT DISTINCT source, CASE WHEN strpos(target, '(') > 1 THEN split_part(target, '(', 1) ELSE target END AS target FROM edges WHERE relation = 'calls'), f AS (SELECT split_part(id, '(', 1) AS bare, arg_min(id, seq) AS id FROM nodes WHERE type = 'function' AND strpos(id, '(') > 1 GROUP BY 1)
+  SELECT DISTINCT c.source, coalesce(f.id, c.target) AS target FROM c LEFT JOIN f ON f.bare = c.target""",
+    "nodes", "edges",
+)
+def resolved_bare_calls(spark, sf):
+    g = graph(spark, sf)
+    return postpass.resolve_bare_calls(g.nodes, _bare_edges(g)).select("source", "target")
+
+
+@query(", e AS (SELECT source, '_::' || regexp_replace(target, '^.*::', '') AS target FROM edges WHERE relation = 'inherits'), b AS (SELECT label, max(struct_pack(s := seq, id := id)).id AS id FROM nodes WHERE type IN ('contract', 'abstract', 'interface', 'library') GROUP BY label) SELECT DISTINCT e.source, coalesce(b.id, e.target) AS target FROM e LEFT JOIN b ON '_::' || b.label = e.target", "nodes", "edges")
+def resolved_bases(spark, sf):
+    g = graph(spark, sf)
+    open_ = g.edges.where("relation = 'inherits'").withColumn("target", F.concat(F.lit("_::"), F.regexp_replace("target", "^.*::", "")))
+    return postpass.resolve_bases(g.nodes, store.last_wins(open_, ["source", "target", "relation"])).select("source", "target")
+
+
+# ---- files ------------------------------------------------------------------------------------------------------------------
+
+#: Paths by part key: what they are made of, the reason not to index them, their provenance and language.
+FILES = (
+    ("src/core/Pool{n}.sol", "", "production", "solidity"),
+    ("contracts/test/Pool{n}.sol", "ignored_dir:test", "production", "solidity"),
+    ("src/Deploy{n}.s.sol", "foundry_test_or_script", "script", "solidity"),
+    ("x/keeper/msg{n}_test.go", "test_file", "production", "go"),
+    ("x/types/tx{n}.pb.go", "generated_file", "production", "go"),
+    ("ops/deploy-{n}.ts", "research_file:script", "script", "typescript"),
+    ("fuzzing/Echo{n}.sol", "ignored_dir:fuzzing", "fuzz", "solidity"),
+    ("programs/vault{n}/src/lib.rs", "", "production", "rust"),
+    ("web/vite{n}.config.js", "tool_config", "production", "typescript"),
+    ("docs/notes{n}.md", "unsupported_extension", "production", "generic"),
+    ("packages/P{n}MyMock.java", "test_file", "production", "java"),
+    ("vendor/lib{n}/a.py", "ignored_dir:vendor", "production", "python"),
+)
+
+
+def _file_sql() -> str:
+    cases = [" ".join(f"WHEN {i} THEN '" + f[k].replace("{n}", "' || CAST(p_partkey AS STRING) || '") + "'" for i, f in enumerate(FILES)) for k in range(4)]
+    return "SELECT " + ", ".join(f"CASE p_partkey % {len(FILES)} {c} END AS {n}" for c, n in zip(cases, ("path", "reason", "source_context", "language"), strict=True)) + " FROM part"
+
+
+def _files(spark, sf) -> DataFrame:
+    parts = tables(spark, sf, "part")["part"]
+    return parts.select(F.element_at(F.array(*(F.concat_ws("", *(x for y in zip(map(F.lit, f[0].split("{n}")), (F.col("p_partkey").cast("string"), F.lit("")), strict=False) for x in y)) for f in FILES)), (F.col("p_partkey") % len(FILES) + 1).cast("int")).alias("path"))
+
+
+@query(_file_sql())
+def file_classes(spark, sf):
+    return _files(spark, sf).select("path", walk.noise("path").alias("reason"), walk.source_context("path").alias("source_context"), walk.language("path").alias("language"))
+
+
+@query(f"SELECT reason, language, count(*) AS files FROM ({_file_sql()}) GROUP BY reason, language")
+def file_inventory(spark, sf):
+    return profile.inventory(_files(spark, sf))
+
+
+_TREE = "SELECT 'd' || CAST(p_partkey % 7 AS STRING) || '/e' || CAST(p_partkey % 11 AS STRING) || '/' || CASE WHEN p_partkey % 13 = 0 THEN 'go.mod' WHEN p_partkey % 17 = 0 THEN 'foundry.toml' WHEN p_partkey % 2 = 0 THEN 'src/a' || CAST(p_partkey AS STRING) || '.sol' ELSE 'b' || CAST(p_partkey AS STRING) || '.go' END AS path FROM part UNION SELECT 'd3/package.json' UNION SELECT 'loose.py'"
+
+
+@query(
+    f"""WITH f AS ({_TREE}), r AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS root FROM f WHERE regexp_matches(path, '/(go.mod|foundry.toml|package.json)$')),
+  o AS (SELECT path, coalesce((SELECT max_by(root, length(root)) FROM r WHERE starts_with(path, root || '/')), CASE WHEN strpos(path, '/') > 0 THEN split_part(path, '/', 1) ELSE '.' END) AS project FROM f),
+  c AS (SELECT project, count(*) FILTER (path LIKE '%.sol') AS sol, count(*) FILTER (path LIKE '%.go') AS go, count(*) FILTER (path LIKE '%.py') AS py, bool_or(path LIKE '%/go.mod') AS gomod, bool_or(path LIKE '%/foundry.toml') AS foundry, bool_or(path LIKE '%/package.json') AS pkg FROM o GROUP BY project),
+  w AS (SELECT *, CAST(sol * 100 + go * 82 + py * 50 + CASE WHEN gomod THEN 82 ELSE 0 END + CASE WHEN foundry THEN 100 ELSE 0 END + CASE WHEN pkg THEN 55 ELSE 0 END AS BIGINT) AS priority FROM c)
+  SELECT project, CAST(sol + go + py AS BIGINT) AS source_files, priority, CAST(priority + CASE WHEN foundry THEN 700 ELSE 0 END + CASE WHEN foundry OR sol > 0 THEN 1000 ELSE 0 END + sol * 140 + CASE WHEN sol > 0 THEN 3000 ELSE -least((go + py) * 25, 15000) END AS BIGINT) AS bounty FROM w"""
+)
+def project_priorities(spark, sf):
+    parts = tables(spark, sf, "part")["part"]
+    n = F.col("p_partkey").cast("string")
+    name = F.when(F.col("p_partkey") % 13 == 0, "go.mod").when(F.col("p_partkey") % 17 == 0, "foundry.toml").when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("src/a"), n, F.lit(".sol"))).otherwise(F.concat(F.lit("b"), n, F.lit(".go")))
+    tree = parts.select(F.concat(F.lit("d"), (F.col("p_partkey") % 7).cast("string"), F.lit("/e"), (F.col("p_partkey") % 11).cast("string"), F.lit("/"), name).alias("path"))
+    tree = tree.union(spark.createDataFrame([("d3/package.json",), ("loose.py",)], "path string")).distinct()
+    return profile.projects(tree).select("project", "source_files", F.col("priority").cast("long").alias("priority"), F.col("bounty").cast("long").alias("bounty"))

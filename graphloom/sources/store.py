@@ -40,7 +40,7 @@ def merge_attributes(edges: DataFrame) -> DataFrame:
     """Edges inserted one by one: attributes of equal edges are merged, later values replacing earlier ones."""
     keys = ["source", "target", "relation"]
     each = edges.sparkSession.sql("SELECT e.source, e.target, e.relation, e.seq, v.key, to_json(v.value) AS value FROM {edges} e LEFT JOIN LATERAL variant_explode_outer(try_parse_json(e.attributes)) v", edges=edges)
-    latest = each.groupBy(*keys, "key").agg(F.max_by("value", "seq").alias("value"), F.min("seq").alias("seq"))
+    latest = each.groupBy(*keys, "key").agg(F.max_by("value", F.struct("seq", "value")).alias("value"), F.min("seq").alias("seq"))
     part = F.when(F.col("key").isNotNull(), F.concat(F.lit('"'), "key", F.lit('":'), F.coalesce("value", F.lit("null"))))
     merged = latest.groupBy(*keys).agg(F.min("seq").alias("seq"), F.array_sort(F.collect_list(part)).alias("parts"))
     return merged.select(*keys, F.concat(F.lit("{"), F.array_join("parts", ","), F.lit("}")).alias("attributes"), "seq")
