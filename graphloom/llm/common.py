@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a copy in the shared folder of spark.checkpoint.dir (a folder of our own only where that is unset)."""
+    """Cut the lineage by a copy in the shared folder of spark.checkpoint.dir (a folder of our own only where that is unset).
+
+    It has two files at most for each core of the cluster.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    return df.coalesce(2 * sc.defaultParallelism).checkpoint(eager=True)
 
 
 def keep(df: DataFrame) -> DataFrame:
