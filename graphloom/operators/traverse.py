@@ -19,11 +19,11 @@ EVERY = 4
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a copy in the folder of spark.checkpoint.dir, or one of our own where that is unset."""
+    """Cut the lineage by a copy in the folder of spark.checkpoint.dir, or one of our own where that is unset; two files at most for each core."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    return df.coalesce(2 * sc.defaultParallelism).checkpoint(eager=True)
 
 
 def traversal_edges(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from graphloom.operators import audit, match, paths, relations, rules, scanners,
 from graphloom.operators.caps import cap_per_key
 from graphloom.plans import postpass, profile
 from graphloom.plans.projection import FLAGS, graph, sql, tables, users
-from graphloom.sources import flows, store, walk
+from graphloom.sources import extract, flows, store, walk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -684,3 +684,52 @@ def project_priorities(spark, sf):
     tree = parts.select(F.concat(F.lit("d"), (F.col("p_partkey") % 7).cast("string"), F.lit("/e"), (F.col("p_partkey") % 11).cast("string"), F.lit("/"), name).alias("path"))
     tree = tree.union(spark.createDataFrame([("d3/package.json",), ("loose.py",)], "path string")).distinct()
     return profile.projects(tree).select("project", "source_files", F.col("priority").cast("long").alias("priority"), F.col("bounty").cast("long").alias("bounty"))
+
+
+# ---- extraction -------------------------------------------------------------------------------------------------------------
+
+#: Small sources by part key, with what is in them: path, text, nodes (id after the path, label, type, visibility) and edges.
+SOURCES = (
+    (
+        "a/P{n}.sol", "contract P{n} {\n  uint total;\n  function put(uint a) external { total = a; }\n  function get() public view returns (uint) { return total; }\n}\n",
+        (("P{n}", "P{n}", "contract", ""), ("P{n}.total", "total", "state_var", ""), ("P{n}.put(uint)", "put", "function", "external"), ("P{n}.get()", "get", "function", "public")),
+        (("P{n}", "P{n}.total", "contains"), ("P{n}", "P{n}.put(uint)", "contains"), ("P{n}", "P{n}.get()", "contains"), ("P{n}.put(uint)", "P{n}.total", "writes_state"), ("P{n}.get()", "P{n}.total", "reads_state")),
+    ),
+    (
+        "x/k{n}.go", "package k\ntype K{n} struct {\n\ttotal int\n}\nfunc (k *K{n}) Put(a int) {\n\tk.total = a\n}\nfunc (k *K{n}) add(a int) {\n\tk.total += a\n\tk.Put(a)\n}\n",
+        (("K{n}", "K{n}", "struct", ""), ("K{n}.total", "total", "state_var", ""), ("K{n}.Put", "Put", "function", "public"), ("K{n}.add", "add", "function", "internal")),
+        (("K{n}", "K{n}.total", "contains"), ("K{n}", "K{n}.Put", "contains"), ("K{n}", "K{n}.add", "contains"), ("K{n}.Put", "K{n}.total", "writes_state"), ("K{n}.add", "K{n}.total", "writes_state"), ("K{n}.add", "K{n}.total", "reads_state"), ("K{n}.add", "_::Put", "calls")),
+    ),
+    (
+        "p/m{n}.py", "class A{n}:\n    def run(self, x):\n        self._go()\n    def _go(self):\n        return 1\n",
+        (("A{n}", "A{n}", "class", ""), ("A{n}.run", "run", "function", "public"), ("A{n}._go", "_go", "function", "internal")),
+        (("A{n}", "A{n}.run", "contains"), ("A{n}", "A{n}._go", "contains"), ("A{n}.run", "A{n}._go", "calls")),
+    ),
+)
+
+
+def _filled(text: str) -> str:
+    return "'" + text.replace("{n}", "' || CAST(p_partkey AS STRING) || '") + "'"
+
+
+def _part_rows(k: int, row: tuple[str, ...], columns: tuple[str, ...], ids: tuple[int, ...]) -> str:
+    path = SOURCES[k][0]
+    values = [_filled(v if i not in ids or v.startswith("_::") else f"{path}::{v}") for i, v in enumerate(row)]
+    return f"SELECT {_filled(path)} AS path, " + ", ".join(f"{v} AS {c}" for v, c in zip(values, columns, strict=True)) + f" FROM part WHERE p_partkey % {len(SOURCES)} = {k}"
+
+
+def _sources(spark, sf) -> DataFrame:
+    parts = tables(spark, sf, "part")["part"].withColumn("k", (F.col("p_partkey") % len(SOURCES)).cast("int"))
+    pick = lambda i: F.replace(F.element_at(F.array(*(F.lit(x[i]) for x in SOURCES)), F.col("k") + 1), F.lit("{n}"), F.col("p_partkey").cast("string"))
+    files = parts.select(pick(0).alias("path"), pick(1).alias("content"))
+    return files.select("path", "content", walk.language("path").alias("language"), walk.source_context("path").alias("source_context"))
+
+
+@query(" UNION ALL ".join(_part_rows(k, n, ("id", "label", "type", "visibility"), (0,)) for k, x in enumerate(SOURCES) for n in x[2]))
+def extracted_nodes(spark, sf):
+    return extract.extracted(_sources(spark, sf)).where("kind = 'node'").select("path", "id", "label", "type", "visibility")
+
+
+@query(" UNION ALL ".join(_part_rows(k, e, ("source", "target", "relation"), (0, 1)) for k, x in enumerate(SOURCES) for e in x[3]))
+def extracted_edges(spark, sf):
+    return extract.extracted(_sources(spark, sf)).where("kind = 'edge'").select("path", "source", "target", "relation")

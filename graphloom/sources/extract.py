@@ -222,6 +222,16 @@ def _end_of(text: str, at: int, kind: str) -> int:
     return len(text)
 
 
+def _decorators(text: str, at: int) -> str:
+    """The lines right above that begin with @ or #[."""
+    out = []
+    for line in reversed(text[: text.rfind("\n", 0, at) + 1].splitlines()):
+        if not line.strip().startswith(("@", "#[")):
+            break
+        out.append(line.strip())
+    return " ".join(out)
+
+
 def _blank(m: re.Match) -> str:
     return re.sub(r"[^\n]", " ", m[0])
 
@@ -266,7 +276,7 @@ def extract(path: str, source: str, lang: str) -> tuple[list[dict], list[dict],
             continue
         start = m.start() + len(m[0]) - len(m[0].lstrip())
         end = _end_of(text, start if spec.body in ("parens",) else m.end(), spec.body)
-        functions.append({"name": name, "params": g.get("params") or "", "mods": g.get("mods") or "", "start": start, "end": end, "body": text[m.end() if spec.body != "parens" else start : end], "line": line_of(start), "owner": g.get("recv") or owner_at(m.start()), "head": text[text.rfind("\n", 0, max(0, text.rfind("\n", 0, start))) + 1 : start]})
+        functions.append({"name": name, "params": g.get("params") or "", "mods": g.get("mods") or "", "start": start, "end": end, "body": text[m.end() if spec.body != "parens" else start : end], "line": line_of(start), "owner": g.get("recv") or owner_at(m.start()), "head": _decorators(text, start)})
     spans = [(f["start"], f["end"]) for f in functions]
     states: dict[str, tuple[str, str]] = {}
     for m in re.finditer(spec.state, text) if spec.state else ():
@@ -344,7 +354,9 @@ def extract(path: str, source: str, lang: str) -> tuple[list[dict], list[dict],
         for v, target in touched.items():
             if v in writes:
                 edge(f["id"], target, "writes_state", order=order[writes[v]])
-            edge(f["id"], target, "reads_state")
+            assigned = re.sub(rf"(?<![\w.])(?:\w+\.)?{re.escape(v)}\s*=(?!=)", "", body)
+            if re.search(rf"(?<![\w]){re.escape(v)}\b", assigned):
+                edge(f["id"], target, "reads_state")
         for at, name, foreign in calls:
             if name in by_name and not foreign:
                 edge(f["id"], by_name[name], "calls", order=order[at])
