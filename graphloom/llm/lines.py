@@ -133,7 +133,7 @@ def _with_others(rest: DataFrame, placed: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """(l, at) of the later lines of pairs that are alike."""
     pairs = checkpoint(pairs.distinct())
-    some = _joinable(keep(pairs.select(F.explode(F.array("a", "b")).alias("l")).distinct()))
+    some = _joinable(keep(pairs.select(F.col("a").alias("l")).union(pairs.select("b")).distinct()))
     known = known.join(some, "l", "left_semi")
     a = known.select(F.col("l").alias("a"), F.col("at").alias("at_a"), F.col("tokens").alias("t_a"))
     b = known.select(F.col("l").alias("b"), F.col("at").alias("at_b"), F.col("tokens").alias("t_b"))
