@@ -1,8 +1,8 @@
 """Reachability, distances and paths over edge tables (source, target).
 
-Closures run level by level: a level joins the last level's new pairs with the edges and drops what is known, so work
-follows the size of the result and cycles end by themselves. All state is in tables; every few levels are cut off by a
-checkpoint in the shared folder.
+Closures run round by round: a round joins the newest pairs with the edges and drops what is known, so work follows the
+size of the result and cycles end by themselves. From many starts, edges are first joined to strides of up to eight hops,
+which takes an eighth of the rounds. All state is in tables, cut off by checkpoints in the shared folder.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from graphloom.sources.store import TRAVERSAL
 
-#: Levels between checkpoints.
+#: Rounds between checkpoints of all that is known.
 EVERY = 4
+#: The longest stride, and how many edges for each start make strides worth their while.
+STRIDE, MANY = 8, 16
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,22 +45,41 @@ def closure(starts: DataFrame, edges: DataFrame, max_hops: int = 0) -> DataFrame
 
     starts: a column of ids, read as `start`. Ids without a node row count. max_hops 0: without bound.
     """
-    step = cut(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct())
-    new = cut(starts.toDF("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("distance")))
-    levels, hops = [new], 0
-    seen = new
-    while not max_hops or hops < max_hops:
-        hops += 1
-        found = new.join(step, "node").select("start", F.col("next").alias("node")).distinct()
-        found = found.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(hops))
-        new = cut(found)
+    step = cut(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).where("node <> next").distinct())
+    seen = cut(starts.toDF("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("distance")))
+    stride = 1
+    step = step.withColumn("hops", F.lit(1))
+    if seen.count() * MANY > step.count():
+        step, stride = _strides(step, min(STRIDE, max_hops or STRIDE))
+    front, done, rounds = seen, 0, 0
+    while not max_hops or done < max_hops:
+        found = front.join(step, "node").select("start", F.col("next").alias("node"), (F.col("distance") + F.col("hops")).alias("distance"))
+        if max_hops:
+            found = found.where(F.col("distance") <= max_hops)
+        found = found.groupBy("start", "node").agg(F.min("distance").alias("distance"))
+        new = cut(found.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         if new.isEmpty():
             break
-        levels.append(new)
-        seen = cut(seen.unionByName(new)) if hops % EVERY == 0 else seen.unionByName(new)
+        rounds, done = rounds + 1, done + stride
+        seen = cut(seen.unionByName(new)) if rounds % EVERY == 0 else seen.unionByName(new)
+        # what lies further is reached through a node at just this distance
+        front = new.where(F.col("distance") == done)
     return seen
 
 
+def _strides(step: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """(node, next, hops) of all that is reached in 1 to n hops, and n: doubled up to `most` while the table no more than triples."""
+    n, reach = step.count(), 1
+    while 2 * reach <= most:
+        on = step.select(F.col("node").alias("next"), F.col("next").alias("end"), F.col("hops").alias("more"))
+        longer = step.join(on, "next").select("node", F.col("end").alias("next"), (F.col("hops") + F.col("more")).alias("hops")).where("node <> next")
+        both = cut(step.unionByName(longer).groupBy("node", "next").agg(F.min("hops").alias("hops")))
+        if (now := both.count()) > 3 * n:
+            break
+        step, n, reach = both, now, 2 * reach
+    return step, reach
+
+
 def doubled_closure(edges: DataFrame) -> DataFrame:
     """(start, node, distance) of all pairs, distance 1 or more except on cycles, by squaring: a number of rounds that is the logarithm of the longest distance."""
     pairs = cut(edges.select(F.col("source").alias("start"), F.col("target").alias("node"), F.lit(1).alias("distance")).distinct())
