@@ -75,7 +75,7 @@ class Predictor:
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
-        if not words or not self.model.langs:
+        if not words or not self.model.langs or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         if len(self.at) > CACHE:
             self.at, self.rows = {}, []
