@@ -89,7 +89,7 @@ def _route(depth: int, fitted: dict[int, list[dict[int, float]]], trees: int, sp
                     yield pa.RecordBatch.from_pydict(
                         {
                             "dim": pa.array(np.full(len(rows), dim), pa.int32()), "leaf": pa.array(np.full(len(rows), (t << 40) + leaf), pa.int64()), "cid": pa.array(ids[at[rows]], pa.int64()),
-                            "size": pa.array(sizes[at[rows]], pa.int64()), "vector": pa.array([v[r].tobytes() for r in rows], pa.binary()), "leaves": pa.array([mine[r] for r in rows], pa.list_(pa.int64())),
+                            "size": pa.array(sizes[at[rows]], pa.int64()), "vector": pa.array([raw[r].tobytes() for r in rows], pa.binary()), "leaves": pa.array([mine[r] for r in rows], pa.list_(pa.int64())),
                         }
                     )
 
@@ -108,12 +108,13 @@ def _incidence(leaves: list[list[int]], below: int) -> np.ndarray:
 
 def _compare(threshold: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, leaf, lo, hi), t in key_groups(batches, ["dim", "leaf", "lo", "hi"]):
+        for (dim, leaf, lo, hi), t in key_groups(batches, ["dim", "leaf", "lo", "hi"]):
             n = t.num_rows
             if n < 2:
                 continue
             ids, sizes, block = t.column("cid").to_numpy(), t.column("size").to_numpy(), t.column("block").to_numpy()
-            v = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(n, -1)
+            data = b"".join(t.column("vector").to_pylist())
+            v = unit(np.frombuffer(data, f"<f{len(data) // (n * dim)}").reshape(n, dim))
             order = np.argsort(ids, kind="stable")
             ids, sizes, block, v = ids[order], sizes[order], block[order], v[order]
             linked = v @ v.T >= threshold
