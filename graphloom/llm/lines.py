@@ -21,6 +21,7 @@ FREQUENT = 64
 SHORT = 4
 #: Rows of two hashes that may be broadcast (some 100 MB); beyond, the join is by shuffle.
 BROADCAST_ROWS = 1_000_000
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _words(line: Column) -> Column:
@@ -162,24 +163,37 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     alike. Lines of fewer than five words stay. Repeated rows are one document. Null and empty texts have no lines.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    lines = _lines(rows)
+    return _removed(_lines(rows)).select("at.doc_id", "at.th", "at.ln")
+
+
+def later_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, th): the documents that go, as if each were one line with A-Z lowered, by id and hash of the text."""
+    one = F.translate(text, UPPER + "\n", UPPER.lower() + " ")
+    at = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.lit(0).alias("ln")).alias("at")
+    lines = docs.where(F.col(text).isNotNull()).select(F.xxhash64(one).alias("l1"), F.xxhash64(F.lit(7), one).alias("l2"), at, one.alias("line"))
+    return _removed(lines).select("at.doc_id", "at.th")
+
+
+def _removed(lines: DataFrame) -> DataFrame:
+    """at of the lines that an earlier one equals or is like."""
+    spark = lines.sparkSession
     copies, again, met = _copies_and_met(lines)
     with_copies = _joinable(copies)
-    release(docs.sparkSession)
+    release(spark)
     wanted = _joinable(keep(met.select("l").distinct()))
     hashes = _hashes(F.col("line"))
     found = lines.join(wanted, F.col("l1") == F.col("l"), "left_semi").join(with_copies, ["l1", "l2"], "left").where("first is null or at = first")
     known = found.select(F.col("l1").alias("l"), "at", _let(hashes, _tokens).alias("tokens"))
     known = checkpoint(known).withColumn("sig", _signature(F.col("tokens")))
-    release(docs.sparkSession)
+    release(spark)
     often = keep(met.where(F.col("many") > FREQUENT).select("l").distinct())
     by_rarity = _met(_by_rarity(known.join(_joinable(often), "l"))).select("tok", "l", "doc", "sig", "n", "i")
     placed = checkpoint(_placed(met.where(F.col("many") <= FREQUENT), known).union(by_rarity))
     gone = checkpoint(_verified(_with_first(placed), known))
-    release(docs.sparkSession)
+    release(spark)
     rest = placed.join(_joinable(gone.select("l").distinct()), "l", "left_anti")
     near = gone.union(_verified(_with_others(rest, placed), known)).select("at")
-    return near.union(again).distinct().select("at.doc_id", "at.th", "at.ln")
+    return near.union(again).distinct()
 
 
 def _by_rarity(known: DataFrame) -> DataFrame:

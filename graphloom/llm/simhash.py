@@ -15,8 +15,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint, in_blocks, key_groups, local_roots
+from graphloom.llm.common import checkpoint, in_blocks, keep, key_groups, local_roots, release
 from graphloom.llm.components import connected_components
+from graphloom.llm.lines import _joinable as joinable, later_documents
 
 RADIUS = 3
 BITS = 64
@@ -109,7 +110,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = RADIUS) -> DataFrame:
     """The rows of docs that have the smallest doc_id of their component, one of them where rows repeat, all columns as they were.
 
-    A null doc_id counts as larger than any other.
+    Of these, a row goes if an earlier one, gone or not, has a Jaccard similarity of 4/5 or more by distinct shingles of
+    five words, A-Z lowered: an exact join, as fingerprints of such texts may be far apart. A null doc_id counts as
+    larger than any other.
     """
     rows = checkpoint(docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("__id"), fingerprint(F.col(text), width).alias("fp")))
     groups = group_fingerprints(rows, radius)
@@ -118,4 +121,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     firsts = checkpoint(firsts)
     keyed = docs.withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))).withColumn("__fp", fingerprint(F.col(text), width))
     kept = keyed.join(firsts, ["__id", "__fp"], "left_semi")
-    return kept.dropDuplicates(["__id", "__fp"]).select(*docs.columns)
+    kept = checkpoint(kept.dropDuplicates(["__id", "__fp"]).select(*docs.columns))
+    release(docs.sparkSession)
+    gone = later_documents(kept, doc_id, text).toDF("__of", "__th")
+    return kept.join(joinable(keep(gone)), F.col(doc_id).cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(text) == F.col("__th")), "left_anti")
