@@ -1,6 +1,6 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join, in DataFrame functions only.
 
-A line's tokens are its distinct shingles of five words. Two lines are alike if the Jaccard similarity of their token
+A line's tokens are its distinct shingles of five words; one to four words are one token. Two lines are alike if the Jaccard similarity of their token
 sets is at least 4/5. Of sets that alike, any global order of tokens makes the first fifth (and one) of either share a
 token, so lines meet by the tokens of their prefixes. Shingles that begin with a long, hence rare, word come first; lines
 that meet a token of more than FREQUENT lines in their prefixes are ordered anew by rarity, counted over all tokens of all
@@ -48,12 +48,12 @@ def _shingle(h: Column, x: Column, i: Column) -> Column:
 
 
 def _starts(h: Column) -> Column:
-    """The hashes at which a shingle begins."""
-    return F.slice(h, 1, F.greatest(F.size(h) - (SHINGLE - 1), F.lit(0)))
+    """The hashes at which a shingle begins; that of fewer than five words is all of them."""
+    return F.slice(h, 1, F.greatest(F.size(h) - (SHINGLE - 1), F.lit(1)))
 
 
 def _tokens(h: Column) -> Column:
-    """Distinct shingles in order; none of fewer than five words. h: the words' hashes."""
+    """Distinct shingles in order; none without words. h: the words' hashes."""
     return F.sort_array(F.array_distinct(F.transform(_starts(h), lambda x, i: _shingle(h, x, i))))
 
 
@@ -84,10 +84,10 @@ def _joinable(df: DataFrame) -> DataFrame:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """l1 and l2 (hashes of a line), at (its place in the order of all lines) and line, of all lines that can have five words."""
+    """l1 and l2 (hashes of a line), at (its place in the order of all lines) and line, of all lines that are not empty."""
     each = rows.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "ln").alias("at")
-    return each.where(F.length("line") >= 2 * SHINGLE - 1).select(F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"), at, "line")
+    return each.where(F.length("line") > 0).select(F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"), at, "line")
 
 
 def _signature(tokens: Column) -> Column:
@@ -160,7 +160,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """(doc_id, th, ln): the lines that go, by document (its id and the hash of its text) and number from 0.
 
     A line goes if an earlier one in the order of doc_id (null last), hash of the text and number equals it or is
-    alike. Lines of fewer than five words stay. Repeated rows are one document. Null and empty texts have no lines.
+    alike. Lines without words stay. Repeated rows are one document. Null and empty texts have no lines.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return _removed(_lines(rows)).select("at.doc_id", "at.th", "at.ln")

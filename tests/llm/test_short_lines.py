@@ -1,0 +1,40 @@
+"""Line dedup with lines of one to four words, whose token is their whole word sequence."""
+
+import pytest
+
+from graphloom.llm import lines
+from tests.llm import test_lines
+from tests.llm.helpers import SF, WORDS
+
+
+def brute(docs):
+    """test_lines.brute() with the short lines."""
+    found = []
+    for i, t in dict.fromkeys((i, t) for i, t in docs if t is not None):
+        for k, line in enumerate(t.split("\n")):
+            if w := WORDS.findall(line):
+                found.append((i, t, k, frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4)))))
+    return found
+
+
+def check(spark, docs):
+    plain = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    hashes = {r[0]: r[1] for r in docs.selectExpr("text", "xxhash64(text)").collect()}
+    want = test_lines.gone(brute(plain), lambda i, t: (i is None, i or 0, hashes[t]))
+    got = lines.count_removed(docs).collect()
+    key = lambda r: (r[0] is None, r)
+    expected = [(i, ",".join(str(k) for k in range(len((t or "").split("\n"))) if (i, t, k) in want)) for i, t in plain]
+    assert sorted(((r.doc_id, r.removed) for r in got), key=key) == sorted(expected, key=key)
+    return want
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_repeats_of_short_lines_go(spark, monkeypatch, rows):
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", rows)
+    docs = spark.createDataFrame([(1, "one two three four five\nshort\nA b c\n\n "), (2, "short\na b c\n short \nA\tb c\n\n "), (3, "short b\nshort\none two three four\none two three four five"), (4, None), (5, "")], "doc_id long, text string")
+    assert check(spark, docs) == {(2, docs.collect()[1].text, k) for k in (0, 2, 3)} | {(3, docs.collect()[2].text, k) for k in (1, 3)}
+
+
+def test_whole_table(spark):
+    gone = check(spark, spark.read.parquet(f"{SF}/documents.parquet"))
+    assert sum(len(WORDS.findall(t.split("\n")[k])) < 5 for _, t, k in gone) > 400
