@@ -80,6 +80,14 @@ def _strides(step: DataFrame, most: int) -> tuple[DataFrame, int]:
     return step, reach
 
 
+def cyclic_closure(edges: DataFrame) -> DataFrame:
+    """(start, node, distance) of all that each source reaches over one edge or more; itself by its shortest cycle, if it lies on one."""
+    pairs = closure(edges.select("source"), edges)
+    back = edges.select(F.col("source").alias("node"), F.col("target").alias("start"))
+    cycles = pairs.join(back, ["start", "node"]).groupBy("start").agg((F.min("distance") + 1).alias("distance"))
+    return pairs.where("distance > 0").unionByName(cycles.withColumn("node", F.col("start")))
+
+
 def doubled_closure(edges: DataFrame) -> DataFrame:
     """(start, node, distance) of all pairs, distance 1 or more except on cycles, by squaring: a number of rounds that is the logarithm of the longest distance."""
     pairs = cut(edges.select(F.col("source").alias("start"), F.col("target").alias("node"), F.lit(1).alias("distance")).distinct())

@@ -302,8 +302,7 @@ def propagated_sinks(spark, sf):
 
 @query(", c AS (SELECT source AS start, target AS node, 1 AS d FROM users UNION SELECT c.start, u.target, c.d + 1 FROM c JOIN users u ON u.source = c.node WHERE c.d < 6) SELECT start, node, CAST(min(d) AS INT) AS distance FROM c WHERE start <> node GROUP BY start, node", "users")
 def cyclic_closure(spark, sf):
-    edges = users(spark, sf)
-    return traverse.closure(edges.select("source"), edges, 6).where("distance > 0")
+    return traverse.cyclic_closure(users(spark, sf))
 
 
 @query(
