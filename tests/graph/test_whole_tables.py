@@ -39,3 +39,12 @@ def test_cyclic_closure_has_users_that_reach_themselves(spark):
     want = walked([tuple(r) for r in projection.users(spark, SF).select("source", "target").collect()])
     got = queries.QUERIES["cyclic_closure"](spark, SF).collect()
     assert len(got) == len(want) and {(r.start, r.node): r.distance for r in got} == want
+
+
+def test_users_are_linked_by_all_events(spark):
+    from graphloom.plans import projection
+
+    events = spark.read.parquet(f"{SF}/events.parquet").select("ts", "event_id", "user_id").collect()
+    by = [str(r.user_id) for r in sorted(events)]
+    got = [tuple(r) for r in projection.users(spark, SF).select("source", "target").collect()]
+    assert sorted(got) == sorted({(a, b) for a, b in zip(by, by[1:], strict=False) if a != b})
