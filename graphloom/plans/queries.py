@@ -509,7 +509,7 @@ def merged_edges(spark, sf):
 )
 def located_lines(spark, sf):
     g = graph(spark, sf)
-    lines = tables(spark, sf, "lineitem")["lineitem"].where("l_orderkey % 50 = 0")
+    lines = tables(spark, sf, "lineitem")["lineitem"]
     files = g.nodes.where("type = 'function'").select("file", F.col("seq").alias("l_orderkey")).where("l_orderkey < 1000000000")
     probes = lines.join(files, "l_orderkey").select(F.concat_ws("-", "l_orderkey", F.col("l_quantity").cast("int")).alias("probe"), "file", (F.col("l_quantity") * 20).cast("int").alias("line")).distinct()
     return flows.resolve(probes, g.nodes)

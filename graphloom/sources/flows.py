@@ -30,12 +30,15 @@ def read_sarif(spark: SparkSession, path: str, root: str = "") -> DataFrame:
 def resolve(probes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(probe, id) for probes (probe, file, line): the smallest node that holds the line, functions first, then modifiers; else the nearest such node if it starts within NEAR lines; else null."""
     own = nodes.select(F.translate("file", "\\", "/").alias("n_file"), F.col("id").alias("n_id"), F.col("type").alias("n_type"), F.col("line_start").alias("n_from"), F.col("line_end").alias("n_to"))
-    both = probes.join(own, F.col("file") == F.col("n_file"), "left")
+    # what a line resolves to depends on its place alone, so each place is joined with the nodes of its file once
+    both = probes.select("file", "line").distinct().join(own, F.col("file") == F.col("n_file"), "left")
     rank = F.when(F.col("n_type") == "function", 0).when(F.col("n_type") == "modifier", 1).otherwise(2)
     holds = F.col("line").between(F.col("n_from"), F.col("n_to"))
     inside = F.min(F.when(holds, F.struct(rank.alias("r"), (F.col("n_to") - F.col("n_from")).alias("s"), "n_from", "n_id")))
     near = F.min(F.when(F.col("n_id").isNotNull(), F.struct(rank.alias("r"), F.abs(F.col("n_from") - F.col("line")).alias("d"), "n_from", "n_id")))
-    best = both.groupBy("probe").agg(inside.alias("inside"), near.alias("near"))
+    places = both.groupBy(F.col("file").alias("p_file"), F.col("line").alias("p_line")).agg(inside.alias("inside"), near.alias("near"))
+    found = probes.join(places, F.col("file").eqNullSafe(F.col("p_file")) & F.col("line").eqNullSafe(F.col("p_line")))
+    best = found.groupBy("probe").agg(F.min("inside").alias("inside"), F.min("near").alias("near"))
     return best.select("probe", F.coalesce("inside.n_id", F.when(F.col("near.d") <= NEAR, F.col("near.n_id"))).alias("id"))
 
 

@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+import duckdb
+
 from graphloom.operators import traverse
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +50,24 @@ def test_users_are_linked_by_all_events(spark):
     by = [str(r.user_id) for r in sorted(events)]
     got = [tuple(r) for r in projection.users(spark, SF).select("source", "target").collect()]
     assert sorted(got) == sorted({(a, b) for a, b in zip(by, by[1:], strict=False) if a != b})
+
+
+def test_every_line_is_located(spark):
+    from graphloom.plans import projection, queries
+
+    db = duckdb.connect()
+    for t in ("orders", "part", "supplier"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    nodes = db.execute(projection.sql(" SELECT file, type, line_start, line_end, id, seq FROM nodes", "nodes")).fetchall()
+    home = {seq: file for file, kind, _, _, _, seq in nodes if kind == "function" and seq < 1_000_000_000}
+    by_file = defaultdict(list)
+    for file, kind, *rest in nodes:
+        by_file[file].append(({"function": 0, "modifier": 1}.get(kind, 2), *rest))
+    want = {}
+    for key, quantity in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_quantity").collect():
+        line, own = int(quantity * 20), by_file[home[key]]
+        inside = min(((r, e - s, s, i) for r, s, e, i, _ in own if s <= line <= e), default=None)
+        near = min((r, abs(s - line), s, i) for r, s, _, i, _ in own)
+        want[f"{key}-{int(quantity)}"] = inside[3] if inside else near[3] if near[1] <= 3 else None
+    got = queries.QUERIES["located_lines"](spark, SF).collect()
+    assert len(got) == len(want) and {r.probe: r.id for r in got} == want
