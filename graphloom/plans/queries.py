@@ -479,7 +479,7 @@ _RAW = "SELECT 'n' || CAST(l_partkey % 300 AS STRING) AS source, 'm' || CAST(l_s
 
 def _raw_edges(spark, sf) -> DataFrame:
     lineitem = tables(spark, sf, "lineitem")["lineitem"]
-    return lineitem.where("l_orderkey % 5 = 0").selectExpr("'n' || CAST(l_partkey % 300 AS STRING) AS source", "'m' || CAST(l_suppkey % 10 AS STRING) AS target", "'calls' AS relation", "'{\"k' || CAST(l_linenumber AS STRING) || '\":' || CAST(CAST(l_quantity AS INT) AS STRING) || ',\"last\":\"' || l_returnflag || '\"}' AS attributes", "l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS seq")
+    return lineitem.selectExpr("'n' || CAST(l_partkey % 300 AS STRING) AS source", "'m' || CAST(l_suppkey % 10 AS STRING) AS target", "'calls' AS relation", "'{\"k' || CAST(l_linenumber AS STRING) || '\":' || CAST(CAST(l_quantity AS INT) AS STRING) || ',\"last\":\"' || l_returnflag || '\"}' AS attributes", "l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS seq")
 
 
 _RAW = _RAW.replace("CAST(l_quantity AS STRING)", "CAST(CAST(l_quantity AS INT) AS STRING)")

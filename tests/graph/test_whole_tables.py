@@ -1,5 +1,6 @@
 """Queries against plain versions over whole tables, without the cuts of their SQL."""
 
+import json
 import random
 from collections import defaultdict
 
@@ -71,3 +72,34 @@ def test_every_line_is_located(spark):
         want[f"{key}-{int(quantity)}"] = inside[3] if inside else near[3] if near[1] <= 3 else None
     got = queries.QUERIES["located_lines"](spark, SF).collect()
     assert len(got) == len(want) and {r.probe: r.id for r in got} == want
+
+
+def raw_edges(spark):
+    """{(source, target): its (seq, attributes) in order} of all order keys."""
+    out = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect():
+        seq = r.l_orderkey * 100_000_000 + r.l_linenumber * 10_000_000 + r.l_partkey
+        out[f"n{r.l_partkey % 300}", f"m{r.l_suppkey % 10}"].append((seq, f'{{"k{r.l_linenumber}":{int(r.l_quantity)},"last":"{r.l_returnflag}"}}'))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_edges_of_all_orders_are_inserted(spark):
+    from graphloom.plans import queries
+
+    want = {k: (*v[0], *v[-1]) for k, v in raw_edges(spark).items()}
+    got = queries.QUERIES["inserted_edges"](spark, SF).collect()
+    assert len(got) == len(want)
+    assert {(r.source, r.target): (r.first_seq, r.first_attributes, r.last_seq, r.last_attributes) for r in got} == want
+
+
+def test_edges_of_all_orders_are_merged(spark):
+    from graphloom.plans import queries
+
+    want = {}
+    for key, rows in raw_edges(spark).items():
+        merged = {}
+        for _, attributes in rows:
+            merged |= json.loads(attributes)
+        want[key] = merged
+    got = queries.QUERIES["merged_edges"](spark, SF).collect()
+    assert len(got) == len(want) and {(r.source, r.target): json.loads(r.attributes) for r in got} == want
