@@ -197,11 +197,14 @@ def _removed(lines: DataFrame) -> DataFrame:
 
 
 def _by_rarity(known: DataFrame) -> DataFrame:
-    """Entries of the prefixes, tokens of more than FREQUENT of these lines coming last, by the number of lines."""
+    """Entries of the prefixes, tokens of more than FREQUENT of these lines coming last, by the number of lines.
+
+    The lines of repeated rows are there more than once; their tokens count once.
+    """
     counts = known.select(F.explode("tokens").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") > FREQUENT)
     counts = _joinable(checkpoint(counts))
     each = known.select("l", F.col("at.doc_id").alias("doc"), "sig", "tokens").repartition("l").select("l", "doc", "sig", F.explode("tokens").alias("tok"))
-    ranked = each.join(counts, "tok", "left").groupBy("l", "doc", "sig").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("t"))
+    ranked = each.join(counts, "tok", "left").groupBy("l", "doc", "sig").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("t"))
     return ranked.select("l", "doc", "sig", F.size("t").alias("n"), F.posexplode(F.slice("t", 1, _prefix(F.size("t")))).alias("i", "e")).select("l", "doc", "sig", "n", "i", F.col("e.tok").alias("tok"))
 
 

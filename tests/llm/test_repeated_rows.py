@@ -1,0 +1,22 @@
+"""Line dedup where rows repeat and tokens are frequent."""
+
+import random
+
+import pytest
+
+from graphloom.llm import lines
+from tests.llm import test_short_lines
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_lines_like_those_of_repeated_rows_go(spark, monkeypatch, rows):
+    monkeypatch.setattr(lines, "FREQUENT", 3)
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", rows)
+    rng = random.Random(5)
+    docs = []
+    for i in range(40):
+        own = [f"w{k}" for k in range(40)]
+        own[rng.randrange(40)] = f"x{i}"
+        docs += [(i, " ".join(own))] * (1 + 2 * (i % 3 == 0))
+    want = test_short_lines.check(spark, spark.createDataFrame(docs, "doc_id long, text string"))
+    assert want
