@@ -20,8 +20,6 @@ WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
 #: The classifier is fit on so many labelled documents at most, the first by a hash of their ids.
 SAMPLE = 6000
-#: And has so many (language, word) and (language, n-gram) entries at most, the most frequent.
-ENTRIES = 200_000
 UNSEEN = 0.1
 CACHE = 200_000
 UNDETERMINED = "und"
@@ -93,7 +91,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from text and lang of rows that are not held out and have both."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     drawn = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).agg(F.max(F.xxhash64("doc_id"))).first()[0]
@@ -101,8 +99,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         return Model([])
     used = rows.where(F.xxhash64("doc_id") <= F.lit(drawn)).select("lang", "text")
     counts = used.mapInArrow(_count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "kind", "gram", "lang").limit(entries).collect()
-    return Model([tuple(r) for r in top])
+    return Model([tuple(r) for r in counts.collect()])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "predicted") -> DataFrame:
