@@ -2,45 +2,63 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 #: Rows in a batch handed to Python. Texts differ in length by four orders of magnitude, so batches stay short.
 BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a copy in the shared folder of spark.checkpoint.dir (a folder of our own only where that is unset).
+    """Cut the lineage by a copy in the shared folder of spark.checkpoint.dir, with as many files as df has partitions.
 
-    It has two files at most for each core of the cluster.
+    On one machine, as in tests, a folder of our own will do where that is unset; on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.coalesce(2 * sc.defaultParallelism).checkpoint(eager=True)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Holds a table that is read more than once on the executors' disks; what is lost with one is computed again."""
-    return df.persist(StorageLevel.DISK_ONLY)
+#: Rows of a few numbers that may be broadcast (some 30 MB).
+BROADCAST_ROWS = 300_000
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of tables that nothing refers to any more; it learns of them by garbage collection only."""
-    gc.collect()
-    spark._jvm.System.gc()
+def joinable(df: DataFrame) -> DataFrame:
+    """df, which is counted here, to be broadcast if it has few rows; beyond, the join is by shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+#: Bits of a set of hashes that is sent to every task (4 MB). When it fills up, more hashes seem to be in it.
+SET_BITS = 1 << 25
+
+
+def bits_of(rows: DataFrame, column: str) -> Column:
+    """A set of hashes as an array of longs, to be asked by has_bit(); it takes the same room whatever the rows."""
+    word = F.shiftright(F.col(column).bitwiseAND(F.lit(SET_BITS - 1)), 6).cast("int").alias("word")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(column).bitwiseAND(F.lit(63)).cast("int"))
+    found = rows.groupBy(word).agg(F.bit_or(mask).alias("mask"))
+    every = rows.sparkSession.range(SET_BITS >> 6).select(F.col("id").cast("int").alias("word")).join(found, "word", "left")
+    whole = every.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")))).alias("a"))
+    return whole.select(F.transform("a", lambda x: x["mask"])).scalar()
+
+
+def has_bit(bits: Column, h: Column) -> Column:
+    """True for every hash of the set, and for a share of all others, the same each time."""
+    word = F.get(bits, F.shiftright(h.bitwiseAND(F.lit(SET_BITS - 1)), 6).cast("int"))
+    return F.call_function("shiftright", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def key_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple[int, ...], pa.Table]]:

@@ -1,31 +1,33 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join, in DataFrame functions only.
 
-A line's tokens are its distinct shingles of five words; one to four words are one token. Two lines are alike if the Jaccard similarity of their token
-sets is at least 4/5. Of sets that alike, any global order of tokens makes the first fifth (and one) of either share a
-token, so lines meet by the tokens of their prefixes. Shingles that begin with a long, hence rare, word come first; lines
-that meet a token of more than FREQUENT lines in their prefixes are ordered anew by rarity, counted over all tokens of all
-such lines, so that what is common to many lines comes last. Pairs that pass the length and positional filters are verified, and the later line goes.
+A line's tokens are its distinct words, ordered by rarity: by how often a word is found in the whole corpus, then by
+its hash. The counts are kept in a sketch of fixed size, so words that share a place in it count together; that moves
+words in the order and changes no result. Lines whose Jaccard similarity is 4/5 or more are found as `setjoin` says and
+verified on their words, and the later one goes. Lines that are equal, byte for byte, are merged before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint, keep, release
+from graphloom.llm.common import checkpoint, joinable
+from graphloom.llm.setjoin import entries, later_sets, prefix, signatures
 
-SHINGLE = 5
-#: Lines in which a token of a prefix is found, beyond which its lines are ordered by rarity, or compared with the first of them before others.
-FREQUENT = 64
-#: Characters of a word that counts as short.
-SHORT = 4
-#: Rows of two hashes that may be broadcast (some 100 MB); beyond, the join is by shuffle.
-BROADCAST_ROWS = 1_000_000
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Places of the sketch of word counts (a power of two); its 4 MB are all that goes to every task.
+PLACES = 1 << 22
+#: A word's class is 4 times the binary logarithm of its count, 127 at most. Classes above this one (over some 200 times) are common.
+COMMON = 30
+#: What parts words, but for the line break.
+SPACES = " \t\x0b\x0c\r"
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
+def words_of(line: Column) -> Column:
+    untidy = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for c in ("  ", *SPACES[1:]):
+        untidy = untidy | F.contains(line, F.lit(c))
+    plain = F.translate(line, SPACES[1:], " " * len(SPACES[1:]))
+    return F.when(untidy, F.array_remove(F.split(plain, " "), "")).otherwise(F.split(line, " "))
 
 
 def _let(value: Column, body) -> Column:
@@ -33,198 +35,112 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _hashes(line: Column) -> Column:
-    """Of the words; those of long words, which are rarer, come before all others."""
-    return F.transform(_words(line), lambda w: F.when(F.length(w) <= SHORT, F.shiftrightunsigned(F.xxhash64(w), 1)).otherwise(F.xxhash64(w).bitwiseOR(F.lit(-(1 << 63)))))
-
-
-def _high(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(-(1 << 32)))
-
-
-def _shingle(h: Column, x: Column, i: Column) -> Column:
-    """A token: half from its first word, by which tokens are ordered, and half from all its words."""
-    return _high(x).bitwiseOR(F.xxhash64(x, *(F.get(h, i + k) for k in range(1, SHINGLE))).bitwiseAND(F.lit((1 << 32) - 1)))
-
-
-def _starts(h: Column) -> Column:
-    """The hashes at which a shingle begins; that of fewer than five words is all of them."""
-    return F.slice(h, 1, F.greatest(F.size(h) - (SHINGLE - 1), F.lit(1)))
-
-
-def _tokens(h: Column) -> Column:
-    """Distinct shingles in order; none without words. h: the words' hashes."""
-    return F.sort_array(F.array_distinct(F.transform(_starts(h), lambda x, i: _shingle(h, x, i))))
-
-
-def _prefix_tokens(h: Column) -> Column:
-    """The prefix of _tokens and some more: all shingles that begin with the first words in it.
-
-    As many distinct first words as the prefix has tokens (or all) stand for as many tokens at least, so only their
-    shingles need to be made.
-    """
-
-    def made(starts: Column, last: Column) -> Column:
-        return F.array_distinct(F.array_compact(F.transform(starts, lambda x, i: F.when(_high(x) <= last, _shingle(h, x, i)))))
-
-    def of(starts: Column) -> Column:
-        n = _prefix(F.size(starts))
-        return _let(F.sort_array(F.array_distinct(starts)), lambda words: _let(_high(F.get(words, F.least(n, F.size(words)) - 1)), lambda last: made(starts, last)))
-
-    return _let(_starts(h), of)
-
-
-def _prefix(n: Column) -> Column:
-    """n - ceil(4 n / 5) + 1, in whole numbers."""
-    return (n - F.floor((4 * n + 4) / 5) + 1).cast("int")
-
-
-def _joinable(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _lines(rows: DataFrame) -> DataFrame:
-    """l1 and l2 (hashes of a line), at (its place in the order of all lines) and line, of all lines that are not empty."""
+    """at (the place in the order of all lines) and line, of all lines that have a word."""
     each = rows.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "ln").alias("at")
-    return each.where(F.length("line") > 0).select(F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"), at, "line")
-
+    return each.where(F.btrim("line", F.lit(SPACES)) != "").select(at, "line")
 
-def _signature(tokens: Column) -> Column:
-    """64 parities of tokens by hash: two sets differ in as many tokens at least as their signatures in bits."""
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
+def _hashed(lines: DataFrame) -> DataFrame:
+    """With l and l2, 128 bits of hash of the line."""
+    return lines.select("at", "line", F.xxhash64("line").alias("l"), F.xxhash64(F.lit(7), "line").alias("l2"))
 
-def _fits(a: str, b: str) -> Column:
-    """The length filter, the positional filter, and the bound that signatures give."""
-    na, nb, ia, ib = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.i"), F.col(f"{b}.i")
-    most = F.least(ia, ib) + F.least(na - ia, nb - ib)
-    apart = F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig")))
-    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (9 * most >= 4 * (na + nb)) & (9 * apart <= na + nb)
 
+def _place(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(PLACES - 1)).cast("int")
 
-def _pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
+def _classes(lines: DataFrame) -> DataFrame:
+    """One row: an array with the class of each place. Eight classes at a time travel in a long."""
+    words = lines.select(F.explode(words_of(F.col("line"))).alias("w"))
+    counts = words.groupBy(_place(F.xxhash64("w")).alias("place")).agg(F.count("*").alias("n"))
+    grade = F.least(F.floor(4 * F.log2(F.col("n").cast("double"))), F.lit(127)).cast("long")
+    eight = F.shiftright("place", 3).alias("q")
+    packed = counts.groupBy(eight).agg(F.bit_or(F.call_function("shiftleft", grade, F.shiftleft(F.col("place").bitwiseAND(7), 3))).alias("v"))
+    every = lines.sparkSession.range(PLACES // 8).select(F.col("id").cast("int").alias("q")).join(packed, "q", "left")
+    whole = every.agg(F.sort_array(F.collect_list(F.struct("q", F.coalesce("v", F.lit(0).cast("long")).alias("v")))).alias("a"))
+    bits = F.array(*(F.lit(8 * k) for k in range(8)))
+    return whole.select(F.flatten(F.transform("a", lambda x: F.transform(bits, lambda k: F.call_function("shiftright", x["v"], k).bitwiseAND(F.lit(127)).cast("tinyint")))))
 
-def _met(entries: DataFrame) -> DataFrame:
-    """Entries (tok, l) whose token other lines have too, with the number of them."""
-    return entries.withColumn("many", F.count("*").over(Window.partitionBy("tok"))).where("many > 1")
 
+def _class(token: Column) -> Column:
+    return F.call_function("shiftright", token, F.lit(56))
 
-def _placed(met: DataFrame, known: DataFrame) -> DataFrame:
-    """met with doc, sig, n (the size of the line's token set) and i (the token's place in its prefix, from 0)."""
-    return met.join(known, "l").select("tok", "l", F.col("at.doc_id").alias("doc"), "sig", F.size("tokens").alias("n"), (F.array_position("tokens", F.col("tok")) - 1).cast("int").alias("i"))
 
+def _set_of(line: Column, classes: Column) -> Column:
+    """n, s1, s2 and tokens, the prefix and one token more. A token: its class in 7 bits, then 56 bits of hash."""
+    hashes = F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
 
-def _with_first(placed: DataFrame) -> DataFrame:
-    """Pairs of each line and the first line that has one of its tokens: as many as there are entries at most."""
-    first = placed.groupBy("tok").agg(F.min(F.struct("doc", "l", "n", "i", "sig")).alias("y"))
-    both = placed.alias("x").join(first.select(F.col("tok").alias("t"), "y"), F.col("tok") == F.col("t"))
-    return both.where((F.col("x.l") != F.col("y.l")) & _fits("x", "y")).select(*_pair(F.col("x.l"), F.col("y.l")))
+    def token(h: Column, c: Column) -> Column:
+        return F.call_function("shiftleft", F.get(c, _place(h)).cast("long"), F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
 
+    def made(h: Column) -> Column:
+        s1, s2 = signatures(h)
+        tokens = _let(classes, lambda c: F.sort_array(F.transform(h, lambda x: token(x, c))))
+        return F.struct(F.size(h).alias("n"), s1.alias("s1"), s2.alias("s2"), F.slice(tokens, F.lit(1), prefix(F.size(h)) + 1).alias("tokens"))
 
-def _with_others(rest: DataFrame, placed: DataFrame) -> DataFrame:
-    """Pairs of each of the rest and all lines that have one of its tokens, unless in a later document."""
-    x, y = rest.alias("x"), placed.alias("y")
-    order = (F.col("y.doc") <= F.col("x.doc")) | F.col("x.doc").isNull() | F.col("y.doc").isNull()
-    return x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.l") != F.col("y.l")) & order & _fits("x", "y")).select(*_pair(F.col("x.l"), F.col("y.l")))
+    return _let(hashes, made)
 
 
-def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """(l, at) of the later lines of pairs that are alike."""
-    pairs = checkpoint(pairs.distinct())
-    some = _joinable(keep(pairs.select(F.col("a").alias("l")).union(pairs.select("b")).distinct()))
-    known = known.join(some, "l", "left_semi")
-    a = known.select(F.col("l").alias("a"), F.col("at").alias("at_a"), F.col("tokens").alias("t_a"))
-    b = known.select(F.col("l").alias("b"), F.col("at").alias("at_b"), F.col("tokens").alias("t_b"))
-    both = pairs.join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("t_a", "t_b"))
-    alike = both.where((9 * shared >= 4 * (F.size("t_a") + F.size("t_b"))) & (F.col("at_a") != F.col("at_b")))
-    later = F.when(F.col("at_a") > F.col("at_b"), F.struct(F.col("a").alias("l"), F.col("at_a").alias("at"))).otherwise(F.struct(F.col("b").alias("l"), F.col("at_b").alias("at")))
-    return alike.select(later.alias("x")).select("x.*").distinct()
-
-
-def _copies_and_met(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines found more than once with their first places, the places of their copies, and the tokens by which first lines meet."""
-    base = checkpoint(lines.select("l1", "l2", "at", _let(_hashes(F.col("line")), _prefix_tokens).alias("prefix"))).where(F.size("prefix") > 0)
-    twice = _joinable(keep(base.groupBy("l1", "l2").count().where("count > 1").select("l1", "l2")))
-    copies = checkpoint(base.join(twice, ["l1", "l2"]).groupBy("l1", "l2").agg(F.min("at").alias("first")))
-    again = checkpoint(base.select("l1", "l2", "at").join(_joinable(copies), ["l1", "l2"]).where(F.col("at") != F.col("first")).select("at"))
-    firsts = base.join(_joinable(copies), ["l1", "l2"], "left").where("first is null or at = first")
-    entries = firsts.select(F.col("l1").alias("l"), F.explode("prefix").alias("tok"))
-    return copies, again, checkpoint(_met(entries))
+def _firsts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets, again): a row for each distinct line, with at, l, doc, n, s1, s2 and tokens; at of the copies of earlier lines."""
+    hashed = _hashed(lines)
+    twice = hashed.groupBy("l", "l2").agg(F.min("at").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    twice = joinable(checkpoint(twice.select("l", "l2", "first")))
+    placed = hashed.join(twice, ["l", "l2"], "left").withColumn("classes", _classes(lines).scalar())
+    own = F.col("first").isNull() | (F.col("at") == F.col("first"))
+    rows = placed.select("l", "l2", "at", F.col("first").isNull().alias("single"), F.when(own, _set_of(F.col("line"), F.col("classes"))).alias("s"))
+    rows = checkpoint(rows.select("l", "l2", "at", "single", "s.*"))
+    # a first line is there as often as its row repeats
+    firsts = rows.where("single").union(rows.where("not single and n is not null").dropDuplicates(["l", "l2"]))
+    doc = F.coalesce("at.doc_id", F.lit((1 << 63) - 1)).alias("doc")
+    return firsts.select("at", "l", doc, "n", "s1", "s2", "tokens"), rows.where("n is null").select("at")
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, ln): the lines that go, by document (its id and the hash of its text) and number from 0.
 
-    A line goes if an earlier one in the order of doc_id (null last), hash of the text and number equals it or is
-    alike. Lines without words stay. Repeated rows are one document. Null and empty texts have no lines.
+    A line goes if an earlier one in the order of doc_id (null last), hash of the text and number equals it, or has a
+    set of words with a Jaccard similarity of 4/5 or more, be that one gone itself or not. Words are what spaces,
+    tabs and the like part, as they are written. Lines without words stay. Repeated rows are one document. Null and
+    empty texts have no lines; an empty table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return _removed(_lines(rows)).select("at.doc_id", "at.th", "at.ln")
-
-
-def later_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, th): the documents that go, as if each were one line with A-Z lowered, by id and hash of the text."""
-    one = F.translate(text, UPPER + "\n", UPPER.lower() + " ")
-    at = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.lit(0).alias("ln")).alias("at")
-    lines = docs.where(F.col(text).isNotNull()).select(F.xxhash64(one).alias("l1"), F.xxhash64(F.lit(7), one).alias("l2"), at, one.alias("line"))
-    return _removed(lines).select("at.doc_id", "at.th")
-
-
-def _removed(lines: DataFrame) -> DataFrame:
-    """at of the lines that an earlier one equals or is like."""
-    spark = lines.sparkSession
-    copies, again, met = _copies_and_met(lines)
-    with_copies = _joinable(copies)
-    release(spark)
-    wanted = _joinable(keep(met.select("l").distinct()))
-    hashes = _hashes(F.col("line"))
-    found = lines.join(wanted, F.col("l1") == F.col("l"), "left_semi").join(with_copies, ["l1", "l2"], "left").where("first is null or at = first")
-    known = found.select(F.col("l1").alias("l"), "at", _let(hashes, _tokens).alias("tokens"))
-    known = checkpoint(known).withColumn("sig", _signature(F.col("tokens")))
-    release(spark)
-    often = keep(met.where(F.col("many") > FREQUENT).select("l").distinct())
-    by_rarity = _met(_by_rarity(known.join(_joinable(often), "l"))).select("tok", "l", "doc", "sig", "n", "i")
-    placed = checkpoint(_placed(met.where(F.col("many") <= FREQUENT), known).union(by_rarity))
-    gone = checkpoint(_verified(_with_first(placed), known))
-    release(spark)
-    rest = placed.join(_joinable(gone.select("l").distinct()), "l", "left_anti")
-    near = gone.union(_verified(_with_others(rest, placed), known)).select("at")
-    return near.union(again).distinct()
-
-
-def _by_rarity(known: DataFrame) -> DataFrame:
-    """Entries of the prefixes, tokens of more than FREQUENT of these lines coming last, by the number of lines.
-
-    The lines of repeated rows are there more than once; their tokens count once.
-    """
-    counts = known.select(F.explode("tokens").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") > FREQUENT)
-    counts = _joinable(checkpoint(counts))
-    each = known.select("l", F.col("at.doc_id").alias("doc"), "sig", "tokens").repartition("l").select("l", "doc", "sig", F.explode("tokens").alias("tok"))
-    ranked = each.join(counts, "tok", "left").groupBy("l", "doc", "sig").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("t"))
-    return ranked.select("l", "doc", "sig", F.size("t").alias("n"), F.posexplode(F.slice("t", 1, _prefix(F.size("t")))).alias("i", "e")).select("l", "doc", "sig", "n", "i", F.col("e.tok").alias("tok"))
+    lines = _lines(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    sets, again = _firsts(lines)
+    rare, often = entries(sets, lambda t: _class(t) > COMMON, lambda t: _class(t) == 0)
+
+    def known_of(ids: DataFrame) -> DataFrame:
+        wanted = joinable(checkpoint(sets.join(joinable(ids), "l", "left_semi").select("l", "at")))
+        found = lines.join(wanted, "at").select("l", "at", F.array_distinct(words_of(F.col("line"))).alias("items"))
+        return found.dropDuplicates(["l", "at"])
+
+    near = later_sets(rare, often, known_of, "coalesce(at.doc_id, 9223372036854775807)")
+    return near.union(again).distinct().select("at.doc_id", "at.th", "at.ln")
 
 
 def _per_document(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     gone = removed_lines(docs, doc_id, text)
-    return gone.groupBy(F.col("doc_id").alias("__of"), F.col("th").alias("__th")).agg(F.sort_array(F.collect_list("ln")).alias("__gone"))
+    return gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("ln")).alias("gone")).alias("g")
+
+
+def _of(row: DataFrame, gone: DataFrame) -> DataFrame:
+    return row.alias("d").join(gone, F.col("d.id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.th") == F.col("g.th")), "left")
 
 
 def count_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_lines, n_removed, removed (the numbers of the lines, comma-joined)."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"), F.xxhash64(text).alias("th"))
-    rows = rows.withColumn("n_lines", F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")))
-    joined = rows.join(_per_document(docs, doc_id, text), F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("th") == F.col("__th")), "left")
-    n = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
-    return joined.select("doc_id", "n_lines", n.alias("n_removed"), F.coalesce(F.array_join(F.transform("__gone", lambda x: x.cast("string")), ","), F.lit("")).alias("removed"))
+    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("th"), n.alias("n_lines"))
+    gone = F.col("g.gone")
+    numbers = F.array_join(F.transform(gone, lambda x: x.cast("string")), ",")
+    return _of(rows, _per_document(docs, doc_id, text)).select("d.doc_id", "n_lines", F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(numbers, F.lit("")).alias("removed"))
 
 
 def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the lines that go taken out of the text, all other columns as they were. A null text stays null."""
-    gone = _per_document(docs, doc_id, text)
-    joined = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(text) == F.col("__th")), "left")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)).select(*docs.columns)
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.struct("*").alias("row"))
+    joined = _of(rows, _per_document(docs, doc_id, text))
+    left = F.array_join(F.filter(F.split(F.col("row")[text], "\n"), lambda x, i: ~F.array_contains(F.col("g.gone"), i)), "\n")
+    kept = F.when(F.col("g.gone").isNull(), F.col("row")[text]).otherwise(left)
+    return joined.select(*(kept.alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns))

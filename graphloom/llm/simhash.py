@@ -15,9 +15,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint, in_blocks, keep, key_groups, local_roots, release
+from graphloom.llm.common import bits_of, checkpoint, has_bit, in_blocks, joinable, key_groups, local_roots
 from graphloom.llm.components import connected_components
-from graphloom.llm.lines import _joinable as joinable, later_documents
+from graphloom.llm.setjoin import entries, later_sets, prefix
 
 RADIUS = 3
 BITS = 64
@@ -34,30 +34,41 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
     return [sum(1 << i for i in range(BITS) if (v & (1 + i % vectors)).bit_count() % 2) for v in range(1, vectors + 1)]
 
 
-def fingerprint_of(text: str | None, width: int = 3) -> int:
-    """The unsigned fingerprint: words of the text with A-Z lowered, shingles of `width` words with repeats, XXH64 with seed 42."""
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 with seed 42 of the shingles of `width` words, repeats included, A-Z lowered, many at a time; of all words if they are fewer."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, 42)
+        yield np.array([digest(joined, 42)], "<u8")
+        return
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.append(0, ends[:-width] + 1)
-    digest = xxhash.xxh64_intdigest
-    counts, n = np.zeros(BITS, np.int64), len(starts)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(starts), 1 << 16):
         pairs = zip(starts[at : at + (1 << 16)].tolist(), ends[width - 1 :][at : at + (1 << 16)].tolist(), strict=True)
-        h = np.fromiter((digest(joined[s:e], 42) for s, e in pairs), "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        yield np.fromiter((digest(joined[s:e], 42) for s, e in pairs), "<u8")
+
+
+def _counted(hashes: list[np.ndarray]) -> int:
+    """The unsigned fingerprint: a bit is 1 if set in over half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for h in hashes:
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > sum(map(len, hashes)), bitorder="little").view("<u8")[0])
+
+
+def fingerprint_of(text: str | None, width: int = 3) -> int:
+    """The unsigned fingerprint of a text; zero without words."""
+    return _counted(list(shingle_hashes(text, width)))
 
 
 def fingerprint(text: Column, width: int) -> Column:
     """A signed 64-bit fingerprint over shingles of `width` words; zero for a null text or one without words."""
 
     def judge(texts: pa.Array) -> pa.Array:
-        return pa.array([_signed(fingerprint_of(t, width)) for t in texts.to_pylist()], pa.int64())
+        return pa.array([_signed(fingerprint_of(t.as_py(), width)) for t in texts], pa.int64())
 
     return F.arrow_udf(judge, "bigint")(text)
 
@@ -107,21 +118,85 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Documents that have a shingle, beyond which it counts as common.
+COMMON = 64
+_SKETCH = "id long, th long, fp long, n int, s1 long, s2 long, tokens array<long>"
+
+
+def distinct_hashes(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted as signed numbers."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, width)]).view(np.int64))
+
+
+def _parities(h: np.ndarray) -> tuple[int, int]:
+    """setjoin.signatures() of hashes."""
+    odd = np.bincount(h & 127, minlength=128).astype(np.uint8) & 1
+    low, high = np.packbits(odd, bitorder="little").view("<i8")
+    return int(high), int(low)
+
+
+def _sketch(width: int):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, th, text in zip(*batch.columns, strict=True):
+                hashes = list(shingle_hashes(text.as_py(), width))
+                own = np.unique(np.concatenate([np.zeros(0, "<u8"), *hashes]).view(np.int64))
+                n = len(own)
+                rows.append((doc_id.as_py(), th.as_py(), _signed(_counted(hashes)), n, *_parities(own), own[: n - (4 * n + 4) // 5 + 2]))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "th", "fp", "n", "s1", "s2", "tokens"])
+
+    return sketch
+
+
+def _items(width: int):
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array([distinct_hashes(t.as_py(), width) for t in batch.column(3)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], own], ["l", "id", "th", "items"])
+
+    return items
+
+
+def _later(docs: DataFrame, sketches: DataFrame, width: int) -> DataFrame:
+    """id and th of the documents of sketches whose set of shingles has a Jaccard similarity of 4/5 or more to that of an earlier one."""
+    sets = sketches.where("n > 0").select(F.xxhash64("id", "th").alias("l"), F.col("id").alias("doc"), "id", "th", "n", "s1", "s2", "tokens")
+    counts = sets.select(F.explode(F.slice("tokens", F.lit(1), prefix(F.col("n")))).alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
+    counts = checkpoint(counts.where("n > 1"))
+    found, common = bits_of(counts, "tok"), bits_of(counts.where(F.col("n") > COMMON), "tok")
+    rare, often = entries(sets, lambda t: has_bit(common, t), lambda t: ~has_bit(found, t))
+
+    def known_of(ids: DataFrame) -> DataFrame:
+        wanted = joinable(checkpoint(sets.join(joinable(ids), "l", "left_semi").select("l", "id", "th")))
+        texts = docs.join(wanted, ["id", "th"]).select("l", "id", "th", "text")
+        known = texts.mapInArrow(_items(width), "l long, id long, th long, items array<long>").dropDuplicates(["l", "id", "th"])
+        return known.select("l", F.struct("id", "th").alias("at"), "items")
+
+    return later_sets(rare, often, known_of, "at.id").select("at.id", "at.th")
+
+
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = RADIUS) -> DataFrame:
     """The rows of docs that have the smallest doc_id of their component, one of them where rows repeat, all columns as they were.
 
     Of these, a row goes if an earlier one, gone or not, has a Jaccard similarity of 4/5 or more by distinct shingles of
-    five words, A-Z lowered: an exact join, as fingerprints of such texts may be far apart. A null doc_id counts as
-    larger than any other.
+    `width` words, A-Z lowered: an exact join (`setjoin`), as fingerprints of such texts may be far apart. A null
+    doc_id counts as larger than any other; of unequal texts with one doc_id that with the smaller hash comes first.
+    Texts without words are one component. An empty table stays empty.
     """
-    rows = checkpoint(docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("__id"), fingerprint(F.col(text), width).alias("fp")))
+    keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"), F.struct("*").alias("row"))
+    rows = checkpoint(keyed.select("id", "th", "text").mapInArrow(_sketch(width), _SKETCH))
     groups = group_fingerprints(rows, radius)
-    firsts = rows.groupBy("fp").agg(F.min("__id").alias("__id")).join(groups, "fp")
-    firsts = firsts.groupBy("group").agg(F.min(F.struct("__id", "fp")).alias("first")).select("first.__id", F.col("first.fp").alias("__fp"))
-    firsts = checkpoint(firsts)
-    keyed = docs.withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))).withColumn("__fp", fingerprint(F.col(text), width))
-    kept = keyed.join(firsts, ["__id", "__fp"], "left_semi")
-    kept = checkpoint(kept.dropDuplicates(["__id", "__fp"]).select(*docs.columns))
-    release(docs.sparkSession)
-    gone = later_documents(kept, doc_id, text).toDF("__of", "__th")
-    return kept.join(joinable(keep(gone)), F.col(doc_id).cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(text) == F.col("__th")), "left_anti")
+    each = rows.groupBy("fp", "id", "th").agg(F.count("*").alias("copies"))
+    firsts = each.groupBy("fp").agg(F.min(F.struct("id", "th", "copies")).alias("first")).join(groups, "fp")
+    firsts = checkpoint(firsts.groupBy("group").agg(F.min("first").alias("first")).select("first.*"))
+    own = joinable(firsts.select("id", "th"))
+    sketches = checkpoint(rows.join(own, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]))
+    gone = checkpoint(_later(keyed.select("id", "th", "text"), sketches, width))
+    stay = firsts.join(joinable(gone), ["id", "th"], "left_anti")
+    single, repeated = joinable(stay.where("copies = 1").select("id", "th")), stay.where("copies > 1").select("id", "th")
+    kept = keyed.join(single, ["id", "th"], "left_semi")
+    if not repeated.isEmpty():
+        kept = kept.union(keyed.join(joinable(repeated), ["id", "th"], "left_semi").dropDuplicates(["id", "th"]))
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
