@@ -7,8 +7,9 @@ more: of sets alike, the first two common tokens lie there. So few sets meet at
 of over LONG tokens would have too many such keys and meet by single tokens; those near that bound do both.
 
 Sets that meet pass the length filter, the positional filter and a bound from signatures before they are verified.
-Keys at which over GROUP sets meet are large groups of sets alike, or chance: there all are compared with the first
-one, and only those that are not like it with the others, in blocks.
+Keys at which over GROUP sets meet are large groups of sets alike, or chance. There the smaller set of a pair stands
+under its size and the larger looks under all sizes that its position allows; all are compared with the first one
+under a key and size, and only those that are not found to be like an earlier one with the others.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint, in_blocks, joinable
+from graphloom.llm.common import checkpoint, joinable
 
-#: Sets at a key beyond which they are compared with the first one before others, and the most in a block then.
-GROUP, BLOCK = 64, 1024
+#: Sets at a key beyond which they are compared by size, and with the first one before others.
+GROUP = 64
 #: Tokens in a set from which on a single common token is a key.
 LONG = 100
 ENTRY = ("key", "l", "n", "i", "s1", "s2")
@@ -56,8 +57,9 @@ def entries(sets: DataFrame, common: Callable[[Column], Column], useless: Callab
     rare = each.where(alone).select(tok.alias("key"), *ENTRY[1:])
     often = each.where(common(tok))
     single = often.where((F.col("n") == 1) | (5 * F.col("n") >= 4 * LONG)).select(tok.alias("key"), *ENTRY[1:], "doc")
-    double = often.where((F.col("n") > 1) & (F.col("n") <= LONG)).select("*", F.explode(F.slice("tokens", F.col("i") + 2, F.size("tokens"))).alias("next"))
-    double = double.select(F.xxhash64("tok", "next").alias("key"), *ENTRY[1:], "doc")
+    double = often.where((F.col("n") > 1) & (F.col("n") <= LONG)).select("*", F.posexplode(F.slice("tokens", F.col("i") + 2, F.size("tokens"))).alias("k", "next"))
+    # with the second common token where it is, one token before it is common
+    double = double.withColumn("i", F.col("i") + F.col("k")).select(F.xxhash64("tok", "next").alias("key"), *ENTRY[1:], "doc")
     return rare, single.union(double)
 
 
@@ -77,23 +79,32 @@ def _all_pairs(at_keys: DataFrame) -> DataFrame:
     return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.l") < F.col("y.l")) & _fits("x", "y")).select(F.col("x.l").alias("a"), F.col("y.l").alias("b"))
 
 
+def _by_size(many: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stands, looks): entries under their own size, if a set of that size or more may be like them, and under the sizes that are no larger."""
+    n, i = F.col("n"), F.col("i")
+    stands = many.where(9 * (n - i) >= 8 * n).withColumn("size", n)
+    least, most = F.floor((4 * n + 4) / 5).cast("int"), F.least(n, (F.floor(9 * (n - i) / 4) - n).cast("int"))
+    return stands, many.where(least <= most).withColumn("size", F.explode(F.sequence(least, most)))
+
+
+def _meet(x: DataFrame, y: DataFrame) -> DataFrame:
+    x, y = x.alias("x"), y.alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.l") != F.col("y.l"))
+    return x.join(y, same & _fits("x", "y")).select(*_pair(F.col("x.l"), F.col("y.l")))
+
+
 def _with_first(many: DataFrame) -> DataFrame:
-    """Pairs of each set and the first one at each of its keys: as many as there are entries at most."""
-    first = many.groupBy("key").agg(F.min(F.struct("doc", "l", "n", "i", "s1", "s2")).alias("y")).select(F.col("key").alias("k"), "y")
-    both = many.alias("x").join(first, F.col("x.key") == F.col("k"))
-    return both.where((F.col("x.l") != F.col("y.l")) & _fits("x", "y")).select(*_pair(F.col("x.l"), F.col("y.l")))
+    """Pairs of each set and the first one under its keys and sizes: linear, however large the group."""
+    stands, looks = _by_size(many)
+    first = stands.groupBy("key", "size").agg(F.min(F.struct("doc", "l", "n", "i", "s1", "s2")).alias("y")).select("key", "size", "y.*")
+    return _meet(looks, first)
 
 
 def _with_others(many: DataFrame, gone: DataFrame) -> DataFrame:
-    """Pairs of each set that is not gone and all sets at its keys, unless in a later document."""
-    marked = many.join(joinable(gone.select("l", "doc", F.lit(True).alias("out")).distinct()), ["l", "doc"], "left").withColumn("open", F.col("out").isNull()).drop("out")
-    wanted = marked.where("open").select("key").distinct()
-    dealt = in_blocks(marked.join(wanted, "key", "left_semi"), ["key"], "l", BLOCK)
-    x, y = dealt.where("open").alias("x"), dealt.alias("y")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
-    # rows meet where their blocks are the pair's own
-    once = F.least("x.block", "y.block").eqNullSafe(F.col("x.lo")) & F.greatest("x.block", "y.block").eqNullSafe(F.col("x.hi"))
-    return x.join(y, same & once & (F.col("x.l") != F.col("y.l")) & (F.col("y.doc") <= F.col("x.doc")) & _fits("x", "y")).select(*_pair(F.col("x.l"), F.col("y.l")))
+    """Pairs under a key and size of which one is not gone; skewed groups are split by the join."""
+    gone = joinable(gone.select("l", "doc", F.lit(True).alias("out")).distinct())
+    stands, looks = _by_size(many.join(gone, ["l", "doc"], "left").withColumn("open", F.col("out").isNull()))
+    return _meet(looks.where("open"), stands).union(_meet(looks.where("not open"), stands.where("open")))
 
 
 def _later(pairs: DataFrame, known: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def test_whole_table(spark):
     assert len(check(spark, spark.read.parquet(f"{SF}/documents.parquet"))) > 100
 
 
-SETTINGS = [{}, {"COMMON": 0, "GROUP": 3, "BLOCK": 4, "BROADCAST_ROWS": 0}, {"COMMON": 12, "GROUP": 64, "LONG": 12, "BROADCAST_ROWS": 0}]
+SETTINGS = [{}, {"COMMON": 0, "GROUP": 3, "BROADCAST_ROWS": 0}, {"COMMON": 12, "GROUP": 64, "LONG": 12, "BROADCAST_ROWS": 0}]
 
 
 def set_to(monkeypatch, settings):
