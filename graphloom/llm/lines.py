@@ -16,8 +16,8 @@ from graphloom.llm.setjoin import entries, later_sets, prefix, signatures
 
 #: Places of the sketch of word counts (a power of two); its 4 MB are all that goes to every task.
 PLACES = 1 << 22
-#: A word's class is 4 times the binary logarithm of its count, 127 at most. Classes above this one (over some 200 times) are common.
-COMMON = 30
+#: A word's class is 4 times the binary logarithm of its count, 127 at most. Classes above this one (over some 1,000 times) are common.
+COMMON = 40
 #: What parts words, but for the line break.
 SPACES = " \t\x0b\x0c\r"
 
@@ -69,7 +69,7 @@ def _class(token: Column) -> Column:
 
 
 def _set_of(line: Column, classes: Column) -> Column:
-    """n, s1, s2 and tokens, the prefix and one token more. A token: its class in 7 bits, then 56 bits of hash."""
+    """n, s1, s2 and tokens, the prefix and one token more, without words that are found once. A token: its class in 7 bits, then 56 bits of hash."""
     hashes = F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
 
     def token(h: Column, c: Column) -> Column:
@@ -78,24 +78,29 @@ def _set_of(line: Column, classes: Column) -> Column:
     def made(h: Column) -> Column:
         s1, s2 = signatures(h)
         tokens = _let(classes, lambda c: F.sort_array(F.transform(h, lambda x: token(x, c))))
-        return F.struct(F.size(h).alias("n"), s1.alias("s1"), s2.alias("s2"), F.slice(tokens, F.lit(1), prefix(F.size(h)) + 1).alias("tokens"))
+        first = F.filter(F.slice(tokens, F.lit(1), prefix(F.size(h)) + 1), lambda t: _class(t) != 0)
+        return F.struct(F.size(h).alias("n"), s1.alias("s1"), s2.alias("s2"), first.alias("tokens"))
 
     return _let(hashes, made)
 
 
-def _firsts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets, again): a row for each distinct line, with at, l, doc, n, s1, s2 and tokens; at of the copies of earlier lines."""
-    hashed = _hashed(lines)
-    twice = hashed.groupBy("l", "l2").agg(F.min("at").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    twice = joinable(checkpoint(twice.select("l", "l2", "first")))
-    placed = hashed.join(twice, ["l", "l2"], "left").withColumn("classes", _classes(lines).scalar())
-    own = F.col("first").isNull() | (F.col("at") == F.col("first"))
-    rows = placed.select("l", "l2", "at", F.col("first").isNull().alias("single"), F.when(own, _set_of(F.col("line"), F.col("classes"))).alias("s"))
-    rows = checkpoint(rows.select("l", "l2", "at", "single", "s.*"))
+_LAST = (1 << 63) - 1
+
+
+def _marked(lines: DataFrame, twice: DataFrame) -> DataFrame:
+    """at, line, l, own (it is the first of its copies) and single (it has none)."""
+    first = F.col("first")
+    return _hashed(lines).join(twice, ["l", "l2"], "left").select("at", "line", "l", (first.isNull() | (F.col("at") == first)).alias("own"), first.isNull().alias("single"))
+
+
+def _firsts(lines: DataFrame, twice: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets, again): a row for each distinct line, with l, doc, n, s1, s2 and tokens; at of the copies of earlier lines."""
+    marked = _marked(lines, twice).withColumn("classes", _classes(lines).scalar())
+    rows = marked.select("l", F.coalesce("at.doc_id", F.lit(_LAST)).alias("doc"), F.when(~F.col("single"), F.col("at")).alias("at"), F.when(F.col("own"), _set_of(F.col("line"), F.col("classes"))).alias("s"))
+    rows = checkpoint(rows.select("l", "doc", "at", "s.*"))
     # a first line is there as often as its row repeats
-    firsts = rows.where("single").union(rows.where("not single and n is not null").dropDuplicates(["l", "l2"]))
-    doc = F.coalesce("at.doc_id", F.lit((1 << 63) - 1)).alias("doc")
-    return firsts.select("at", "l", doc, "n", "s1", "s2", "tokens"), rows.where("n is null").select("at")
+    once = rows.where("at is not null and n is not null").groupBy("l", "at").agg(F.max(F.struct("doc", "n", "s1", "s2", "tokens")).alias("s")).select("l", "s.*")
+    return rows.where("at is null").select(once.columns).union(once), rows.where("n is null").select("at")
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,15 +112,15 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     empty texts have no lines; an empty table gives no rows.
     """
     lines = _lines(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    sets, again = _firsts(lines)
-    rare, often = entries(sets, lambda t: _class(t) > COMMON, lambda t: _class(t) == 0)
+    twice = _hashed(lines).groupBy("l", "l2").agg(F.min("at").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    twice = joinable(checkpoint(twice.select("l", "l2", "first")))
+    sets, again = _firsts(lines, twice)
+    rare, often = entries(sets, lambda t: _class(t) > COMMON)
 
     def known_of(ids: DataFrame) -> DataFrame:
-        wanted = joinable(checkpoint(sets.join(joinable(ids), "l", "left_semi").select("l", "at")))
-        found = lines.join(wanted, "at").select("l", "at", F.array_distinct(words_of(F.col("line"))).alias("items"))
-        return found.dropDuplicates(["l", "at"])
+        return _marked(lines, twice).where("own").join(joinable(ids), "l", "left_semi").groupBy("l", "at").agg(F.max("line").alias("items"))
 
-    near = later_sets(rare, often, known_of, "coalesce(at.doc_id, 9223372036854775807)")
+    near = later_sets(rare, often, known_of, lambda line: F.array_distinct(words_of(line)), f"coalesce(at.doc_id, {_LAST})")
     return near.union(again).distinct().select("at.doc_id", "at.th", "at.ln")
 
 

@@ -25,7 +25,8 @@ from graphloom.llm.common import checkpoint, joinable
 GROUP = 64
 #: Tokens in a set from which on a single common token is a key.
 LONG = 100
-ENTRY = ("key", "l", "n", "i", "s1", "s2")
+#: ni is n and i, the size of the set and the place of the key in it, in one number.
+ENTRY = ("key", "l", "ni", "s1", "s2")
 
 
 def prefix(n: Column) -> Column:
@@ -48,24 +49,34 @@ def entries(sets: DataFrame, common: Callable[[Column], Column], useless: Callab
     """The keys of sets by rare tokens, and those by common ones.
 
     sets: l (id), doc (a long by which sets go roughly in order), n (size), s1, s2 and tokens, the first prefix(n) + 1
-    tokens. common(token) tells which are common, useless(token) which no two sets share.
+    tokens; the first of these may be left out if no other set has them. common(token) tells which are common,
+    useless(token) which no two sets share.
     """
-    named = sets.withColumn("p", prefix(F.col("n")))
-    each = named.select("*", F.posexplode("tokens").alias("i", "tok")).where(F.col("i") < F.col("p"))
+    named = sets.withColumn("p", prefix(F.col("n"))).withColumn("left_out", F.least("n", F.col("p") + 1) - F.size("tokens"))
+    each = named.select("*", F.posexplode("tokens").alias("at_token", "tok")).withColumn("i", F.col("at_token") + F.col("left_out")).where(F.col("i") < F.col("p"))
+    each = each.withColumn("ni", _packed("n", "i"))
     tok = F.col("tok")
     alone = ~common(tok) if useless is None else ~common(tok) & ~useless(tok)
     rare = each.where(alone).select(tok.alias("key"), *ENTRY[1:])
     often = each.where(common(tok))
     single = often.where((F.col("n") == 1) | (5 * F.col("n") >= 4 * LONG)).select(tok.alias("key"), *ENTRY[1:], "doc")
-    double = often.where((F.col("n") > 1) & (F.col("n") <= LONG)).select("*", F.posexplode(F.slice("tokens", F.col("i") + 2, F.size("tokens"))).alias("k", "next"))
+    double = often.where((F.col("n") > 1) & (F.col("n") <= LONG)).select("*", F.posexplode(F.slice("tokens", F.col("at_token") + 2, F.size("tokens"))).alias("k", "next"))
     # with the second common token where it is, one token before it is common
-    double = double.withColumn("i", F.col("i") + F.col("k")).select(F.xxhash64("tok", "next").alias("key"), *ENTRY[1:], "doc")
+    double = double.withColumn("ni", _packed("n", F.col("i") + F.col("k"))).select(F.xxhash64("tok", "next").alias("key"), *ENTRY[1:], "doc")
     return rare, single.union(double)
 
 
+def _packed(n, i) -> Column:
+    return F.shiftleft(F.col(n).cast("long"), 32).bitwiseOR(i if isinstance(i, Column) else F.col(i))
+
+
+def _n_and_i(ni: Column) -> tuple[Column, Column]:
+    return F.shiftright(ni, 32).cast("int"), ni.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+
 def _fits(a: str, b: str) -> Column:
     """The length filter, the positional filter for the first common token, and the bound that signatures give."""
-    na, nb, ia, ib = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.i"), F.col(f"{b}.i")
+    (na, ia), (nb, ib) = _n_and_i(F.col(f"{a}.ni")), _n_and_i(F.col(f"{b}.ni"))
     apart = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
     return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (9 * F.least(na - ia, nb - ib) >= 4 * (na + nb)) & (9 * apart <= na + nb)
 
@@ -81,7 +92,7 @@ def _all_pairs(at_keys: DataFrame) -> DataFrame:
 
 def _by_size(many: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(stands, looks): entries under their own size, if a set of that size or more may be like them, and under the sizes that are no larger."""
-    n, i = F.col("n"), F.col("i")
+    n, i = _n_and_i(F.col("ni"))
     stands = many.where(9 * (n - i) >= 8 * n).withColumn("size", n)
     least, most = F.floor((4 * n + 4) / 5).cast("int"), F.least(n, (F.floor(9 * (n - i) / 4) - n).cast("int"))
     return stands, many.where(least <= most).withColumn("size", F.explode(F.sequence(least, most)))
@@ -96,7 +107,7 @@ def _meet(x: DataFrame, y: DataFrame) -> DataFrame:
 def _with_first(many: DataFrame) -> DataFrame:
     """Pairs of each set and the first one under its keys and sizes: linear, however large the group."""
     stands, looks = _by_size(many)
-    first = stands.groupBy("key", "size").agg(F.min(F.struct("doc", "l", "n", "i", "s1", "s2")).alias("y")).select("key", "size", "y.*")
+    first = stands.groupBy("key", "size").agg(F.min(F.struct("doc", "l", "ni", "s1", "s2")).alias("y")).select("key", "size", "y.*")
     return _meet(looks, first)
 
 
@@ -107,23 +118,23 @@ def _with_others(many: DataFrame, gone: DataFrame) -> DataFrame:
     return _meet(looks.where("open"), stands).union(_meet(looks.where("not open"), stands.where("open")))
 
 
-def _later(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """(l, at) of the later sets of pairs that are alike. known: l, at and items, all elements of the sets."""
+def _later(pairs: DataFrame, known: DataFrame, elements: Callable[[Column], Column]) -> DataFrame:
+    """(l, at) of the later sets of pairs that are alike. known: l, at and items, of which elements() makes the whole sets."""
     a = known.select(F.col("l").alias("a"), F.col("at").alias("at_a"), F.col("items").alias("items_a"))
     b = known.select(F.col("l").alias("b"), F.col("at").alias("at_b"), F.col("items").alias("items_b"))
-    both = pairs.join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("items_a", "items_b"))
-    alike = both.where((F.col("at_a") != F.col("at_b")) & (9 * shared >= 4 * (F.size("items_a") + F.size("items_b"))))
+    both = pairs.join(a, "a").join(b, "b").where(F.col("at_a") != F.col("at_b"))
+    enough = F.transform(F.array(F.struct(elements(F.col("items_a")).alias("a"), elements(F.col("items_b")).alias("b"))), lambda x: 9 * F.size(F.array_intersect(x["a"], x["b"])) >= 4 * (F.size(x["a"]) + F.size(x["b"])))
+    alike = both.where(F.get(enough, F.lit(0)))
     later = F.when(F.col("at_a") > F.col("at_b"), F.struct(F.col("a").alias("l"), F.col("at_a").alias("at"))).otherwise(F.struct(F.col("b").alias("l"), F.col("at_b").alias("at")))
     return alike.select(later.alias("x")).select("x.*").distinct()
 
 
-def later_sets(rare: DataFrame, often: DataFrame, known_of: Callable[[DataFrame], DataFrame], doc: str) -> DataFrame:
+def later_sets(rare: DataFrame, often: DataFrame, known_of: Callable[[DataFrame], DataFrame], elements: Callable[[Column], Column], doc: str) -> DataFrame:
     """at of the sets that an earlier one, gone itself or not, is like.
 
     rare, often: see entries(). known_of(ids), ids being a table of l, gives l, at (an order that tells sets apart)
-    and items, the elements, of these sets; two sets of one id are both given and compared. doc: the field of at that
-    entries have as doc, or an expression of it.
+    and items of these sets, of which elements() makes the array of their elements; two sets of one id are both given
+    and compared. doc: an expression of at, what entries have as doc.
     """
     counts = checkpoint(often.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     few = often.join(joinable(counts.where(F.col("m") <= GROUP).select("key")), "key", "left_semi")
@@ -136,9 +147,9 @@ def later_sets(rare: DataFrame, often: DataFrame, known_of: Callable[[DataFrame]
     pairs = checkpoint(pairs.distinct())
     ids = pairs.select(F.col("a").alias("l")).union(pairs.select("b"))
     known = checkpoint(known_of(checkpoint((ids.union(many.select("l")) if any_large else ids).distinct())))
-    gone = _later(pairs, known)
+    gone = _later(pairs, known, elements)
     if any_large:
         gone = checkpoint(gone)
         rest = checkpoint(_with_others(many, gone.select("l", F.expr(doc).alias("doc"))).distinct())
-        gone = gone.union(_later(rest, known))
+        gone = gone.union(_later(rest, known, elements))
     return gone.select("at").distinct()

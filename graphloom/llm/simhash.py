@@ -171,10 +171,10 @@ def _later(docs: DataFrame, sketches: DataFrame, width: int) -> DataFrame:
     def known_of(ids: DataFrame) -> DataFrame:
         wanted = joinable(checkpoint(sets.join(joinable(ids), "l", "left_semi").select("l", "id", "th")))
         texts = docs.join(wanted, ["id", "th"]).select("l", "id", "th", "text")
-        known = texts.mapInArrow(_items(width), "l long, id long, th long, items array<long>").dropDuplicates(["l", "id", "th"])
-        return known.select("l", F.struct("id", "th").alias("at"), "items")
+        known = texts.mapInArrow(_items(width), "l long, id long, th long, items array<long>")
+        return known.groupBy("l", F.struct("id", "th").alias("at")).agg(F.max("items").alias("items"))
 
-    return later_sets(rare, often, known_of, "at.id").select("at.id", "at.th")
+    return later_sets(rare, often, known_of, lambda items: items, "at.id").select("at.id", "at.th")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = RADIUS) -> DataFrame:
@@ -192,7 +192,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     firsts = each.groupBy("fp").agg(F.min(F.struct("id", "th", "copies")).alias("first")).join(groups, "fp")
     firsts = checkpoint(firsts.groupBy("group").agg(F.min("first").alias("first")).select("first.*"))
     own = joinable(firsts.select("id", "th"))
-    sketches = checkpoint(rows.join(own, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]))
+    sketches = rows.join(own, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.max(F.struct("n", "s1", "s2", "tokens")).alias("s"))
+    sketches = checkpoint(sketches.select("id", "th", "s.*"))
     gone = checkpoint(_later(keyed.select("id", "th", "text"), sketches, width))
     stay = firsts.join(joinable(gone), ["id", "th"], "left_anti")
     single, repeated = joinable(stay.where("copies = 1").select("id", "th")), stay.where("copies > 1").select("id", "th")
