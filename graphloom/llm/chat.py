@@ -63,7 +63,7 @@ def read_back(examples: DataFrame) -> DataFrame:
     # a turn's part: role, a line break, text; the last part is what follows the last mark, a line break
     parts = F.filter(F.split("formatted", r"\Q" + END + r"\E\n"), lambda p: p != "")
     plain = F.transform(parts, lambda p: F.substring(p, F.lit(len(START) + 1), F.length(p)))
-    turn = F.transform(plain, lambda p: F.concat(F.replace(unescape(F.substring_index(p, "\n", 1)), F.lit("&nl;"), F.lit("\n")), F.lit("\n"), unescape(F.substring(p, F.locate("\n", p) + 1, F.length(p))), F.lit("\n")))
+    turn = F.transform(plain, lambda p: F.concat(unescape(F.replace(F.substring_index(p, "\n", 1), F.lit("&nl;"), F.lit("\n"))), F.lit("\n"), unescape(F.substring(p, F.locate("\n", p) + 1, F.length(p))), F.lit("\n")))
     rows = examples.select("conv_id", F.struct("example", loss.alias("loss")).alias("l"), F.length("formatted").cast("long").alias("chars"), F.when(F.col("last"), F.size(parts)).alias("n_turns"), F.when(F.col("last"), F.sha2(F.array_join(turn, ""), 256)).alias("turns_sha256"))
     found = rows.groupBy("conv_id").agg(F.max("n_turns").cast("long").alias("n_turns"), F.max("turns_sha256").alias("turns_sha256"), F.array_sort(F.collect_list("l")).alias("l"), F.max("chars").alias("formatted_chars"), F.sum("chars").alias("expanded_chars"), F.count("*").alias("n_examples"))
     trained = F.array_join(F.transform("l", lambda x: x["loss"]), "")

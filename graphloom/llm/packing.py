@@ -1,7 +1,8 @@
 """Packing into fixed-length sequences: first-fit decreasing over a tournament tree of bin capacities.
 
 Every document is cut at multiples of the length; pieces are dealt at random (by a hash of document and place) to
-groups of a bounded expected size, and each group is packed by itself, so that groups run in parallel.
+groups of a bounded expected size, and each group is packed by itself, so that groups run in parallel. Pieces are a few
+numbers, so they are stored once: their number tells the groups, and texts are tokenized once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import key_groups
+from graphloom.llm.common import checkpoint, key_groups
 from graphloom.llm.tokens import default_path, load
 
 LENGTH = 1024
@@ -93,7 +94,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     """
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = named.mapInArrow(_pieces(path or default_path(), length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, whole long")
-    groups = max(1, -(-2 * docs.count() // group))
+    pieces = checkpoint(pieces)
+    groups = max(1, -(-pieces.count() // group))
     order = ["group", "length", "doc_id", "start", "whole"]
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "whole", "start"), F.lit(groups)))
     dealt = dealt.repartition("group").sortWithinPartitions(*order)

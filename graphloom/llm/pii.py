@@ -1,7 +1,9 @@
 """Personal data: expressions propose spans, checksums confirm them, words nearby move their scores.
 
-The base kinds (email, ip, card, phone) are decided by their patterns and checks alone. The further kinds (iban by
-mod 97, national_id and key by the words before them) are kept from a score of one half on.
+The base kinds (email, ip, card, phone) are decided by their patterns and checks alone: their scores tell how sure they
+are, and they stay whatever the score. The further kinds (iban by mod 97, national_id and key by their shape) begin
+with a score of their own, words nearby that belong to the kind raise it, words that speak of something else (an order
+or a part number, an example) lower it, and a span is kept from one half on.
 """
 
 from __future__ import annotations
@@ -22,12 +24,21 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _KEY = re.compile(r"(?<![A-Za-z0-9])[0-9A-Za-z_-]{24,}(?![A-Za-z0-9])")
-#: kind: (pattern, score by itself, words nearby, what they add)
+#: kind: (pattern, score by itself, words nearby that raise it, by what)
 MORE = {
     "iban": (_IBAN, 0.6, re.compile(r"iban|account|konto|compte|cuenta|bank", re.I), 0.3),
     "national_id": (_NATIONAL, 0.3, re.compile(r"ssn|social|security|insurance|identity", re.I), 0.5),
     "key": (_KEY, 0.2, re.compile(r"token|secret|api[_-]?key|password|passwd", re.I), 0.5),
 }
+#: The same of the base kinds, without the patterns.
+_BASE_SCORES = {
+    "email": (0.9, re.compile(r"mail|contact|write to|@", re.I), 0.1),
+    "ip": (0.6, re.compile(r"\bip\b|address|host|server|login", re.I), 0.3),
+    "card": (0.7, re.compile(r"card|visa|master|credit|debit|karte", re.I), 0.3),
+    "phone": (0.6, re.compile(r"phone|tel\b|mobile|call|fax", re.I), 0.3),
+}
+#: Words nearby that lower the score of any kind, and by what.
+ELSE, LESS = re.compile(r"example|sample|dummy|version|order (no|number)|part (no|number)|serial|isbn|checksum", re.I), 0.3
 #: Characters before and after a span in which words count.
 NEARBY = 40
 
@@ -74,20 +85,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _score(text: str, start: int, end: int, alone: float, words: re.Pattern, more: float) -> float:
+    """The score of a span, between 0 and 1, with the words around it; the span's own characters are no context."""
+    before, after = text[max(0, start - NEARBY) : start], text[end : end + NEARBY]
+    score = alone + (more if words.search(before) or words.search(after) else 0.0)
+    return round(min(1.0, max(0.0, score - (LESS if ELSE.search(before) or ELSE.search(after) else 0.0))), 6)
+
+
 def all_spans(text: str) -> list[tuple[str, int, int, float]]:
-    """The base spans with score 1, then the further kinds in the order of MORE, by start. A further span that overlaps a base span goes."""
+    """(kind, start, end, score): the base spans, then the further kinds in the order of MORE, by start. A further span that overlaps a base span goes."""
     base = base_spans(text)
-    found = [(*s, 1.0) for s in base]
-    for kind, (pattern, score, words, more) in MORE.items():
+    found = [(*s, _score(text, s[1], s[2], *_BASE_SCORES[s[0]])) for s in base]
+    for kind, (pattern, alone, words, more) in MORE.items():
         for m in pattern.finditer(text):
             s, e = m.span()
             if any(s < b[2] and b[1] < e for b in base) or kind == "iban" and not mod97(m[0]):
                 continue
             if kind == "key" and not any(c.isdigit() for c in m[0]):
                 continue
-            near = words.search(text, max(0, s - NEARBY), s) or words.search(text, e, e + NEARBY)
-            if (total := score + (more if near else 0.0)) >= 0.5:
-                found.append((kind, s, e, total))
+            if (score := _score(text, s, e, alone, words, more)) >= 0.5:
+                found.append((kind, s, e, score))
     return found
 
 

@@ -140,9 +140,16 @@ def annotate(docs: DataFrame, text: str = "text", out: str = "quality") -> DataF
 
     A null or empty text has no words, so it fails the base rule. Each row is judged by itself, so repeated rows
     and extra columns are unaffected; an empty table stays empty. Texts are read twice: once for the counts of
-    patterns over all rows, once for the verdicts.
+    patterns over all rows, once for the verdicts. A column of docs named as `out` gives way; all others are
+    as they were.
     """
-    f = "__features"
+    judged = _judge(docs, text)
+    return judged.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != out), F.col("verdict").alias(out))
+
+
+def _judge(docs: DataFrame, text: str) -> DataFrame:
+    """row, the whole input row as a struct, and verdict."""
+    f = "f"
     rules = votes(f)
     counted = docs.select(features(F.col(text)).alias(f)).groupBy(*(v.alias(k) for k, v in rules.items())).count().collect()
     prior, odds = fit({tuple(r[:-1]): r[-1] for r in counted}, len(rules))
@@ -152,9 +159,9 @@ def annotate(docs: DataFrame, text: str = "text", out: str = "quality") -> DataF
     p_good = 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(500.0)), F.lit(-500.0))))
     columns = [F.col(f"{f}.{x}").alias(x) for x in FEATURES]
     verdict = F.struct(*columns, failed.alias("base_failed"), p_good.alias("p_good"), (~failed & (p_good >= 0.5)).alias("kept"))
-    return docs.withColumn(f, features(F.col(text))).withColumn(out, verdict).drop(f)
+    return docs.select(F.struct("*").alias("row"), features(F.col(text)).alias(f)).select("row", verdict.alias("verdict"))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that are kept, with their columns as they were."""
-    return annotate(docs, text, "__quality").where("__quality.kept").drop("__quality")
+    return _judge(docs, text).where("verdict.kept").select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -25,7 +25,7 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone", "pii.base_sha256", "pii.spans")
+    return docs.select("doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone", "pii.base_sha256", "pii.spans", F.size("pii.scores").cast("long").alias("n_spans"), "pii.scores")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

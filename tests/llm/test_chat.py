@@ -15,7 +15,7 @@ def test_against_sql(spark):
 
 
 def test_hostile_and_odd_turns(spark):
-    rows = [(1, 0, "user", HOSTILE), (1, 1, "assistant", HOSTILE + "&lt;| &amp; <"), (1, 2, "assistant", None), (1, 3, "user", "\n"), (2, 5, "as&\nsist<|x|>", "a"), (2, 5, "as&\nsist<|x|>", "a"), (3, None, None, None), (None, 1, "assistant", "\U0001f600<")]
+    rows = [(1, 0, "user", HOSTILE), (1, 1, "assistant", HOSTILE + "&lt;| &amp; <"), (1, 2, "assistant", None), (1, 3, "user", "\n"), (2, 5, "as&\nsist<|x|>", "a"), (2, 5, "as&\nsist<|x|>", "a"), (3, None, None, None), (3, 1, "a&nl;b\n&amp;nl;", "c&nl;"), (None, 1, "assistant", "\U0001f600<")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS t", "2 AS example")
     got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df)).collect()}
     for conv in (1, 2, 3, None):

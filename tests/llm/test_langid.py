@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 from graphloom.llm import langid
@@ -21,6 +23,46 @@ def test_backoff():
     assert [p(t)[0] for t in ("kato", "kazz", "mezz", "xxk", "m7", None, "12 !", "", "²½")] == ["a", "a", "b", "a", "b", "und", "und", "und", "und"]
 
 
+def plainly(model, text):
+    """(scores by language, best language, its probability) by the words of the docstring, one word after the other."""
+    scores = [0.0] * len(model.langs)
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        found = [model.known[0][w]] if w in model.known[0] else []
+        for order in (4, 3, 2, 1):
+            if not found:
+                marked = f"^{w}$" if order > 1 else w
+                grams = [marked[i : i + order] for i in range(len(marked) - order + 1)]
+                found = [model.known[order][g] for g in grams if g in model.known[order]]
+        for k in range(len(scores)):
+            scores[k] += sum(x[k] for x in found) / max(1, len(found))
+    best = max(range(len(scores)), key=lambda k: (scores[k], -k))
+    return model.langs[best], 1 / sum(math.exp(max(-700, x - scores[best])) for x in scores)
+
+
+def test_predictions_against_plain_sums(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs, sample=60)
+    p = langid.Predictor(model)
+    for (text,) in docs.select("text").where("doc_id % 3 = 0").collect():
+        if any(c.isalpha() for c in text or ""):
+            lang, score = p(text)
+            want, share = plainly(model, text)
+            assert abs(score - share) < 1e-6 and (lang == want or score < 0.5 + 1e-6)
+
+
+def test_ties_and_repeated_rows(spark):
+    """The first language by name where scores are equal; rows that repeat or share an id count as the sample says."""
+    assert langid.Predictor(langid.Model([("b", 0, "same", 3), ("a", 0, "same", 3)]))("same same")[0] == "a"
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(ids[0], f"word{chr(97 + k)}x", "en") for k in range(20)] + [(ids[1], "again", "de")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, sample=21)
+    assert len(model.known[0]) == 21 and langid.train(docs, sample=5).known[0].keys() < model.known[0].keys()
+    assert len(langid.train(docs, sample=5).known[0]) == 5
+    once = langid.train(docs.dropDuplicates())
+    assert all((once.known[0][w] == v).all() for w, v in langid.train(docs).known[0].items())
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     rows = langid.predict(docs, langid.train(docs)).select("text", "predicted.*").collect()

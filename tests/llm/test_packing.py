@@ -46,6 +46,15 @@ def test_odd_rows(spark):
     assert packing.pack(empty_docs(spark)).count() == 0
 
 
+def test_groups_are_sized_by_pieces(spark):
+    docs = spark.createDataFrame([(i, "a b c d " * 2000) for i in range(40)], "doc_id long, text string")
+    rows = whole(packing.pack(docs, group=50).collect(), [tuple(r) for r in docs.collect()])
+    sizes = {}
+    for sequence, pieces in rows.items():
+        sizes[sequence >> 32] = sizes.get(sequence >> 32, 0) + len(pieces)
+    assert sum(sizes.values()) == 40 * 8 and len(sizes) >= 5 and max(sizes.values()) < 100
+
+
 def test_first_fit_decreasing_against_plain():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 101, 500).tolist()

@@ -23,7 +23,8 @@ def joined(spans):
 
 def test_against_plain_expressions(spark):
     for r in zip(sorted(texts(spark)), sorted(tuple(r) for r in op4_pii(spark, SF).collect()), strict=True):
-        (doc_id, text), (got, *counts, digest, spans) = r
+        (doc_id, text), (got, *counts, digest, spans, n_spans, scores) = r
+        assert n_spans == len(scores) == (spans.count(",") + 1 if spans else 0) and all(0 <= x <= 1 for x in scores)
         want = base(text or "")
         kinds = [k for k, _, _ in want]
         assert got == doc_id and counts == [kinds.count(k) for k in pii.BASE] and digest == sha(joined(want)) and spans.startswith(joined(want))
@@ -42,6 +43,18 @@ def test_further_kinds():
     assert not pii.mod97("GB82WEST12345698765433") and pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_words_nearby_change_scores():
+    iban, number = "GB82 WEST 1234 5698 7654 32", "123-45-6789"
+    score = lambda text, kind: next((x for k, _, _, x in pii.all_spans(text) if k == kind), None)
+    assert (score(f"x {iban} x", "iban"), score(f"bank {iban} x", "iban"), score(f"x {iban} example", "iban")) == (0.6, 0.9, None)
+    assert score(f"bank example {iban}", "iban") == 0.6
+    assert score(f"x {number}", "national_id") is None and score(f"ssn {number}", "national_id") == 0.8 and score(f"ssn {number} sample", "national_id") == 0.5
+    for text, kind in ((" 4111111111111111 ", "card"), (" +1 (017) 555-7713 ", "phone"), (" 10.1.2.3 ", "ip")):
+        plain, less = score(text, kind), score(f"version {text}", kind)
+        more = score({"card": "visa", "phone": "call", "ip": "host"}[kind] + text, kind)
+        assert less < plain < more <= 1  # and the span is there each time
+
+
 def test_odd_rows_and_redaction(spark):
     docs = odd_docs(spark)
     assert pii.find_spans(docs, out="found").count() == docs.count()

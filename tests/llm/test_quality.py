@@ -43,7 +43,10 @@ def test_odd_rows(spark):
     rows = got.select("text", "verdict").collect()
     assert len(rows) == docs.count()
     assert all(tuple(r.verdict)[:5] == base(r.text)[:5] and r.verdict.base_failed == base(r.text)[5] for r in rows)
-    assert quality.keep_good(docs).columns == docs.columns
+    clash = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "'own' AS f", "7 AS __features", "8 AS __quality", "9 AS row", "10 AS verdict")
+    kept = quality.keep_good(clash)
+    assert kept.columns == clash.columns and {tuple(r)[-4:] for r in kept.collect()} == {(7, 8, 9, 10)}
+    assert {tuple(r) for r in quality.annotate(clash).select("f", "__features", "row", "verdict").collect()} == {("own", 7, 9, 10)}
     assert quality.annotate(empty_docs(spark)).count() == 0
 
 
