@@ -129,12 +129,13 @@ def _later(pairs: DataFrame, known: DataFrame, elements: Callable[[Column], Colu
     return alike.select(later.alias("x")).select("x.*").distinct()
 
 
-def later_sets(rare: DataFrame, often: DataFrame, known_of: Callable[[DataFrame], DataFrame], elements: Callable[[Column], Column], doc: str) -> DataFrame:
+def later_sets(rare: DataFrame, often: DataFrame, known_of: Callable[[DataFrame], DataFrame], elements: Callable[[Column], Column], doc: str, screen: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """at of the sets that an earlier one, gone itself or not, is like.
 
     rare, often: see entries(). known_of(ids), ids being a table of l, gives l, at (an order that tells sets apart)
     and items of these sets, of which elements() makes the array of their elements; two sets of one id are both given
-    and compared. doc: an expression of at, what entries have as doc.
+    and compared. doc: an expression of at, what entries have as doc. screen(pairs) may leave out pairs (a, b) of ids
+    whose sets can't be alike, before items are fetched.
     """
     counts = checkpoint(often.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     few = often.join(joinable(counts.where(F.col("m") <= GROUP).select("key")), "key", "left_semi")
@@ -144,12 +145,12 @@ def later_sets(rare: DataFrame, often: DataFrame, known_of: Callable[[DataFrame]
     if any_large:
         many = checkpoint(often.join(joinable(large), "key", "left_semi"))
         pairs = pairs.union(_with_first(many))
-    pairs = checkpoint(pairs.distinct())
+    pairs = checkpoint(screen(pairs.distinct()))
     ids = pairs.select(F.col("a").alias("l")).union(pairs.select("b"))
     known = checkpoint(known_of(checkpoint((ids.union(many.select("l")) if any_large else ids).distinct())))
     gone = _later(pairs, known, elements)
     if any_large:
         gone = checkpoint(gone)
-        rest = checkpoint(_with_others(many, gone.select("l", F.expr(doc).alias("doc"))).distinct())
+        rest = checkpoint(screen(_with_others(many, gone.select("l", F.expr(doc).alias("doc"))).distinct()))
         gone = gone.union(_later(rest, known, elements))
     return gone.select("at").distinct()

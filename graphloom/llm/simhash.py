@@ -120,7 +120,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 #: Documents that have a shingle, beyond which it counts as common.
 COMMON = 64
-_SKETCH = "id long, th long, fp long, n int, s1 long, s2 long, tokens array<long>"
+#: Bits of the wide signature of a document; unlike sets of up to some 2,000 shingles are told apart by it.
+WIDE = 1024
+_SKETCH = "id long, th long, fp long, n int, s1 long, s2 long, wide array<long>, tokens array<long>"
 
 
 def distinct_hashes(text: str | None, width: int) -> np.ndarray:
@@ -128,11 +130,10 @@ def distinct_hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, width)]).view(np.int64))
 
 
-def _parities(h: np.ndarray) -> tuple[int, int]:
-    """setjoin.signatures() of hashes."""
-    odd = np.bincount(h & 127, minlength=128).astype(np.uint8) & 1
-    low, high = np.packbits(odd, bitorder="little").view("<i8")
-    return int(high), int(low)
+def _parities(h: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of hashes in so many places, as longs: sets differ in as many elements at least as these in bits."""
+    odd = np.bincount(h & (bits - 1), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
 
 
 def _sketch(width: int):
@@ -143,10 +144,10 @@ def _sketch(width: int):
                 hashes = list(shingle_hashes(text.as_py(), width))
                 own = np.unique(np.concatenate([np.zeros(0, "<u8"), *hashes]).view(np.int64))
                 n = len(own)
-                rows.append((doc_id.as_py(), th.as_py(), _signed(_counted(hashes)), n, *_parities(own), own[: n - (4 * n + 4) // 5 + 2]))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "th", "fp", "n", "s1", "s2", "tokens"])
+                rows.append((doc_id.as_py(), th.as_py(), _signed(_counted(hashes)), n, *map(int, _parities(own, 128)), _parities(own, WIDE), own[: n - (4 * n + 4) // 5 + 2]))
+            columns = list(zip(*rows, strict=True)) or [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "th", "fp", "n", "s1", "s2", "wide", "tokens"])
 
     return sketch
 
@@ -162,7 +163,7 @@ def _items(width: int):
 
 def _later(docs: DataFrame, sketches: DataFrame, width: int) -> DataFrame:
     """id and th of the documents of sketches whose set of shingles has a Jaccard similarity of 4/5 or more to that of an earlier one."""
-    sets = sketches.where("n > 0").select(F.xxhash64("id", "th").alias("l"), F.col("id").alias("doc"), "id", "th", "n", "s1", "s2", "tokens")
+    sets = sketches.where("n > 0").select(F.xxhash64("id", "th").alias("l"), F.col("id").alias("doc"), "id", "th", "n", "s1", "s2", "wide", "tokens")
     counts = sets.select(F.explode(F.slice("tokens", F.lit(1), prefix(F.col("n")))).alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
     counts = checkpoint(counts.where("n > 1"))
     found, common = bits_of(counts, "tok"), bits_of(counts.where(F.col("n") > COMMON), "tok")
@@ -174,7 +175,12 @@ def _later(docs: DataFrame, sketches: DataFrame, width: int) -> DataFrame:
         known = texts.mapInArrow(_items(width), "l long, id long, th long, items array<long>")
         return known.groupBy("l", F.struct("id", "th").alias("at")).agg(F.max("items").alias("items"))
 
-    return later_sets(rare, often, known_of, lambda items: items, "at.id").select("at.id", "at.th")
+    def screen(pairs: DataFrame) -> DataFrame:
+        a, b = (sets.select(F.col("l").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
+        apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        return pairs.join(a, "a").join(b, "b").where(9 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b").distinct()
+
+    return later_sets(rare, often, known_of, lambda items: items, "at.id", screen).select("at.id", "at.th")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = RADIUS) -> DataFrame:
@@ -192,7 +198,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     firsts = each.groupBy("fp").agg(F.min(F.struct("id", "th", "copies")).alias("first")).join(groups, "fp")
     firsts = checkpoint(firsts.groupBy("group").agg(F.min("first").alias("first")).select("first.*"))
     own = joinable(firsts.select("id", "th"))
-    sketches = rows.join(own, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.max(F.struct("n", "s1", "s2", "tokens")).alias("s"))
+    sketches = rows.join(own, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.max(F.struct("n", "s1", "s2", "wide", "tokens")).alias("s"))
     sketches = checkpoint(sketches.select("id", "th", "s.*"))
     gone = checkpoint(_later(keyed.select("id", "th", "text"), sketches, width))
     stay = firsts.join(joinable(gone), ["id", "th"], "left_anti")
