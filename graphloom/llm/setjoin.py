@@ -120,6 +120,7 @@ def _with_others(many: DataFrame, gone: DataFrame) -> DataFrame:
 
 def _later(pairs: DataFrame, known: DataFrame, elements: Callable[[Column], Column]) -> DataFrame:
     """(l, at) of the later sets of pairs that are alike. known: l, at and items, of which elements() makes the whole sets."""
+    known = checkpoint(known)
     a = known.select(F.col("l").alias("a"), F.col("at").alias("at_a"), F.col("items").alias("items_a"))
     b = known.select(F.col("l").alias("b"), F.col("at").alias("at_b"), F.col("items").alias("items_b"))
     both = pairs.join(a, "a").join(b, "b").where(F.col("at_a") != F.col("at_b"))
@@ -146,11 +147,14 @@ def later_sets(rare: DataFrame, often: DataFrame, known_of: Callable[[DataFrame]
         many = checkpoint(often.join(joinable(large), "key", "left_semi"))
         pairs = pairs.union(_with_first(many))
     pairs = checkpoint(screen(pairs.distinct()))
-    ids = pairs.select(F.col("a").alias("l")).union(pairs.select("b"))
-    known = checkpoint(known_of(checkpoint((ids.union(many.select("l")) if any_large else ids).distinct())))
-    gone = _later(pairs, known, elements)
+    gone = _later(pairs, known_of(_members(pairs)), elements)
     if any_large:
         gone = checkpoint(gone)
         rest = checkpoint(screen(_with_others(many, gone.select("l", F.expr(doc).alias("doc"))).distinct()))
-        gone = gone.union(_later(rest, known, elements))
+        if not rest.isEmpty():
+            gone = gone.union(_later(rest, known_of(_members(rest)), elements))
     return gone.select("at").distinct()
+
+
+def _members(pairs: DataFrame) -> DataFrame:
+    return checkpoint(pairs.select(F.col("a").alias("l")).union(pairs.select("b")).distinct())

@@ -120,7 +120,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 #: Documents that have a shingle, beyond which it counts as common.
 COMMON = 64
-#: Bits of the wide signature of a document; unlike sets of up to some 2,000 shingles are told apart by it.
+#: Bits at least of the wide signature of a document; it has as many as the document has shingles, or up to twice as many.
 WIDE = 1024
 _SKETCH = "id long, th long, fp long, n int, s1 long, s2 long, wide array<long>, tokens array<long>"
 
@@ -144,7 +144,7 @@ def _sketch(width: int):
                 hashes = list(shingle_hashes(text.as_py(), width))
                 own = np.unique(np.concatenate([np.zeros(0, "<u8"), *hashes]).view(np.int64))
                 n = len(own)
-                rows.append((doc_id.as_py(), th.as_py(), _signed(_counted(hashes)), n, *map(int, _parities(own, 128)), _parities(own, WIDE), own[: n - (4 * n + 4) // 5 + 2]))
+                rows.append((doc_id.as_py(), th.as_py(), _signed(_counted(hashes)), n, *map(int, _parities(own, 128)), _parities(own, max(WIDE, 1 << (n - 1).bit_length())), own[: n - (4 * n + 4) // 5 + 2]))
             columns = list(zip(*rows, strict=True)) or [()] * 8
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "th", "fp", "n", "s1", "s2", "wide", "tokens"])
@@ -161,6 +161,16 @@ def _items(width: int):
     return items
 
 
+def _apart(narrow: Column, wide: Column) -> Column:
+    """Bits in which parities differ, the wide ones folded to as many places as the narrow ones."""
+
+    def folded(i: Column) -> Column:
+        return F.aggregate(F.sequence(i, F.size(wide) - 1, F.size(narrow)), F.get(narrow, i), lambda x, k: x.bitwiseXOR(F.get(wide, k)))
+
+    each = F.transform(F.sequence(F.lit(0), F.size(narrow) - 1), lambda i: F.bit_count(folded(i)))
+    return F.aggregate(each, F.lit(0), lambda n, x: n + x)
+
+
 def _later(docs: DataFrame, sketches: DataFrame, width: int) -> DataFrame:
     """id and th of the documents of sketches whose set of shingles has a Jaccard similarity of 4/5 or more to that of an earlier one."""
     sets = sketches.where("n > 0").select(F.xxhash64("id", "th").alias("l"), F.col("id").alias("doc"), "id", "th", "n", "s1", "s2", "wide", "tokens")
@@ -177,7 +187,7 @@ def _later(docs: DataFrame, sketches: DataFrame, width: int) -> DataFrame:
 
     def screen(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("l").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
-        apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        apart = F.when(F.size("wide_a") <= F.size("wide_b"), _apart(F.col("wide_a"), F.col("wide_b"))).otherwise(_apart(F.col("wide_b"), F.col("wide_a")))
         return pairs.join(a, "a").join(b, "b").where(9 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b").distinct()
 
     return later_sets(rare, often, known_of, lambda items: items, "at.id", screen).select("at.id", "at.th")
