@@ -41,8 +41,8 @@ def joinable(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-#: Bits of a set of hashes that is sent to every task (4 MB). When it fills up, more hashes seem to be in it.
-SET_BITS = 1 << 25
+#: Bits of a set of hashes that is sent to every task (1 MB). When it fills up, more hashes seem to be in it.
+SET_BITS = 1 << 23
 
 
 def bits_of(rows: DataFrame, column: str) -> Column:

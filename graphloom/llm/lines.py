@@ -69,17 +69,17 @@ def _class(token: Column) -> Column:
 
 
 def _set_of(line: Column, classes: Column) -> Column:
-    """n, s1, s2 and tokens, the prefix and one token more, without words that are found once. A token: its class in 7 bits, then 56 bits of hash."""
+    """n, s0, s1 and tokens, the prefix and one token more, without words that are found once. A token: its class in 7 bits, then 56 bits of hash."""
     hashes = F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
 
     def token(h: Column, c: Column) -> Column:
         return F.call_function("shiftleft", F.get(c, _place(h)).cast("long"), F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     def made(h: Column) -> Column:
-        s1, s2 = signatures(h)
+        s0, s1 = signatures(h)
         tokens = _let(classes, lambda c: F.sort_array(F.transform(h, lambda x: token(x, c))))
         first = F.filter(F.slice(tokens, F.lit(1), prefix(F.size(h)) + 1), lambda t: _class(t) != 0)
-        return F.struct(F.size(h).alias("n"), s1.alias("s1"), s2.alias("s2"), first.alias("tokens"))
+        return F.struct(F.size(h).alias("n"), s0.alias("s0"), s1.alias("s1"), first.alias("tokens"))
 
     return _let(hashes, made)
 
@@ -94,12 +94,12 @@ def _marked(lines: DataFrame, twice: DataFrame) -> DataFrame:
 
 
 def _firsts(lines: DataFrame, twice: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets, again): a row for each distinct line, with l, doc, n, s1, s2 and tokens; at of the copies of earlier lines."""
+    """(sets, again): a row for each distinct line, with l, doc, n, s0, s1 and tokens; at of the copies of earlier lines."""
     marked = _marked(lines, twice).withColumn("classes", _classes(lines).scalar())
     rows = marked.select("l", F.coalesce("at.doc_id", F.lit(_LAST)).alias("doc"), F.when(~F.col("single"), F.col("at")).alias("at"), F.when(F.col("own"), _set_of(F.col("line"), F.col("classes"))).alias("s"))
     rows = checkpoint(rows.select("l", "doc", "at", "s.*"))
     # a first line is there as often as its row repeats
-    once = rows.where("at is not null and n is not null").groupBy("l", "at").agg(F.max(F.struct("doc", "n", "s1", "s2", "tokens")).alias("s")).select("l", "s.*")
+    once = rows.where("at is not null and n is not null").groupBy("l", "at").agg(F.max(F.struct("doc", "n", "s0", "s1", "tokens")).alias("s")).select("l", "s.*")
     return rows.where("at is null").select(once.columns).union(once), rows.where("n is null").select("at")
 
 

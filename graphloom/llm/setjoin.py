@@ -14,7 +14,11 @@ under a key and size, and only those that are not found to be like an earlier on
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +30,9 @@ GROUP = 64
 #: Tokens in a set from which on a single common token is a key.
 LONG = 100
 #: ni is n and i, the size of the set and the place of the key in it, in one number.
-ENTRY = ("key", "l", "ni", "s1", "s2")
+ENTRY = ("key", "l", "ni")
+#: Sizes up to this one stand for themselves, larger ones in classes, each 1.05 times the one before.
+EXACT_SIZES = 32
 
 
 def prefix(n: Column) -> Column:
@@ -35,7 +41,7 @@ def prefix(n: Column) -> Column:
 
 
 def signatures(tokens: Column) -> tuple[Column, Column]:
-    """Parities of tokens by hash in 128 places: two sets differ in as many tokens at least as their signatures in bits."""
+    """s0 and s1: parities of tokens by hash in 128 places: two sets differ in as many tokens at least as their signatures in bits."""
 
     def half(flip: int) -> Column:
         chosen = lambda x: F.call_function("shiftright", x.bitwiseXOR(F.lit(flip)), F.lit(6)).bitwiseAND(F.lit(1))
@@ -48,21 +54,22 @@ def signatures(tokens: Column) -> tuple[Column, Column]:
 def entries(sets: DataFrame, common: Callable[[Column], Column], useless: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """The keys of sets by rare tokens, and those by common ones.
 
-    sets: l (id), doc (a long by which sets go roughly in order), n (size), s1, s2 and tokens, the first prefix(n) + 1
-    tokens; the first of these may be left out if no other set has them. common(token) tells which are common,
+    sets: l (id), doc (a long by which sets go roughly in order), n (size), s0, s1 and so on, a signature in as many
+    longs as sets of that kind need, and tokens, the first prefix(n) + 1 tokens; the first of these may be left out if no other set has them. common(token) tells which are common,
     useless(token) which no two sets share.
     """
+    entry = (*ENTRY[1:], *_signature(sets))
     named = sets.withColumn("p", prefix(F.col("n"))).withColumn("left_out", F.least("n", F.col("p") + 1) - F.size("tokens"))
     each = named.select("*", F.posexplode("tokens").alias("at_token", "tok")).withColumn("i", F.col("at_token") + F.col("left_out")).where(F.col("i") < F.col("p"))
     each = each.withColumn("ni", _packed("n", "i"))
     tok = F.col("tok")
     alone = ~common(tok) if useless is None else ~common(tok) & ~useless(tok)
-    rare = each.where(alone).select(tok.alias("key"), *ENTRY[1:])
+    rare = each.where(alone).select(tok.alias("key"), *entry)
     often = each.where(common(tok))
-    single = often.where((F.col("n") == 1) | (5 * F.col("n") >= 4 * LONG)).select(tok.alias("key"), *ENTRY[1:], "doc")
+    single = often.where((F.col("n") == 1) | (5 * F.col("n") >= 4 * LONG)).select(tok.alias("key"), *entry, "doc")
     double = often.where((F.col("n") > 1) & (F.col("n") <= LONG)).select("*", F.posexplode(F.slice("tokens", F.col("at_token") + 2, F.size("tokens"))).alias("k", "next"))
     # with the second common token where it is, one token before it is common
-    double = double.withColumn("ni", _packed("n", F.col("i") + F.col("k"))).select(F.xxhash64("tok", "next").alias("key"), *ENTRY[1:], "doc")
+    double = double.withColumn("ni", _packed("n", F.col("i") + F.col("k"))).select(F.xxhash64("tok", "next").alias("key"), *entry, "doc")
     return rare, single.union(double)
 
 
@@ -74,10 +81,14 @@ def _n_and_i(ni: Column) -> tuple[Column, Column]:
     return F.shiftright(ni, 32).cast("int"), ni.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
 
-def _fits(a: str, b: str) -> Column:
+def _signature(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if re.fullmatch(r"s\d+", c)]
+
+
+def _fits(a: str, b: str, signature: list[str]) -> Column:
     """The length filter, the positional filter for the first common token, and the bound that signatures give."""
     (na, ia), (nb, ib) = _n_and_i(F.col(f"{a}.ni")), _n_and_i(F.col(f"{b}.ni"))
-    apart = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
+    apart = reduce(add, (F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in signature))
     return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (9 * F.least(na - ia, nb - ib) >= 4 * (na + nb)) & (9 * apart <= na + nb)
 
 
@@ -87,27 +98,32 @@ def _pair(a: Column, b: Column) -> list[Column]:
 
 def _all_pairs(at_keys: DataFrame) -> DataFrame:
     x, y = at_keys.alias("x"), at_keys.alias("y")
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.l") < F.col("y.l")) & _fits("x", "y")).select(F.col("x.l").alias("a"), F.col("y.l").alias("b"))
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.l") < F.col("y.l")) & _fits("x", "y", _signature(at_keys))).select(F.col("x.l").alias("a"), F.col("y.l").alias("b"))
+
+
+def _size_class(n: Column) -> Column:
+    return F.when(n < EXACT_SIZES, n).otherwise(EXACT_SIZES + F.floor(F.log(n / F.lit(float(EXACT_SIZES))) / math.log(1.05)).cast("int"))
 
 
 def _by_size(many: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(stands, looks): entries under their own size, if a set of that size or more may be like them, and under the sizes that are no larger."""
+    """(stands, looks): entries under the class of their own size, if a set of that size or more may be like them, and under those of the sizes that are no larger."""
     n, i = _n_and_i(F.col("ni"))
-    stands = many.where(9 * (n - i) >= 8 * n).withColumn("size", n)
+    stands = many.where(9 * (n - i) >= 8 * n).withColumn("size", _size_class(n))
     least, most = F.floor((4 * n + 4) / 5).cast("int"), F.least(n, (F.floor(9 * (n - i) / 4) - n).cast("int"))
-    return stands, many.where(least <= most).withColumn("size", F.explode(F.sequence(least, most)))
+    return stands, many.where(least <= most).withColumn("size", F.explode(F.sequence(_size_class(least), _size_class(most))))
 
 
 def _meet(x: DataFrame, y: DataFrame) -> DataFrame:
+    signature = _signature(x)
     x, y = x.alias("x"), y.alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.l") != F.col("y.l"))
-    return x.join(y, same & _fits("x", "y")).select(*_pair(F.col("x.l"), F.col("y.l")))
+    return x.join(y, same & _fits("x", "y", signature)).select(*_pair(F.col("x.l"), F.col("y.l")))
 
 
 def _with_first(many: DataFrame) -> DataFrame:
     """Pairs of each set and the first one under its keys and sizes: linear, however large the group."""
     stands, looks = _by_size(many)
-    first = stands.groupBy("key", "size").agg(F.min(F.struct("doc", "l", "ni", "s1", "s2")).alias("y")).select("key", "size", "y.*")
+    first = stands.groupBy("key", "size").agg(F.min(F.struct("doc", "l", "ni", *_signature(many))).alias("y")).select("key", "size", "y.*")
     return _meet(looks, first)
 
 
@@ -140,7 +156,7 @@ def later_sets(rare: DataFrame, often: DataFrame, known_of: Callable[[DataFrame]
     """
     counts = checkpoint(often.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     few = often.join(joinable(counts.where(F.col("m") <= GROUP).select("key")), "key", "left_semi")
-    pairs = _all_pairs(rare).union(_all_pairs(few.select(*ENTRY)))
+    pairs = _all_pairs(rare).union(_all_pairs(few.drop("doc")))
     large = counts.where(F.col("m") > GROUP).select("key")
     any_large = not large.isEmpty()
     if any_large:

@@ -120,9 +120,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 #: Documents that have a shingle, beyond which it counts as common.
 COMMON = 64
-#: Bits at least of the wide signature of a document; it has as many as the document has shingles, or up to twice as many.
+#: Bits of the signature by which documents meet, and of the wide one at least, which has as many as the document has shingles, or up to twice as many.
 WIDE = 1024
-_SKETCH = "id long, th long, fp long, n int, s1 long, s2 long, wide array<long>, tokens array<long>"
+_SKETCH = "id long, th long, fp long, n int, narrow array<long>, wide array<long>, tokens array<long>"
 
 
 def distinct_hashes(text: str | None, width: int) -> np.ndarray:
@@ -144,10 +144,10 @@ def _sketch(width: int):
                 hashes = list(shingle_hashes(text.as_py(), width))
                 own = np.unique(np.concatenate([np.zeros(0, "<u8"), *hashes]).view(np.int64))
                 n = len(own)
-                rows.append((doc_id.as_py(), th.as_py(), _signed(_counted(hashes)), n, *map(int, _parities(own, 128)), _parities(own, max(WIDE, 1 << (n - 1).bit_length())), own[: n - (4 * n + 4) // 5 + 2]))
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "th", "fp", "n", "s1", "s2", "wide", "tokens"])
+                rows.append((doc_id.as_py(), th.as_py(), _signed(_counted(hashes)), n, _parities(own, WIDE), _parities(own, max(WIDE, 1 << (n - 1).bit_length())), own[: n - (4 * n + 4) // 5 + 2]))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "th", "fp", "n", "narrow", "wide", "tokens"])
 
     return sketch
 
@@ -173,7 +173,7 @@ def _apart(narrow: Column, wide: Column) -> Column:
 
 def _later(docs: DataFrame, sketches: DataFrame, width: int) -> DataFrame:
     """id and th of the documents of sketches whose set of shingles has a Jaccard similarity of 4/5 or more to that of an earlier one."""
-    sets = sketches.where("n > 0").select(F.xxhash64("id", "th").alias("l"), F.col("id").alias("doc"), "id", "th", "n", "s1", "s2", "wide", "tokens")
+    sets = sketches.where("n > 0").select(F.xxhash64("id", "th").alias("l"), F.col("id").alias("doc"), "id", "th", "n", *(F.get("narrow", F.lit(k)).alias(f"s{k}") for k in range(WIDE // 64)), "wide", "tokens")
     counts = sets.select(F.explode(F.slice("tokens", F.lit(1), prefix(F.col("n")))).alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
     counts = checkpoint(counts.where("n > 1"))
     found, common = bits_of(counts, "tok"), bits_of(counts.where(F.col("n") > COMMON), "tok")
@@ -208,7 +208,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     firsts = each.groupBy("fp").agg(F.min(F.struct("id", "th", "copies")).alias("first")).join(groups, "fp")
     firsts = checkpoint(firsts.groupBy("group").agg(F.min("first").alias("first")).select("first.*"))
     own = joinable(firsts.select("id", "th"))
-    sketches = rows.join(own, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.max(F.struct("n", "s1", "s2", "wide", "tokens")).alias("s"))
+    sketches = rows.join(own, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.max(F.struct("n", "narrow", "wide", "tokens")).alias("s"))
     sketches = checkpoint(sketches.select("id", "th", "s.*"))
     gone = checkpoint(_later(keyed.select("id", "th", "text"), sketches, width))
     stay = firsts.join(joinable(gone), ["id", "th"], "left_anti")
