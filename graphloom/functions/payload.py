@@ -36,18 +36,23 @@ def _number_zero(v: Column) -> Column:
     return F.coalesce(v.try_cast("double") == 0, F.lit(False))
 
 
+def _says_no(payload: ColumnLike, key: str, v: Column) -> Column:
+    """A number that is zero, or an empty list or object; the same written as a text does not."""
+    return (v.isin("[]", "{}") | _number_zero(v)) & ~is_json_string(payload, key)
+
+
 def attr_enabled(payload: ColumnLike, key: str) -> Column:
     """Whether a value stands for yes: not null, no zero number, no text like false, 0, no or none, no empty list or object."""
     v = value(payload, key)
-    plain = ~F.lower(F.trim(v)).isin("", "false", "0", "no", "none", "null", "[]", "{}")
-    return F.coalesce(v.isNotNull() & plain & ~(_number_zero(v) & ~is_json_string(payload, key)), F.lit(False))
+    plain = ~F.lower(F.btrim(v, F.lit(" \t\n\r\x0b\x0c"))).isin("", "false", "0", "no", "none", "null")
+    return F.coalesce(v.isNotNull() & plain & ~_says_no(payload, key, v), F.lit(False))
 
 
 def raw_truthy(payload: ColumnLike, key: str) -> Column:
     """As attr_enabled, but texts are not trimmed and `no` counts as yes."""
     v = value(payload, key)
-    plain = ~F.lower(v).isin("", "false", "0", "none", "null", "[]", "{}")
-    return F.coalesce(v.isNotNull() & plain & ~(_number_zero(v) & ~is_json_string(payload, key)), F.lit(False))
+    plain = ~F.lower(v).isin("", "false", "0", "none", "null")
+    return F.coalesce(v.isNotNull() & plain & ~_says_no(payload, key, v), F.lit(False))
 
 
 def truthy(payload: ColumnLike, key: str) -> Column:

@@ -8,6 +8,7 @@ which takes an eighth of the rounds. All state is in tables, cut off by checkpoi
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +22,14 @@ STRIDE, MANY = 8, 16
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a copy in the folder of spark.checkpoint.dir, or one of our own where that is unset; two files at most for each core."""
-    sc = df.sparkSession.sparkContext
+    """Cut the lineage by a copy in the shared folder of spark.checkpoint.dir; on one machine one of our own will do where that is unset."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.coalesce(2 * sc.defaultParallelism).checkpoint(eager=True)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
 
 
 def traversal_edges(edges: DataFrame) -> DataFrame:
@@ -120,7 +124,13 @@ def simple_paths(starts: DataFrame, ends: DataFrame, edges: DataFrame, max_depth
     step = cut(step.join(useful, "next", "left_semi"))
     paths = starts.toDF("start").distinct().select("start", F.col("start").alias("at"), F.array("start").alias("path"))
     found = None
+    if max_paths:  # what each start can still be asked for
+        wanted = closure(starts.toDF("start"), step.select(F.col("at").alias("source"), F.col("next").alias("target")), max_depth).where("distance > 0")
+        wanted = cut(wanted.join(goal, F.col("node") == F.col("end")).select("start", "end"))
     for hops in range(1, max_depth + 1):
+        if max_paths and found is not None:
+            full = found.groupBy("start", "end").count().where(F.col("count") >= max_paths)
+            paths = paths.join(wanted.join(full, ["start", "end"], "left_anti").select("start").distinct(), "start", "left_semi")
         paths = paths.join(step, "at").where(~F.array_contains("path", F.col("next"))).select("start", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"))
         paths = cut(paths)
         if paths.isEmpty():
@@ -138,7 +148,24 @@ def simple_paths(starts: DataFrame, ends: DataFrame, edges: DataFrame, max_depth
 
 
 def shortest_path(starts: DataFrame, ends: DataFrame, edges: DataFrame, max_depth: int = 15) -> DataFrame:
-    return simple_paths(starts, ends, edges, max_depth, 1)
+    """(start, end, path, length): of the shortest paths of each pair, of max_depth edges at most, the first by ids.
+
+    The distance of every node to an end is known first; then each pair holds one path, which goes on to the smallest
+    node that is one edge nearer.
+    """
+    back = closure(ends, reversed_edges(edges), max_depth).select(F.col("start").alias("end"), F.col("node").alias("next"), "distance")
+    step = edges.select(F.col("source").alias("at"), F.col("target").alias("next")).distinct()
+    first = starts.toDF("start").distinct().join(back, F.col("start") == F.col("next")).where("distance > 0")
+    at = cut(first.select("start", "end", F.col("start").alias("at"), "distance", F.array("start").alias("path")))
+    found = []
+    while not at.isEmpty():
+        on = at.join(step, "at").select("start", "end", "path", "next", (F.col("distance") - 1).alias("distance")).join(back, ["end", "next", "distance"], "left_semi")
+        on = on.groupBy("start", "end", "path", "distance").agg(F.min("next").alias("at"))
+        on = cut(on.select("start", "end", "at", "distance", F.array_append("path", F.col("at")).alias("path")))
+        found.append(on.where("distance = 0"))
+        at = on.where("distance > 0")
+    none = at.where("false")
+    return reduce(DataFrame.union, found, none).select("start", "end", "path", (F.size("path") - 1).alias("length"))
 
 
 def propagate_sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -54,10 +54,14 @@ def resolve_cross_file(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     calls = edges.where((F.col("relation") == "calls") & p.truthy("attributes", "unresolved") & p.value("attributes", "call_name").isNotNull())
     calls = calls.select("source", "target", "relation", p.value("attributes", "call_name").alias("name"), F.substring_index("source", "::", 1).alias("own"))
     functions = nodes.where("type = 'function'").select(F.col("label").alias("name"), "id", "file", "seq")
-    # the first candidate of each file is enough: the best is the first of another file, else the first of this one
+    # two candidates of a name are enough, however many files define it: the first of all, and the first of another file than that one's
     by_file = functions.groupBy("name", "file").agg(F.min(F.struct("seq", "id")).alias("c"))
-    best = calls.join(by_file, "name").groupBy("source", "target", "relation").agg(F.min(F.struct((F.col("file") == F.col("own")).alias("same"), "c")).alias("b"))
-    return _retarget(edges, best.select("source", "target", "relation", F.col("b.c.id").alias("to")), RESOLVED)
+    first = by_file.groupBy("name").agg(F.min(F.struct("c", "file")).alias("first"))
+    second = by_file.join(first, "name").where(F.col("file") != F.col("first.file")).groupBy("name").agg(F.min("c").alias("second"))
+    to = F.when((F.col("first.file") == F.col("own")) & F.col("second").isNotNull(), F.col("second.id")).otherwise(F.col("first.c.id"))
+    best = calls.join(first, "name").join(second, "name", "left").select("source", "target", "relation", F.struct((F.col("first.file") == F.col("own")) & F.col("second").isNull(), F.when((F.col("first.file") == F.col("own")) & F.col("second").isNotNull(), F.col("second.seq")).otherwise(F.col("first.c.seq")).alias("seq"), to.alias("id")).alias("b"))
+    best = best.groupBy("source", "target", "relation").agg(F.min("b").alias("b"))
+    return _retarget(edges, best.select("source", "target", "relation", F.col("b.id").alias("to")), RESOLVED)
 
 
 def suppressible(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.operators.traverse import cut
 from graphloom.sources.store import Graph
 
 #: Which functions have which metadata: (modulus of the order key, JSON member).
@@ -59,7 +62,7 @@ UNION ALL
 SELECT home, 'C' || CAST(o_custkey % 50 AS STRING), CASE WHEN o_custkey % 50 % 10 = 0 THEN 'library' ELSE 'contract' END, '', file, 0, 0, '', '{}', 1000000000 + min(o_custkey)
 FROM $functions GROUP BY home, file, o_custkey % 50
 UNION ALL
-SELECT 'contracts/state.sol::S' || CAST(p_size AS STRING) || '.v' || CAST(p_partkey AS STRING), p_brand, 'state_var', 'internal', 'contracts/state.sol', CAST(p_size AS INT), CAST(p_size AS INT), p_type, '{}', 2000000000 + p_partkey FROM $part
+SELECT 'contracts/state.sol::S' || CAST(p_size AS STRING) || '.v' || CAST(p_partkey AS STRING), p_brand, 'state_var', 'internal', 'contracts/state.sol', CAST(p_size AS INT), CAST(p_size + 0 AS INT), p_type, '{}', 2000000000 + p_partkey FROM $part
 UNION ALL
 SELECT CASE WHEN s_suppkey % 10 = 0 THEN '_sink_s' ELSE 's:' END || CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 10 = 0 THEN 'send' || CAST(s_suppkey AS STRING) ELSE s_name END,
   CASE WHEN s_suppkey % 10 = 0 THEN 'function' ELSE 'modifier' END, 'internal', 'contracts/base.sol', CAST(s_suppkey % 100 AS INT), CAST(s_suppkey % 100 AS INT), '',
@@ -104,12 +107,6 @@ USERS = """
 SELECT DISTINCT CAST(a AS STRING) AS source, CAST(b AS STRING) AS target FROM (SELECT user_id AS a, lead(user_id) OVER (ORDER BY ts, event_id) AS b FROM $events) x WHERE b IS NOT NULL AND a <> b
 """
 
-#: The same over a twentieth of the events, as the SQL of cyclic_closure has it.
-SQL_USERS = """
-SELECT DISTINCT CAST(a AS STRING) AS source, CAST(b AS STRING) AS target FROM (SELECT user_id AS a, lead(user_id) OVER (ORDER BY ts, event_id) AS b FROM $events WHERE event_id % 20 = 0) x WHERE b IS NOT NULL AND a <> b
-"""
-
-
 def _spark(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
     text = text.replace("{", "{{").replace("}", "}}")
     for name in frames:
@@ -121,21 +118,37 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
+def built(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph as plans over the tables."""
     t = tables(spark, sf_dir, "orders", "part", "supplier", "lineitem", "events")
-    functions = _spark(spark, FUNCTIONS, orders=t["orders"])
+    functions = cut(_spark(spark, FUNCTIONS, orders=t["orders"]))
     nodes = _spark(spark, NODES, functions=functions, part=t["part"], supplier=t["supplier"])
     edges = _spark(spark, EDGES, functions=functions, part=t["part"], lineitem=t["lineitem"])
     return Graph(nodes, edges, _spark(spark, TRANSITIONS, events=t["events"]))
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph, which a session writes once, by type and relation, into its checkpoint folder; queries read what they need of it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        cut(spark.range(0))  # sets the folder where it is unset
+        path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/graph-{len(_stored)}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}"
+        g = built(spark, sf_dir)
+        Graph(cut(g.nodes), cut(g.edges), cut(g.transitions)).save(path)
+        _stored[key] = path
+    return Graph.load(spark, _stored[key])
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spark(spark, USERS, **tables(spark, sf_dir, "events"))
 
 
 def sql(query: str, *uses: str) -> str:
     """A DuckDB query with the graph's tables as common table expressions."""
-    texts = {"functions": FUNCTIONS, "nodes": NODES, "edges": EDGES, "state_transitions": TRANSITIONS, "users": SQL_USERS}
+    texts = {"functions": FUNCTIONS, "nodes": NODES, "edges": EDGES, "state_transitions": TRANSITIONS, "users": USERS}
     plain = {k: v.replace("$", "") for k, v in texts.items()}
     needed = [k for k in texts if k in uses or k == "functions" and {"nodes", "edges"} & set(uses)]
     return "WITH RECURSIVE " + ",\n".join([f"{k} AS MATERIALIZED ({plain[k]})" for k in needed]) + query

@@ -45,7 +45,7 @@ def _on(column: str, key: str, texts: str) -> str:
 
 
 def enabled(column: str, key: str) -> str:
-    return _on(column, key, "lower(trim({v})) NOT IN ('', 'false', '0', 'no', 'none', 'null', '[]', '{{}}')")
+    return _on(column, key, "lower(trim({v})) NOT IN ('', 'false', '0', 'no', 'none', 'null')")
 
 
 def true(column: str, key: str) -> str:
@@ -300,7 +300,11 @@ def propagated_sinks(spark, sf):
     return traverse.propagate_sinks(g.nodes, g.edges)
 
 
-@query(", c AS (SELECT source AS start, target AS node, 1 AS d FROM users UNION SELECT c.start, u.target, c.d + 1 FROM c JOIN users u ON u.source = c.node WHERE c.d < 6) SELECT start, node, CAST(min(d) AS INT) AS distance FROM c WHERE start <> node GROUP BY start, node", "users")
+@query(
+    """, c(start, node, d) USING KEY (start, node) AS (SELECT source, target, 1 FROM users UNION SELECT c.start, u.target, min(c.d) + 1 FROM c JOIN users u ON u.source = c.node LEFT JOIN recurring.c r ON r.start = c.start AND r.node = u.target WHERE r.d IS NULL GROUP BY c.start, u.target)
+  SELECT start, node, CAST(d AS INT) AS distance FROM c""",
+    "users",
+)
 def cyclic_closure(spark, sf):
     return traverse.cyclic_closure(users(spark, sf))
 
@@ -427,9 +431,10 @@ def silent_changes(spark, sf):
 
 
 @query(
-    f""", f AS (SELECT * FROM nodes WHERE type = 'function' AND label NOT IN ('constructor', 'fallback', 'receive') AND id NOT IN (SELECT target FROM edges WHERE relation = 'calls'))
-  SELECT 'dead_internal' AS kind, id, visibility FROM f WHERE visibility IN ('internal', 'private') AND split_part(id, '::', 1) || '::' || split_part(split_part(id, '::', 2), '.', 1) NOT IN (SELECT id FROM nodes WHERE type = 'library')
-  UNION ALL SELECT 'direct_entry_point', id, visibility FROM f WHERE visibility IN ('public', 'external') AND {_CHANGING} AND id IN (SELECT source FROM edges WHERE relation = 'writes_state')""",
+    f""", called AS MATERIALIZED (SELECT DISTINCT target FROM edges WHERE relation = 'calls'), writers AS MATERIALIZED (SELECT DISTINCT source FROM edges WHERE relation = 'writes_state'), libs AS MATERIALIZED (SELECT DISTINCT id AS lib FROM nodes WHERE type = 'library'),
+  f AS MATERIALIZED (SELECT *, split_part(id, '::', 1) || '::' || split_part(split_part(id, '::', 2), '.', 1) AS home FROM nodes ANTI JOIN called ON called.target = nodes.id WHERE type = 'function' AND label NOT IN ('constructor', 'fallback', 'receive'))
+  SELECT 'dead_internal' AS kind, id, visibility FROM f ANTI JOIN libs ON libs.lib = f.home WHERE visibility IN ('internal', 'private')
+  UNION ALL SELECT 'direct_entry_point', id, visibility FROM f SEMI JOIN writers ON writers.source = f.id WHERE visibility IN ('public', 'external') AND {_CHANGING}""",
     "nodes", "edges",
 )
 def dead_code(spark, sf):
@@ -474,7 +479,7 @@ def transitions_by_entity(spark, sf):
 
 # ---- writing ----------------------------------------------------------------------------------------------------------------
 
-_RAW = "SELECT 'n' || CAST(l_partkey % 300 AS STRING) AS source, 'm' || CAST(l_suppkey % 10 AS STRING) AS target, 'calls' AS relation, '{\"k' || CAST(l_linenumber AS STRING) || '\":' || CAST(l_quantity AS STRING) || ',\"last\":\"' || l_returnflag || '\"}' AS attributes, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS seq FROM lineitem WHERE l_orderkey % 5 = 0"
+_RAW = "SELECT 'n' || CAST(l_partkey % 300 AS STRING) AS source, 'm' || CAST(l_suppkey % 10 AS STRING) AS target, 'calls' AS relation, '{\"k' || CAST(l_linenumber AS STRING) || '\":' || CAST(l_quantity AS STRING) || ',\"last\":\"' || l_returnflag || '\"}' AS attributes, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS seq FROM lineitem"
 
 
 def _raw_edges(spark, sf) -> DataFrame:
@@ -501,7 +506,7 @@ def merged_edges(spark, sf):
 
 
 @query(
-    """, probe AS (SELECT DISTINCT CAST(l_orderkey AS STRING) || '-' || CAST(l_quantity AS INT) AS probe, file, CAST(l_quantity * 20 AS INT) AS line FROM lineitem JOIN functions ON o_orderkey = l_orderkey WHERE l_orderkey % 50 = 0), n AS (SELECT * FROM nodes WHERE type IN ('function', 'library', 'contract')),
+    """, probe AS (SELECT DISTINCT CAST(l_orderkey AS STRING) || '-' || CAST(l_quantity AS INT) AS probe, file, CAST(l_quantity * 20 AS INT) AS line FROM lineitem JOIN functions ON o_orderkey = l_orderkey), n AS (SELECT * FROM nodes WHERE type IN ('function', 'library', 'contract')),
   inside AS (SELECT probe, min(struct_pack(r := CASE type WHEN 'function' THEN 0 ELSE 1 END, s := line_end - line_start, l := line_start, id := id)).id AS id FROM probe p JOIN n ON n.file = p.file AND line BETWEEN line_start AND line_end GROUP BY probe),
   near AS (SELECT probe, min(struct_pack(r := CASE type WHEN 'function' THEN 0 ELSE 1 END, d := abs(line_start - line), l := line_start, id := id)) AS b FROM probe p JOIN n ON n.file = p.file GROUP BY probe)
   SELECT probe, coalesce(inside.id, CASE WHEN b.d <= 3 THEN b.id END) AS id FROM probe LEFT JOIN inside USING (probe) LEFT JOIN near USING (probe)""",
@@ -733,3 +738,24 @@ def extracted_nodes(spark, sf):
 @query(" UNION ALL ".join(_part_rows(k, e, ("source", "target", "relation"), (0, 1)) for k, x in enumerate(SOURCES) for e in x[3]))
 def extracted_edges(spark, sf):
     return extract.extracted(_sources(spark, sf)).where("kind = 'edge'").select("path", "source", "target", "relation")
+
+
+#: JSON values of all kinds with what they mean by the three rules: an attribute that is enabled, raw JSON that is true, a value that is not empty.
+MEANINGS = (
+    ("true", True, True, True), ("false", False, False, False), ("null", False, False, False), ("0", False, False, False), ("0.0", False, False, False), ("-1", True, True, True),
+    ('""', False, False, False), ('"0"', False, False, True), ('"0.0"', True, True, True), ('"False"', False, False, True), ('"no"', False, True, True), ('"None"', False, False, True),
+    ('" no "', False, True, True), ('" "', False, True, True), ('"yes"', True, True, True), ("[]", False, False, False), ("{}", False, False, False), ("[0]", True, True, True),
+    ('{"a":0}', True, True, True), ('"[]"', True, True, True), ('"{}"', True, True, True), ('"null"', False, False, True),
+)
+
+
+@query(
+    "SELECT CAST(p_partkey AS BIGINT) AS id, m.enabled, m.raw, m.filled FROM part JOIN (VALUES "
+    + ", ".join(f"({i}, {a}, {b}, {c})" for i, (_, a, b, c) in enumerate(MEANINGS))
+    + f") m(i, enabled, raw, filled) ON p_partkey % {len(MEANINGS)} = m.i"
+)
+def payload_truth(spark, sf):
+    parts = tables(spark, sf, "part")["part"].select(F.col("p_partkey").alias("id"))
+    json_value = F.element_at(F.array(*(F.lit(m[0]) for m in MEANINGS)), (F.col("id") % len(MEANINGS) + 1).cast("int"))
+    rows = parts.withColumn("payload", F.concat(F.lit('{"k":'), json_value, F.lit("}")))
+    return rows.select("id", p.attr_enabled("payload", "k").alias("enabled"), p.raw_truthy("payload", "k").alias("raw"), p.truthy("payload", "k").alias("filled"))

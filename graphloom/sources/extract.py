@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.traverse import cut
 from graphloom.sources.store import Graph
 from graphloom.sources.walk import extractors
 
@@ -404,10 +405,18 @@ def extracted(files: DataFrame) -> DataFrame:
     return each.mapInArrow(_rows, _ROWS)
 
 
-def graph_of(files: DataFrame) -> tuple[Graph, DataFrame]:
-    """The graph of the files, before the passes over it, and (path, failure) of those that could not be read. Rows go in the order of paths."""
-    rows = extracted(files)
-    seq = F.xxhash64("path").bitwiseAND(F.lit((1 << 40) - 1)) * 100_000 + F.col("pos")
+def stored_rows(files: DataFrame) -> DataFrame:
+    """extracted(), stored: each file is read once, however many tables are made of its rows."""
+    return cut(extracted(files))
+
+
+def graph_of(rows: DataFrame, order: DataFrame) -> tuple[Graph, DataFrame]:
+    """The graph of extracted rows, before the passes over it, and (path, failure) of those that could not be read.
+
+    order: (path, number) of the files. Rows go by the number of their file and their place in it.
+    """
+    rows = rows.join(order, "path")
+    seq = F.shiftleft(F.col("number"), 24).bitwiseOR(F.col("pos").cast("long"))
     part = lambda kind, names: rows.where(F.col("kind") == kind).select(*names, seq.alias("seq"))
     nodes = part("node", ["id", "label", "type", "visibility", "file", "line_start", "line_end", "signature", "metadata"])
     edges = part("edge", ["source", "target", "relation", "attributes"])

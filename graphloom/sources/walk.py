@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.names import name_tokens
 from graphloom.functions.payload import ColumnLike, _c
+from graphloom.operators.traverse import cut
 
 # Names of directories and files, and extensions, that the classification goes by.
 IGNORED_DIRS = (
@@ -152,14 +153,29 @@ def extractors(lang: Column) -> Column:
     return F.when(lang.isin("anchor", "substrate", "soroban"), F.array(lang, F.lit("rust"))).otherwise(F.array(lang))
 
 
-def priority(path: ColumnLike, lang: Column) -> Column:
-    """What to read first: a struct to order by."""
+def priority(path: ColumnLike, lang: Column, detected: str = "") -> Column:
+    """What to read first: a struct to order by. The root is the first part of the path; the repository's own language comes before others."""
     path = _c(path)
     parts = F.filter(F.split(F.lower(path), "/"), lambda x: x != "")
-    dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    root = F.when(F.arrays_overlap(dirs, _array(PROTOCOL_ROOTS)), 0).when(F.arrays_overlap(dirs, _array(LOW_ROOTS)), 2).otherwise(1)
+    first = F.get(parts, F.lit(0))
+    root = F.when(first.isin(*PROTOCOL_ROOTS), 0).when(first.isin(*LOW_ROOTS), 2).otherwise(1)
     rank = F.array_position(_array(PRIORITY), lang)
-    return F.struct((source_context(path) != "production").cast("int").alias("context"), root.alias("root"), F.when(rank > 0, rank).otherwise(99).alias("language"), F.size(parts).alias("depth"), F.lower(path).alias("path"))
+    language = F.when(lang == F.lit(detected), -1).when(rank > 0, rank).otherwise(99)
+    context = F.when(source_context(path) == "production", 0).otherwise(3)
+    return F.struct(context.alias("context"), root.alias("root"), language.alias("language"), F.size(parts).alias("depth"), F.lower(path).alias("path"))
+
+
+def numbered(files: DataFrame, detected: str = "") -> DataFrame:
+    """(path, number): files from 0 in the order of priority, by a sort over all tasks; no content is moved."""
+    ordered = files.select("path", priority("path", F.col("language"), detected).alias("p")).orderBy("p", "path").select("path", F.monotonically_increasing_id().alias("at"))
+    ordered = cut(ordered.withColumn("part", F.shiftright("at", 33)))
+    sizes = ordered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # a row for each task
+    before, starts = 0, []
+    for part, n in sizes:
+        starts.append((part, before))
+        before += n
+    starts = F.broadcast(files.sparkSession.createDataFrame(starts, "part long, start long"))
+    return ordered.join(starts, "part").select("path", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("number"))
 
 
 def read_tree(spark: SparkSession, root: str, include_research: bool = False) -> DataFrame:

@@ -112,3 +112,32 @@ def test_build_and_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["functions"]
     assert cli.main(["guide"]) == 0
     assert tools.profile(spark, str(tree))["projects"]
+
+
+def test_files_go_by_priority_and_a_spent_budget_leaves_a_part(spark, tmp_path, monkeypatch):
+    from graphloom.plans import build as builds
+    from graphloom.sources import walk
+
+    paths = ["tools/A.sol", "src/deep/B.sol", "src/C.py", "src/D.sol", "lib/src/E.sol", "script/F.s.sol"]
+    files = spark.createDataFrame([(p, "python" if p.endswith("py") else "solidity") for p in paths], "path string, language string")
+    got = [r.path for r in walk.numbered(files).orderBy("number").collect()]
+    assert got == ["src/D.sol", "src/deep/B.sol", "src/C.py", "lib/src/E.sol", "tools/A.sol", "script/F.s.sol"]
+    assert [r.path for r in walk.numbered(files, "python").orderBy("number").collect()][:3] == ["src/C.py", "src/D.sol", "src/deep/B.sol"]
+    assert sorted(r.number for r in walk.numbered(files).collect()) == list(range(6))
+    for p in paths[:5]:
+        (tmp_path / "t" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / p).write_text("contract K { function f() public {} }")
+    left, plain = [2], builds.extract.stored_rows
+
+    def slow(rows):
+        if not left[0]:
+            raise builds.OutOfTime("build")
+        left[0] -= 1
+        return plain(rows)
+
+    monkeypatch.setattr(builds.extract, "stored_rows", slow)
+    out = build(spark, str(tmp_path / "t"), str(tmp_path / "g"), timeout=600)
+    assert (out["status"], out["indexed"], out["considered"]) == ("partial", 2, 5)
+    assert {r.file for r in Graph.load(spark, str(tmp_path / "g")).nodes.select("file").distinct().collect()} == {"src/D.sol", "src/deep/B.sol"}
+    with pytest.raises(builds.OutOfTime):
+        build(spark, str(tmp_path / "t"), str(tmp_path / "g"), timeout=600)
