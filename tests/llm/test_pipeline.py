@@ -3,8 +3,8 @@ from collections import Counter
 import corpus_pipeline
 from graphloom.llm import pii, quality
 from graphloom.llm.common import table
-from tests.llm import test_lines, test_packing, test_quality, test_simhash
-from tests.llm.helpers import SF, components, odd_docs
+from tests.llm import test_lines, test_near_copies, test_packing, test_quality
+from tests.llm.helpers import SF, odd_docs
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -37,18 +37,9 @@ def plain(docs, hashes):
     docs = [(i, t) for i, t in docs if not test_quality.base(t)[5] and prior + sum(odds[j, v + 1] for j, v in enumerate(votes(t))) >= 0]
     gone = test_lines.gone(test_lines.brute(docs), lambda i, t: (i is None, i or 0, hashes[t]))
     docs = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, t, k) not in gone)) for i, t in docs]
-    fp = [test_simhash.fingerprint(t, 5) for _, t in docs]
-    by = {}
-    for k, f in enumerate(fp):
-        by.setdefault(f, []).append(k)
-    values = sorted(by)
-    roots = components(values, [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3])
-    first = {}
-    for k, (i, _) in enumerate(docs):
-        key = (i if i is not None else 1 << 63, fp[k] - (fp[k] >> 63 << 64))
-        if roots[fp[k]] not in first or key < first[roots[fp[k]]][0]:
-            first[roots[fp[k]]] = (key, k)
-    docs = [docs[k] for _, k in first.values()]
+    docs = test_near_copies.by_fingerprint(docs)
+    later = test_near_copies.later(docs)
+    docs = [(i, t) for i, t in docs if i not in later]
 
     def masked(t):
         for kind, s, e, _ in sorted(pii.all_spans(t), key=lambda x: -x[1]):
@@ -74,6 +65,14 @@ def test_stages_and_result(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "SimHash near-dedup", "PII", "packing"]
 
 
+def test_run_gives_what_its_stages_give(spark):
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    at = table(spark, "/root/testdata/sf0.001", "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, at.collect()))
+
+
 def test_clean_documents_stay(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1")
     docs = table(spark, SF, "documents").join(labels, "doc_id", "left_semi")
