@@ -23,7 +23,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
