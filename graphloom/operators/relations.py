@@ -20,6 +20,20 @@ def neighbours(nodes: DataFrame, edges: DataFrame, ids: DataFrame, relation: str
     return own.join(nodes, F.col(there) == F.col("id")).select("of", "relation", "attributes", *NODE)
 
 
+def containing(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(scope, holder, name): holders whose set has all items of a wanted set in the same scope.
+
+    sets: (scope, holder, item), wanted: (scope, name, item); repeated rows count once, rows with nulls are in no set. Wanted
+    sets meet holders at their item with the fewest holders only, then the whole sets are compared.
+    """
+    sets, wanted = sets.dropna().distinct(), wanted.dropna().distinct()
+    common = sets.groupBy("scope", "item").agg(F.count("*").alias("n"))
+    asked = wanted.join(common, ["scope", "item"], "left").groupBy("scope", "name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "item")).alias("rare"), F.collect_set("item").alias("asked"))
+    held = sets.groupBy("scope", "holder").agg(F.collect_set("item").alias("held"))
+    met = asked.where("rare.n > 0").withColumn("item", F.col("rare.item")).join(sets, ["scope", "item"]).join(held, ["scope", "holder"])
+    return met.where(F.size(F.array_except("asked", "held")) == 0).select("scope", "holder", "name")
+
+
 def accessors(nodes: DataFrame, edges: DataFrame, variables: DataFrame) -> DataFrame:
     """(variable, access, id, label, file, line_start, visibility): writers and readers, each once."""
     own = edges.where(F.col("relation").isin("writes_state", "reads_state")).join(variables.toDF("variable"), F.col("target") == F.col("variable"))

@@ -1,4 +1,4 @@
-"""Passes over a freshly extracted graph, in their order: calls to bare names, base types, calls across files, reentrancy findings that do not hold, reentrancy across functions; and the confidence of a build."""
+"""Passes over a freshly extracted graph, in their order: accounts of functions, implicit interfaces, calls to bare names, base types, calls across files, reentrancy findings that do not hold, reentrancy across functions; and the confidence of a build."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import payload as p
 from graphloom.functions.names import bare_id, contract_key, short_variable
+from graphloom.operators.relations import containing
 from graphloom.operators.traverse import all_callers_guarded, cut, inherited_member
 from graphloom.sources.store import Graph, last_wins
 
@@ -91,9 +92,62 @@ def cross_reentrancy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return hit.groupBy("id", "via").agg(F.array_sort(F.collect_set(short_variable("var"))).alias("stale_vars"), F.count_distinct("var").alias("stale"))
 
 
+def implicit_interfaces(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """New edges from types to the interfaces of their file whose methods they all have, where a language asks for no more than that."""
+    asked = nodes.where("type = 'interface'").select(F.col("file").alias("scope"), F.col("id").alias("name"), F.explode(F.from_json(p.value("metadata", "methods"), "array<string>")).alias("item"))
+    methods = nodes.where("type = 'function'").select(F.col("id").alias("target"), F.col("file").alias("scope"), F.col("label").alias("item"))
+    held = edges.where("relation = 'contains'").select(F.col("source").alias("holder"), "target").join(methods, "target").select("scope", "holder", "item")
+    found = containing(held, asked).where("holder <> name").select(F.col("holder").alias("source"), F.col("name").alias("target"))
+    interfaces = nodes.where("type = 'interface'").select(F.col("id").alias("target"), "label", "seq")
+    return found.join(interfaces, "target").select("source", "target", F.lit("inherits").alias("relation"), F.to_json(F.struct(F.lit("implements").alias("kind"), F.col("label").alias("interface"))).alias("attributes"), "seq")
+
+
+def account_contexts(nodes: DataFrame) -> DataFrame:
+    """(context, label, file, line_start, line_end, metadata, seq, function): structs of accounts with the last function of their file that takes them."""
+    taken = nodes.where("type = 'function'").select("file", p.value("metadata", "context_type").alias("label"), "id", "seq").where("label is not null")
+    takers = taken.groupBy("file", "label").agg(F.max(F.struct("seq", "id"))["id"].alias("function"))
+    contexts = nodes.where((F.col("type") == "struct") & p.truthy("metadata", "is_accounts_context")).select(F.col("id").alias("context"), "label", "file", "line_start", "line_end", "metadata", "seq")
+    return contexts.join(takers, ["file", "label"])
+
+
+def context_risks(contexts: DataFrame) -> DataFrame:
+    """(function, type, field, detail): what the accounts of a function leave open."""
+    fields = F.from_json(p.value("metadata", "field_metadata"), "map<string, struct<account_type: string, mutable: boolean, unchecked_account: boolean, owner_check: string>>")
+    seeds = F.from_json(p.value("metadata", "pda_fields"), "map<string, struct<pda_seeds: array<string>, has_bump: boolean>>")
+    own = contexts.select("function", "metadata", fields.alias("f"), seeds.alias("s"))
+    changed = F.array_sort(F.map_keys(F.map_filter("f", lambda _, x: x["mutable"])))
+    signed = F.exists(F.map_values("f"), lambda x: F.coalesce(x["account_type"] == "Signer", F.lit(False)))
+    unsigned = own.where((F.size(changed) > 0) & ~signed & p.value("metadata", "access_controls").isNull())
+    unsigned = unsigned.select("function", F.lit("missing_signer").alias("type"), F.lit(None).cast("string").alias("field"), F.concat(F.lit("mutable accounts without a signer: "), F.array_join(changed, ", ")).alias("detail"))
+    each = own.select("function", F.explode("s").alias("field", "x"))
+    constant = each.where(F.forall("x.pda_seeds", lambda v: v.rlike("^b[\"']"))).select("function", F.lit("weak_pda_seeds").alias("type"), "field", F.concat(F.lit("all seeds are constants: "), F.array_join("x.pda_seeds", ", ")).alias("detail"))
+    bump = each.where("not x.has_bump").select("function", F.lit("missing_bump").alias("type"), "field", F.lit("seeds without a bump").alias("detail"))
+    unchecked = own.select("function", F.explode("f").alias("field", "x")).where("x.unchecked_account and x.owner_check is null").select("function", F.lit("unchecked_no_owner").alias("type"), "field", F.lit("an unchecked account without an owner").alias("detail"))
+    return unsigned.unionByName(constant).unionByName(bump).unionByName(unchecked)
+
+
+def link_contexts(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Structs of accounts guard the functions that take them; what they close is a sink of those; what they leave open goes into the functions' metadata."""
+    found = cut(account_contexts(nodes))
+    controls = p.value("metadata", "access_controls")
+    guards = found.where(controls.isNotNull()).select(F.col("context").alias("source"), F.col("function").alias("target"), F.lit("guards").alias("relation"), F.concat(F.lit('{"access_controls": '), controls, F.lit("}")).alias("attributes"), "seq")
+    closed = found.select("*", F.explode(F.from_json(p.value("metadata", "close_targets"), "map<string, string>")).alias("field", "to"))
+    sink = F.concat("file", F.lit("::_sink_close_"), "label", F.lit("_"), "field")
+    facts = F.to_json(F.struct(F.lit(True).alias("is_sink"), F.lit("fund_destruction").alias("sink_type"), F.col("to").alias("close_target")))
+    sinks = closed.select(sink.alias("id"), F.concat(F.lit("close("), "field", F.lit(")")).alias("label"), F.lit("function").alias("type"), F.lit("").alias("visibility"), "file", "line_start", "line_end", F.concat(F.lit("close = "), "to").alias("signature"), facts.alias("metadata"), "seq")
+    calls = closed.select(F.col("function").alias("source"), sink.alias("target"), F.lit("calls").alias("relation"), F.lit('{"sink": true, "close": true}').alias("attributes"), "seq")
+    open_ = context_risks(found).groupBy(F.col("function").alias("id")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("type", "field", "detail")))).alias("risks"))
+    body = F.regexp_replace("metadata", r"\}\s*$", "")
+    full = F.when(F.col("risks").isNotNull(), F.concat(body, F.when(F.trim(body) == "{", "").otherwise(", "), F.lit('"anchor_risks": '), "risks", F.lit("}"))).otherwise(F.col("metadata"))
+    marked = nodes.join(open_, "id", "left").withColumn("metadata", full).select(*nodes.columns)
+    return marked.unionByName(sinks), edges.unionByName(guards).unionByName(calls)
+
+
 def annotate(graph: Graph) -> Graph:
     """All passes; findings go into the metadata of the functions."""
-    graph = Graph(cut(graph.nodes), cut(graph.edges), graph.transitions, graph.facts)
+    nodes, edges = link_contexts(*(map(cut, (graph.nodes, graph.edges))))
+    edges = edges.unionByName(implicit_interfaces(nodes, edges))
+    graph = Graph(cut(nodes), cut(last_wins(edges, ["source", "target", "relation"])), graph.transitions, graph.facts)
     edges = cut(resolve_bare_calls(graph.nodes, graph.edges))
     edges = cut(resolve_bases(graph.nodes, edges))
     edges = cut(resolve_cross_file(graph.nodes, edges))

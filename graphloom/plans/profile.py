@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.names import path_hint
-from graphloom.sources.walk import file_name, language, noise
+from graphloom.sources.walk import file_name, language, noise, skipped_dir
 
 # Markers of package roots with their language and frameworks, and what languages and paths hint at.
 MARKERS = {
@@ -42,6 +42,15 @@ BOOSTS = {
     "ton": 800, "stellar/soroban": 800,
 }
 
+FOCUS = {
+    "solidity": "EVM contracts", "vyper": "EVM contracts", "move": "Move assets/modules", "clarity": "Stacks public functions/state", "ton": "TON message handlers/value flow",
+    "anchor": "Solana account validation/CPI", "substrate": "Substrate pallets/runtime", "soroban": "Soroban auth/state", "cairo": "Starknet contracts", "sway": "Fuel contracts",
+    "xdr": "Stellar protocol schemas", "proto": "RPC/protocol boundaries", "go": "node/keeper services", "rust": "node/runtime services", "java": "services/JVM protocol code",
+    "cpp": "native consensus/runtime code", "typescript": "client/scripts/key handling", "python": "ops/scripts",
+}
+# How many projects a language recommends, how many of them are looked at for risk, what a plan holds and how much of it by weight.
+PER_LANGUAGE, RISKY, PLAN, BY_WEIGHT, EXAMPLES, FRAMEWORKS = 3, 2, 8, 5, 5, 6
+
 
 def _map(values: dict):
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
@@ -100,11 +109,77 @@ def projects(files: DataFrame, include_research: bool = False) -> DataFrame:
 
 
 def clusters(found: DataFrame) -> DataFrame:
-    """Projects by first directory: (cluster, projects, source_files, priority, bounty, top_projects)."""
+    """Projects by first directory: (cluster, projects, source_files, priority, bounty, top_projects, frameworks), the frameworks most of its projects have first."""
     order = Window.partitionBy("cluster").orderBy(F.desc("bounty"), "project")
     ranked = found.withColumn("cluster", F.substring_index("project", "/", 1)).withColumn("k", F.row_number().over(order))
     top = F.array_sort(F.collect_list(F.when(F.col("k") <= 3, F.struct("k", "project"))))
-    return ranked.groupBy("cluster").agg(F.count("*").alias("projects"), F.sum("source_files").alias("source_files"), F.max("priority").alias("priority"), F.max("bounty").alias("bounty"), F.transform(top, lambda x: x["project"]).alias("top_projects"))
+    rolled = ranked.groupBy("cluster").agg(F.count("*").alias("projects"), F.sum("source_files").alias("source_files"), F.max("priority").alias("priority"), F.max("bounty").alias("bounty"), F.transform(top, lambda x: x["project"]).alias("top_projects"))
+    common = ranked.select("cluster", F.explode("frameworks").alias("framework")).groupBy("cluster", "framework").agg(F.count("*").alias("n"))
+    common = common.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "framework"))).where(F.col("k") <= FRAMEWORKS)
+    common = common.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "framework"))), lambda x: x["framework"]).alias("frameworks"))
+    return rolled.join(common, "cluster", "left").withColumn("frameworks", F.coalesce("frameworks", F.array().cast("array<string>")))
+
+
+def targets(found: DataFrame) -> DataFrame:
+    """Projects that can be built: those with sources; the tree itself only if it has a marker or nothing else has one."""
+    marked = found.agg(F.bool_or((F.size("markers") > 0) & (F.col("project") != ".")).alias("other"))
+    return found.where("source_files > 0").join(F.broadcast(marked), (F.col("project") != ".") | (F.size("markers") > 0) | ~F.coalesce("other", F.lit(False))).drop("other")
+
+
+def by_language(found: DataFrame, per: int = PER_LANGUAGE) -> DataFrame:
+    """(language, place, project, files, priority): the projects with most files of each language."""
+    each = targets(found).select("project", "priority", F.explode("languages").alias("language", "files"))
+    order = Window.partitionBy("language").orderBy(F.desc("files"), F.desc("priority"), "project")
+    return each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per).select("language", "place", "project", "files", "priority")
+
+
+def risk_first(found: DataFrame) -> DataFrame:
+    """by_language() for the first projects of contract languages, with weight and rank: they go by weight and files, both descending, then by rank."""
+    chosen = by_language(found, RISKY).where(F.col("language").isin(*CONTRACT))
+    return chosen.withColumns({"weight": F.element_at(_map(WEIGHTS), F.col("language")), "rank": F.array_position(F.array(*map(F.lit, CONTRACT)), F.col("language")) * 10 + F.col("place")})
+
+
+def build_plan(found: DataFrame, top: int = 20, strategy: str = "balanced") -> tuple[list[dict], list[dict], list[dict]]:
+    """(recommended, risk-first, plan): what to build, with the reason for each; bounty puts what is at risk first."""
+    risky_all = [r.asDict() for r in risk_first(found).orderBy(F.desc("weight"), F.desc("files"), "rank").collect()]  # two rows for each contract language at most
+    best = targets(found).orderBy(F.desc("bounty" if strategy == "bounty" else "priority"), F.desc("source_files"), "project").limit(max(0, top))
+    weighed = [{"project": r.project, "reason": "bounty-prioritized package root" if strategy == "bounty" else "top risk-weighted package root"} for r in best.select("project").collect()]
+    risky = [{"project": r["project"], "reason": f"risk-first {FOCUS[r['language']]}"} for r in risky_all]
+    recommended = _distinct([*risky, *weighed] if strategy == "bounty" else weighed)[: max(0, top)]
+    limit = min(max(0, top), PLAN)
+    first = [{"project": r["project"], "reason": "top risk-weighted package root"} for r in recommended[: min(BY_WEIGHT, limit)]]
+    plan = _distinct([*first, *({"project": r["project"], "reason": r["reason"] + " target"} for r in risky)])[:limit]
+    return recommended, risky_all[: max(0, top)], plan
+
+
+def _distinct(rows: list[dict]) -> list[dict]:
+    first: dict[str, dict] = {}
+    for row in rows:
+        first.setdefault(row["project"], row)
+    return list(first.values())
+
+
+def examples(files: DataFrame, include_research: bool = False, n: int = EXAMPLES) -> DataFrame:
+    """(reason, language, place, path): the first paths of each language that are indexed, and of each reason why sources are not (no language)."""
+    rows = files.select("path", noise("path", include_research).alias("reason"), language("path").alias("language")).where("language <> 'generic'")
+    rows = rows.withColumn("language", F.when(F.col("reason") == "", F.col("language")).otherwise(""))
+    order = Window.partitionBy("reason", "language").orderBy("path")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("reason", "language", "place", "path")
+
+
+def marker_counts(files: DataFrame) -> DataFrame:
+    """(marker, roots): how many directories hold each marker."""
+    return files.where(file_name(F.col("path")).isin(*MARKERS)).groupBy(file_name(F.col("path")).alias("marker")).agg(F.count("*").alias("roots"))
+
+
+def skipped_dirs(files: DataFrame, include_research: bool = False) -> DataFrame:
+    """(name, dirs): directories that are not looked into, counted where the way down to them is free of others."""
+    parts = F.split("path", "/")
+    dirs = F.slice(parts, 1, F.size(parts) - 1)
+    flagged = F.transform(dirs, lambda d, i: F.struct(skipped_dir(d, include_research).alias("skip"), d.alias("name"), i.alias("i")))
+    first = files.select(parts.alias("parts"), F.get(F.filter(flagged, lambda x: x["skip"]), F.lit(0)).alias("x")).where("x is not null")
+    where = F.array_join(F.slice("parts", 1, F.col("x.i") + 1), "/")
+    return first.select("x.name", where.alias("dir")).distinct().groupBy("name").agg(F.count("*").alias("dirs"))
 
 
 def workspace(found: DataFrame) -> bool:
@@ -113,15 +188,14 @@ def workspace(found: DataFrame) -> bool:
     return n[0] >= 6 or n[1] >= 3
 
 
+# Which reports languages or frameworks ask for.
+REPORTS = (
+    (CONTRACT, "cross"), (CONTRACT, "state"), (("solidity", "vyper", "move", "clarity", "ton", "cairo", "sway"), "defi"),
+    (("rust", "anchor", "substrate", "soroban", "go", "java", "cpp", "typescript", "python"), "unsafe"), (("cross-chain/messaging", "op-stack", "evm-node", "cosmos-sdk"), "paths"),
+)
+
+
 def next_steps(languages: set[str], frameworks: set[str]) -> list[str]:
     """Which reports to ask for."""
-    out = ["hotspots", "audit"]
-    if languages & set(CONTRACT):
-        out += ["cross", "state"]
-    if languages & {"solidity", "vyper", "move", "clarity", "ton", "cairo", "sway"}:
-        out.append("defi")
-    if languages & {"rust", "anchor", "substrate", "soroban", "go", "java", "cpp", "typescript", "python"}:
-        out.append("unsafe")
-    if frameworks & {"cross-chain/messaging", "op-stack", "evm-node", "cosmos-sdk"}:
-        out.append("paths")
-    return out
+    have = languages | frameworks
+    return ["hotspots", "audit", *(report for words, report in REPORTS if have & set(words))]

@@ -675,20 +675,65 @@ def file_inventory(spark, sf):
 _TREE = "SELECT 'd' || CAST(p_partkey % 7 AS STRING) || '/e' || CAST(p_partkey % 11 AS STRING) || '/' || CASE WHEN p_partkey % 13 = 0 THEN 'go.mod' WHEN p_partkey % 17 = 0 THEN 'foundry.toml' WHEN p_partkey % 2 = 0 THEN 'src/a' || CAST(p_partkey AS STRING) || '.sol' ELSE 'b' || CAST(p_partkey AS STRING) || '.go' END AS path FROM part UNION SELECT 'd3/package.json' UNION SELECT 'loose.py'"
 
 
-@query(
-    f"""WITH f AS ({_TREE}), r AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS root FROM f WHERE regexp_matches(path, '/(go.mod|foundry.toml|package.json)$')),
+_PROJECTS = f"""WITH f AS ({_TREE}), r AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS root FROM f WHERE regexp_matches(path, '/(go.mod|foundry.toml|package.json)$')),
   o AS (SELECT path, coalesce((SELECT max_by(root, length(root)) FROM r WHERE starts_with(path, root || '/')), CASE WHEN strpos(path, '/') > 0 THEN split_part(path, '/', 1) ELSE '.' END) AS project FROM f),
   c AS (SELECT project, count(*) FILTER (path LIKE '%.sol') AS sol, count(*) FILTER (path LIKE '%.go') AS go, count(*) FILTER (path LIKE '%.py') AS py, bool_or(path LIKE '%/go.mod') AS gomod, bool_or(path LIKE '%/foundry.toml') AS foundry, bool_or(path LIKE '%/package.json') AS pkg FROM o GROUP BY project),
-  w AS (SELECT *, CAST(sol * 100 + go * 82 + py * 50 + CASE WHEN gomod THEN 82 ELSE 0 END + CASE WHEN foundry THEN 100 ELSE 0 END + CASE WHEN pkg THEN 55 ELSE 0 END AS BIGINT) AS priority FROM c)
-  SELECT project, CAST(sol + go + py AS BIGINT) AS source_files, priority, CAST(priority + CASE WHEN foundry THEN 700 ELSE 0 END + CASE WHEN foundry OR sol > 0 THEN 1000 ELSE 0 END + sol * 140 + CASE WHEN sol > 0 THEN 3000 ELSE -least((go + py) * 25, 15000) END AS BIGINT) AS bounty FROM w"""
-)
-def project_priorities(spark, sf):
+  w AS (SELECT *, CAST(sol * 100 + go * 82 + py * 50 + CASE WHEN gomod THEN 82 ELSE 0 END + CASE WHEN foundry THEN 100 ELSE 0 END + CASE WHEN pkg THEN 55 ELSE 0 END AS BIGINT) AS priority FROM c)"""
+
+
+def _tree(spark, sf) -> DataFrame:
     parts = tables(spark, sf, "part")["part"]
     n = F.col("p_partkey").cast("string")
     name = F.when(F.col("p_partkey") % 13 == 0, "go.mod").when(F.col("p_partkey") % 17 == 0, "foundry.toml").when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("src/a"), n, F.lit(".sol"))).otherwise(F.concat(F.lit("b"), n, F.lit(".go")))
     tree = parts.select(F.concat(F.lit("d"), (F.col("p_partkey") % 7).cast("string"), F.lit("/e"), (F.col("p_partkey") % 11).cast("string"), F.lit("/"), name).alias("path"))
-    tree = tree.union(spark.createDataFrame([("d3/package.json",), ("loose.py",)], "path string")).distinct()
-    return profile.projects(tree).select("project", "source_files", F.col("priority").cast("long").alias("priority"), F.col("bounty").cast("long").alias("bounty"))
+    return tree.union(spark.createDataFrame([("d3/package.json",), ("loose.py",)], "path string")).distinct()
+
+
+@query(
+    _PROJECTS
+    + """ SELECT project, CAST(sol + go + py AS BIGINT) AS source_files, priority, CAST(priority + CASE WHEN foundry THEN 700 ELSE 0 END + CASE WHEN foundry OR sol > 0 THEN 1000 ELSE 0 END + sol * 140 + CASE WHEN sol > 0 THEN 3000 ELSE -least((go + py) * 25, 15000) END AS BIGINT) AS bounty FROM w"""
+)
+def project_priorities(spark, sf):
+    return profile.projects(_tree(spark, sf)).select("project", "source_files", F.col("priority").cast("long").alias("priority"), F.col("bounty").cast("long").alias("bounty"))
+
+
+@query(
+    _PROJECTS
+    + """, each AS (SELECT u.language, project, u.files, priority FROM w, LATERAL (VALUES ('solidity', sol), ('go', go), ('python', py)) u(language, files) WHERE u.files > 0 AND project <> '.')
+  SELECT language, CAST(place AS INTEGER) AS place, project, CAST(files AS BIGINT) AS files, priority FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY files DESC, priority DESC, project) AS place FROM each) WHERE place <= 3"""
+)
+def language_targets(spark, sf):
+    return profile.by_language(profile.projects(_tree(spark, sf))).withColumn("priority", F.col("priority").cast("long"))
+
+
+@query(
+    _PROJECTS
+    + """, x AS (SELECT split_part(project, '/', 1) AS cluster, u.framework, count(*) AS n FROM w, LATERAL (VALUES ('go-module', gomod), ('foundry', foundry), ('evm', foundry OR sol > 0), ('node-package', pkg)) u(framework, used) WHERE u.used GROUP BY ALL),
+  k AS (SELECT cluster, string_agg(framework, ',' ORDER BY n DESC, framework) AS frameworks FROM x GROUP BY cluster)
+  SELECT cluster, count(*) AS projects, CAST(sum(sol + go + py) AS BIGINT) AS source_files, coalesce(any_value(frameworks), '') AS frameworks FROM (SELECT *, split_part(project, '/', 1) AS cluster FROM w) LEFT JOIN k USING (cluster) GROUP BY cluster"""
+)
+def project_clusters(spark, sf):
+    return profile.clusters(profile.projects(_tree(spark, sf))).select("cluster", "projects", "source_files", F.array_join("frameworks", ",").alias("frameworks"))
+
+
+@query(
+    f"""WITH f AS ({_TREE}), l AS (SELECT path, CASE WHEN path LIKE '%.sol' THEN 'solidity' WHEN path LIKE '%.go' THEN 'go' WHEN path LIKE '%.py' THEN 'python' END AS language FROM f)
+  SELECT '' AS reason, language, CAST(place AS INTEGER) AS place, path FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY path) AS place FROM l WHERE language IS NOT NULL) WHERE place <= 5"""
+)
+def source_examples(spark, sf):
+    return profile.examples(_tree(spark, sf))
+
+
+@query(
+    """WITH held AS (SELECT o_orderstatus AS scope, o_custkey AS holder, list(DISTINCT o_orderpriority) AS held FROM orders GROUP BY ALL),
+  asked AS (SELECT o_orderstatus AS scope, o_orderdate AS name, list(DISTINCT o_orderpriority) AS asked FROM orders GROUP BY ALL)
+  SELECT scope, name, count(*) AS holders, CAST(min(holder) AS BIGINT) AS first_holder FROM held JOIN asked USING (scope) WHERE list_has_all(held, asked) GROUP BY scope, name"""
+)
+def containing_sets(spark, sf):
+    orders = tables(spark, sf, "orders")["orders"]
+    sets = orders.select(F.col("o_orderstatus").alias("scope"), F.col("o_custkey").alias("holder"), F.col("o_orderpriority").alias("item"))
+    wanted = orders.select(F.col("o_orderstatus").alias("scope"), F.col("o_orderdate").alias("name"), F.col("o_orderpriority").alias("item"))
+    return relations.containing(sets, wanted).groupBy("scope", "name").agg(F.count("*").alias("holders"), F.min("holder").cast("long").alias("first_holder"))
 
 
 # ---- extraction -------------------------------------------------------------------------------------------------------------
@@ -759,3 +804,47 @@ def payload_truth(spark, sf):
     json_value = F.element_at(F.array(*(F.lit(m[0]) for m in MEANINGS)), (F.col("id") % len(MEANINGS) + 1).cast("int"))
     rows = parts.withColumn("payload", F.concat(F.lit('{"k":'), json_value, F.lit("}")))
     return rows.select("id", p.attr_enabled("payload", "k").alias("enabled"), p.raw_truthy("payload", "k").alias("raw"), p.truthy("payload", "k").alias("filled"))
+
+
+# ---- passes over extracted rows ---------------------------------------------------------------------------------------------
+
+#: Accounts of an Anchor program and the functions that take them; an interface with types that have its methods, or lack one.
+_ANCHOR = "#[program]\npub mod p {\n  pub fn pay(ctx: Context<Pay>, n: u64) -> Result<()> { Ok(()) }\n  pub fn open(ctx: Context<Open>) -> Result<()> { Ok(()) }\n}\n#[derive(Accounts)]\npub struct Pay<'info> {\n  #[account(mut, has_one = owner, close = owner)]\n  pub vault: Account<'info, Vault>,\n  pub owner: Signer<'info>,\n}\n#[derive(Accounts)]\npub struct Open<'info> {\n  #[account(mut, seeds = [b\"vault\"])]\n  pub vault: Account<'info, Vault>,\n  /// any\n  pub other: UncheckedAccount<'info>,\n}\n"
+_GO = "package k\ntype Store interface {\n\tGet(k string) int\n\tPut(k string, v int)\n}\ntype Both struct {\n\tn int\n}\ntype One struct {\n\tn int\n}\nfunc (b *Both) Get(k string) int {\n\treturn b.n\n}\nfunc (b *Both) Put(k string, v int) {\n\tstore.Set(types.ItemKey(k), v)\n}\nfunc (o *One) Get(k string) int {\n\tstore.Delete(types.ItemKeyPrefix)\n\treturn o.n\n}\n"
+_JAVA = "public enum Phase { OPEN(1), CLOSED(2); int n; }\n"
+
+
+def _program(spark, sf):
+    parts = tables(spark, sf, "part")["part"].select(F.col("p_partkey").cast("string").alias("n"))
+    files = parts.select("n", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("rs", "go", "java"))), F.array(*map(F.lit, (_ANCHOR, _GO, _JAVA))))).alias("ending", "content"))
+    files = files.select(F.concat(F.lit("f"), "n", F.lit("."), "ending").alias("path"), "content")
+    rows = extract.stored_rows(files.select("path", "content", walk.language("path", F.col("content")).alias("language"), F.lit("production").alias("source_context")))
+    return extract.graph_of(rows, files.select("path", F.xxhash64("path").bitwiseAND(F.lit((1 << 39) - 1)).alias("number")))[0]
+
+
+def _for_parts(*rows: tuple[str, ...]) -> str:
+    filled = ["(" + ", ".join("'" + v.replace("'", "''").replace("{n}", "' || CAST(p_partkey AS STRING) || '") + "'" for v in row) + ")" for row in rows]
+    return "part, LATERAL (VALUES " + ", ".join(filled) + ") v"
+
+
+@query("SELECT v.* FROM " + _for_parts(("f{n}.rs::Pay", "f{n}.rs::p.pay", "guards"), ("f{n}.rs::p.pay", "f{n}.rs::_sink_close_Pay_vault", "calls"), ("f{n}.go::Both", "f{n}.go::Store", "inherits")) + "(source, target, relation)")
+def implied_edges(spark, sf):
+    g = _program(spark, sf)
+    nodes, edges = postpass.link_contexts(g.nodes, g.edges)
+    new = edges.unionByName(postpass.implicit_interfaces(nodes, edges))
+    return new.join(g.edges, ["source", "target", "relation"], "left_anti").select("source", "target", "relation")
+
+
+@query("SELECT v.* FROM " + _for_parts(("f{n}.rs::p.open", "missing_bump", "vault"), ("f{n}.rs::p.open", "missing_signer", ""), ("f{n}.rs::p.open", "unchecked_no_owner", "other"), ("f{n}.rs::p.open", "weak_pda_seeds", "vault")) + "(function, type, field)")
+def account_risks(spark, sf):
+    found = postpass.context_risks(postpass.account_contexts(_program(spark, sf).nodes))
+    return found.select("function", "type", F.coalesce("field", F.lit("")).alias("field"))
+
+
+@query(
+    "SELECT v.* FROM "
+    + _for_parts(("Item", "*", "exists", "f{n}.go::Both.Put", '["no_validation"]'), ("Item", "exists", "deleted", "f{n}.go::One.Get", '["no_validation"]'), ("Phase", "*", "OPEN", "f{n}.java::Phase", '["enum_value"]'), ("Phase", "*", "CLOSED", "f{n}.java::Phase", '["enum_value"]'))
+    + "(entity, from_state, to_state, function_id, conditions)"
+)
+def extracted_transitions(spark, sf):
+    return _program(spark, sf).transitions.drop("seq")

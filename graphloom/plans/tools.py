@@ -40,9 +40,18 @@ def profile(spark: SparkSession, root: str, top: int = 20, strategy: str = "bala
     best = _rows(found.orderBy(F.desc(order), F.desc("source_files"), "project").limit(max(0, top)))
     for row in best:
         row["next"] = inventory.next_steps(set(row["languages"]), set(row["frameworks"]))
+    recommended, risky, plan = inventory.build_plan(found, top, strategy)
+    by_language: dict[str, list] = {}
+    for row in _rows(inventory.by_language(found).orderBy("language", "place")):
+        by_language.setdefault(row["language"], []).append({"project": row["project"], "files": row["files"]})
+    shown: dict[str, list] = {}
+    for row in _rows(inventory.examples(files, include_research).orderBy("reason", "language", "place")):
+        shown.setdefault(row["reason"] or row["language"], []).append(row["path"])
     out = {
         "inventory": _rows(inventory.inventory(files, include_research).orderBy(F.desc("files"), "reason", "language")), "projects": best, "workspace": inventory.workspace(found),
-        "clusters": _rows(inventory.clusters(found).orderBy(F.desc("bounty"), F.desc("source_files"), "cluster").limit(max(0, top))), "plan": [r["project"] for r in best if r["source_files"]][:8],
+        "clusters": _rows(inventory.clusters(found).orderBy(F.desc("bounty"), F.desc("source_files"), "cluster").limit(max(0, top))), "recommended": recommended, "risk_first": risky, "plan": plan,
+        "by_language": by_language, "examples": shown, "markers": _rows(inventory.marker_counts(files).orderBy(F.desc("roots"), "marker")),
+        "skipped_dirs": _rows(inventory.skipped_dirs(files, include_research).orderBy(F.desc("dirs"), "name").limit(12)),
     }
     files.unpersist()
     found.unpersist()

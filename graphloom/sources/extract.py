@@ -111,7 +111,7 @@ _RUST = (
     ("crypto_concerns", found(r"\b(thread_rng|md5|sha1)\b")),
 )
 _ANCHOR = (
-    ("anchor_risks", typed(("missing_signer", r"ctx\.accounts\.(?:authority|owner|admin)", r"Signer|is_signer|require_keys_eq"), ("weak_pda_seeds", r"find_program_address\(\s*&\[\s*b\"[^\"]*\"\s*\]", ""), ("unchecked_no_owner", r"AccountInfo|UncheckedAccount", r"owner\s*==|\.owner"))),
+    ("context_type", lambda f: (re.findall(r"Context<[^A-Z>]*([A-Z]\w*)", f["params"]) or [""])[-1]),
     ("cpi_calls", found(r"\b(invoke(?:_signed)?|CpiContext::new(?:_with_signer)?)\b")),
 )
 _SUBSTRATE = (("origin_checks", found(r"\b(ensure_signed|ensure_root|ensure_none)\b")), ("transfer_sinks", found(r"(?:Currency|T::Currency)::(transfer|deposit_creating|slash)\b")), ("cross_contract_calls", found(r"\b(T::\w+::\w+)\(")))
@@ -233,6 +233,47 @@ def _decorators(text: str, at: int) -> str:
     return " ".join(out)
 
 
+# Calls of a key-value store with what they do to an entity, and the words of its conditions.
+STORE_CALLS = {"Set": ("*", "exists"), "Delete": ("exists", "deleted"), "Get": ("exists", "exists")}
+_STORE = re.compile(r"\.(Set|Delete|Get)\s*\([^;\n]{0,40}?\btypes\.(\w+?)(?:KeyPrefix|Key)\b")
+_ACCOUNT = re.compile(r"(?P<attrs>(?:#\[(?:[^\[\]]|\[[^\]]*\])*\]\s*)*)(?:pub\s+)?(?P<name>[a-z_]\w*)\s*:(?!:)(?P<type>[^\n]*)")
+
+
+def _accounts(body: str) -> dict:
+    """What a struct of accounts asks of them: by field, and as access controls, seeds and targets on close."""
+    meta: dict = {"is_accounts_context": True, "fields": [], "access_controls": [], "pda_fields": {}, "close_targets": {}, "field_metadata": {}}
+    for m in _ACCOUNT.finditer(body):
+        attrs = " ".join(re.findall(r"account\(.*", m["attrs"], re.S))
+        kind = re.search(r"\b(AccountInfo|UncheckedAccount|Signer|Account)\b", m["type"])
+        field: dict = {"mutable": True} if re.search(r"\bmut\b", attrs) else {}
+        if kind and kind[1] in ("AccountInfo", "UncheckedAccount"):
+            field["unchecked_account"] = True
+        elif kind:
+            field["account_type"] = kind[1]
+        if owner := re.search(r"\bowner\s*=\s*(\w+)", attrs):
+            field["owner_check"] = owner[1]
+        meta["fields"].append(m["name"])
+        meta["field_metadata"] |= {m["name"]: field} if field else {}
+        meta["access_controls"] += [f"has_one:{x}" for x in re.findall(r"has_one\s*=\s*(\w+)", attrs)]
+        if seeds := re.search(r"seeds\s*=\s*\[([^\]]+)\]", attrs):
+            meta["pda_fields"][m["name"]] = {"pda_seeds": [x.strip() for x in seeds[1].split(",") if x.strip()], "has_bump": bool(re.search(r"\bbump\b", attrs))}
+        if close := re.search(r"\bclose\s*=\s*(\w+)", attrs):
+            meta["close_targets"][m["name"]] = close[1]
+    return {k: v for k, v in meta.items() if v or k == "fields"}
+
+
+def _owner_facts(lang: str, kind: str, body: str, head: str) -> dict:
+    """What an owner tells by itself: the methods an interface asks for, the constants of an enum, the accounts of a context."""
+    if lang == "go" and kind == "interface":
+        return {"methods": re.findall(r"(?m)^\s*([A-Za-z_]\w*)\s*\(", body)}
+    if lang == "java" and kind == "enum":
+        constants = re.split(r";", re.sub(r"\([^()]*\)|\{[^{}]*\}", "", body.rstrip().removesuffix("}")))[0]
+        return {"kind": "enum", "variants": re.findall(r"(?:^|,)\s*(?:@\w+\s+)*([A-Za-z_]\w*)", constants)}
+    if lang == "anchor" and kind == "struct" and re.search(r"derive\([^)]*\bAccounts\b", head):
+        return _accounts(body)
+    return {}
+
+
 def _blank(m: re.Match) -> str:
     return re.sub(r"[^\n]", " ", m[0])
 
@@ -259,8 +300,11 @@ def extract(path: str, source: str, lang: str) -> tuple[list[dict], list[dict],
         end = _end_of(text, m.end() - 1 if text[m.end() - 1 : m.end()] == "{" else m.end(), "indent" if spec.body == "indent" else "braces")
         name, kind = m["name"], re.sub(r"\s+contract", "", m["kind"])
         owners.append((m.start(), end, name))
+        facts = _owner_facts(lang, kind, text[m.end() : end].partition("{")[2] if text[m.end() - 1 : m.end()] != "{" else text[m.end() : end - 1], _decorators(text, m.start()))
         if kind != "impl":
-            node(f"{path}::{name}", name, kind, m.start(), end)
+            node(f"{path}::{name}", name, kind, m.start(), end, meta=facts)
+        if len(facts.get("variants", ())) > 1 and "/test/" not in f"/{path}":
+            moves += [{"entity": name, "from_state": "*", "to_state": v, "function_id": f"{path}::{name}", "conditions": '["enum_value"]'} for v in facts["variants"]]
         for base in re.findall(r"\w+", m.groupdict().get("bases") or ""):
             edge(f"{path}::{name}", f"_::{base}", "inherits")
 
@@ -374,9 +418,14 @@ def extract(path: str, source: str, lang: str) -> tuple[list[dict], list[dict],
         for m in re.finditer(r"\b(?:self\.|this\.)?(\w*[sS]tat(?:e|us)\w*)\s*=\s*(\w+)(?:::|\.)(\w+)", body):
             before = re.search(rf"{re.escape(m[1])}\s*==\s*{re.escape(m[2])}(?:::|\.)(\w+)", body[: m.start()])
             moves.append({"entity": f"{path}::{m[2]}", "from_state": before[1] if before else "*", "to_state": m[3], "function_id": f["id"], "conditions": json.dumps(used)})
+        for m in _STORE.finditer(body) if lang == "go" else ():
+            conditions = "read" if m[1] == "Get" else "has_validation" if "err != nil" in body else "no_validation"
+            moves.append({"entity": m[2], "from_state": STORE_CALLS[m[1]][0], "to_state": STORE_CALLS[m[1]][1], "function_id": f["id"], "conditions": json.dumps([conditions])})
     return nodes, edges, moves
 
 
+#: Rows of one extractor of a file; those of the next one (Rust, after a dialect) are numbered from here on.
+PER_EXTRACTOR = 1 << 22
 _ROWS = "kind string, id string, label string, type string, visibility string, file string, line_start int, line_end int, signature string, metadata string, source string, target string, relation string, attributes string, entity string, from_state string, to_state string, function_id string, conditions string, path string, pos int, failure string"
 _NAMES = [c.split()[0] for c in _ROWS.split(", ")]
 
@@ -385,7 +434,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(n, pa.int32() if n in ("line_start", "line_end", "pos") else pa.string()) for n in _NAMES])
     for batch in batches:
         out: list[dict] = []
-        for path, content, lang, context in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for path, content, nth, lang, context in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             try:
                 parts = extract(path, content or "", lang)
             except Exception as error:  # a file that can't be read is a row of its own, not the end of the build
@@ -395,13 +444,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for n in parts[0]:
                     n["metadata"] = json.dumps(json.loads(n["metadata"]) | {"source_context": context, "source_kind": "research"})
             for kind, rows in zip(("node", "edge", "transition"), parts, strict=True):
-                out += [r | {"kind": kind, "path": path, "pos": i} for i, r in enumerate(rows)]
+                out += [r | {"kind": kind, "path": path, "pos": i} for i, r in enumerate(rows, nth * PER_EXTRACTOR)]
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def extracted(files: DataFrame) -> DataFrame:
     """Tagged rows of all files. files: (path, content, language, source_context)."""
-    each = files.select("path", "content", F.explode(extractors(F.col("language"))).alias("language"), "source_context")
+    each = files.select("path", "content", F.posexplode(extractors(F.col("language"))).alias("nth", "language"), "source_context")
     return each.mapInArrow(_rows, _ROWS)
 
 

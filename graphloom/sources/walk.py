@@ -178,11 +178,29 @@ def numbered(files: DataFrame, detected: str = "") -> DataFrame:
     return ordered.join(starts, "part").select("path", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("number"))
 
 
-def read_tree(spark: SparkSession, root: str, include_research: bool = False) -> DataFrame:
-    """(path, content, language, source_context, reason): all files below root, with the reason why one is not indexed."""
+#: Dependencies in a Cargo.toml that make all Rust files of a tree one dialect, the first that is found.
+CARGO = (("anchor-lang", "anchor"), ("frame-support", "substrate"), ("sp-runtime", "substrate"), ("soroban-sdk", "soroban"))
+
+
+def cargo_dialect(spark: SparkSession, root: str) -> str:
+    """The Rust dialect that the tree's Cargo.toml asks for, or else that of its first directory that has one; empty if neither does."""
+    found = _files(spark, root, "Cargo.toml").where(F.size(F.split("path", "/")) <= 2)
+    first = found.orderBy(F.size(F.split("path", "/")), "path").select("content").first()
+    return next((dialect for word, dialect in CARGO if first and word in (first[0] or "")), "")
+
+
+def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(base)
     local = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/{0,2}(?=/)", "")
     path = F.regexp_replace(local, "^.*?" + "".join(f"\\{c}" if not c.isalnum() and c != "/" else c for c in base.split(":")[-1].replace("//", "/")) + "/", "")
-    rows = raw.select(path.alias("path"), F.col("content").cast("string").alias("content"))
-    return rows.select("path", "content", language("path", F.col("content")).alias("language"), source_context("path").alias("source_context"), noise("path", include_research).alias("reason"))
+    return raw.select(path.alias("path"), F.col("content").cast("string").alias("content"))
+
+
+def read_tree(spark: SparkSession, root: str, include_research: bool = False) -> DataFrame:
+    """(path, content, language, source_context, reason): the files below root in a supported language, with the reason why one is not indexed; others are not read."""
+    endings = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext) for ext in LANGUAGES)
+    rows, dialect = _files(spark, root, "*{" + endings + "}"), cargo_dialect(spark, root)
+    lang = language("path", F.col("content"))
+    lang = F.when(suffix(F.col("path")) == ".rs", F.lit(dialect)).otherwise(lang) if dialect else lang
+    return rows.select("path", "content", lang.alias("language"), source_context("path").alias("source_context"), noise("path", include_research).alias("reason"))

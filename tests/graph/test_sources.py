@@ -141,3 +141,60 @@ def test_files_go_by_priority_and_a_spent_budget_leaves_a_part(spark, tmp_path,
     assert {r.file for r in Graph.load(spark, str(tmp_path / "g")).nodes.select("file").distinct().collect()} == {"src/D.sol", "src/deep/B.sol"}
     with pytest.raises(builds.OutOfTime):
         build(spark, str(tmp_path / "t"), str(tmp_path / "g"), timeout=600)
+
+
+def test_targets_and_plan(spark):
+    files = ["a/foundry.toml", *(f"a/src/A{i}.sol" for i in range(3)), "b/go.mod", *(f"b/x{i}.go" for i in range(30)), "c/Move.toml", "c/m.move", "d/Clarinet.toml", "d/k.clar", "e/foundry.toml", "e/E.sol", "f/foundry.toml", "f/F.sol", "f/G.sol", "loose.py", "a/test/T.sol", "b/test/deep/x.go"]
+    found = profile.projects(spark.createDataFrame([(f,) for f in files], "path string"))
+    paths = spark.createDataFrame([(f,) for f in files], "path string")
+    assert [(r.place, r.project, r.files) for r in profile.by_language(found).where("language = 'solidity'").orderBy("place").collect()] == [(1, "a", 3), (2, "f", 2), (3, "e", 1)]
+    recommended, risky, plan = profile.build_plan(found, 20)
+    assert [r["project"] for r in recommended] == ["b", "a", "f", "e", "c", "d"]
+    assert [(r["language"], r["project"]) for r in risky] == [("solidity", "a"), ("solidity", "f"), ("move", "c"), ("clarity", "d")]
+    assert "." not in {r["project"] for r in recommended} and [r["project"] for r in plan] == ["b", "a", "f", "e", "c", "d"] and plan[5]["reason"] == "risk-first Stacks public functions/state target"
+    first, _, _ = profile.build_plan(found, 3, "bounty")
+    assert [(r["project"], r["reason"]) for r in first] == [("a", "risk-first EVM contracts"), ("f", "risk-first EVM contracts"), ("c", "risk-first Move assets/modules")]
+    assert profile.build_plan(found, 0) == ([], [], [])
+    shown = {(r.reason, r.language): r.path for r in profile.examples(paths).where("place = 1").collect()}
+    assert shown[("", "move")] == "c/m.move" and shown[("ignored_dir:test", "")] == "a/test/T.sol" and profile.examples(paths).where("language = 'go'").count() == 5
+    assert {r["name"]: r.dirs for r in profile.skipped_dirs(paths).collect()} == {"test": 2}
+    assert {r.marker: r.roots for r in profile.marker_counts(paths).collect()} == {"foundry.toml": 3, "go.mod": 1, "Move.toml": 1, "Clarinet.toml": 1}
+    empty = profile.projects(spark.createDataFrame([], "path string"))
+    assert profile.build_plan(empty) == ([], [], []) and profile.clusters(empty).count() == 0
+
+
+def test_cargo_says_the_dialect(spark, tmp_path):
+    for path, text in (("sub/Cargo.toml", '[dependencies]\nanchor-lang = "1"\n'), ("sub/src/lib.rs", "pub fn f() {}"), ("sub/readme.md", "x"), ("a.SOL", "contract A {}"), ("deep/er/Cargo.toml", "soroban-sdk")):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    assert walk.cargo_dialect(spark, str(tmp_path)) == "anchor"
+    assert {r.path: r.language for r in walk.read_tree(spark, str(tmp_path)).collect()} == {"sub/src/lib.rs": "anchor", "a.SOL": "solidity"}
+    (tmp_path / "Cargo.toml").write_text("frame-support")
+    assert walk.cargo_dialect(spark, str(tmp_path)) == "substrate"
+    assert walk.cargo_dialect(spark, str(tmp_path / "deep")) == "soroban" and walk.cargo_dialect(spark, str(tmp_path / "sub" / "src")) == ""
+
+
+def test_containing_sets(spark):
+    from graphloom.operators.relations import containing
+
+    sets = spark.createDataFrame([("s", "a", "x"), ("s", "a", "y"), ("s", "a", "y"), ("s", "b", "x"), ("t", "a", "y"), ("s", "b", None)], "scope string, holder string, item string")
+    wanted = spark.createDataFrame([("s", "p", "x"), ("s", "p", "y"), ("s", "q", "x"), ("t", "q", "x"), ("s", "r", "z"), ("s", "p", "x")], "scope string, name string, item string")
+    assert sorted(map(tuple, containing(sets, wanted).collect())) == [("s", "a", "p"), ("s", "a", "q"), ("s", "b", "q")]
+    assert containing(sets.limit(0), wanted).count() == 0 and containing(sets, wanted.limit(0)).count() == 0
+
+
+def test_accounts_and_interfaces_in_a_build(spark, tmp_path):
+    from graphloom.plans import queries
+
+    for name, text in (("lib.rs", queries._ANCHOR), ("k.go", queries._GO), ("P.java", queries._JAVA)):
+        (tmp_path / "t").mkdir(exist_ok=True)
+        (tmp_path / "t" / name).write_text(text)
+    build(spark, str(tmp_path / "t"), str(tmp_path / "g"))
+    g = Graph.load(spark, str(tmp_path / "g"))
+    edges = {(r.source, r.target, r.relation) for r in g.edges.collect()}
+    assert {("lib.rs::Pay", "lib.rs::p.pay", "guards"), ("lib.rs::p.pay", "lib.rs::_sink_close_Pay_vault", "calls"), ("k.go::Both", "k.go::Store", "inherits")} <= edges
+    assert ("k.go::One", "k.go::Store", "inherits") not in edges and ("lib.rs::Open", "lib.rs::p.open", "guards") not in edges
+    nodes = {r.id: json.loads(r.metadata) for r in g.nodes.collect()}
+    assert [r["type"] for r in nodes["lib.rs::p.open"]["anchor_risks"]] == ["missing_bump", "missing_signer", "unchecked_no_owner", "weak_pda_seeds"] and "anchor_risks" not in nodes["lib.rs::p.pay"]
+    assert nodes["lib.rs::_sink_close_Pay_vault"]["sink_type"] == "fund_destruction" and nodes["P.java::Phase"]["variants"] == ["OPEN", "CLOSED"]
+    assert {(r.entity, r.to_state) for r in g.transitions.collect()} == {("Item", "exists"), ("Item", "deleted"), ("Phase", "OPEN"), ("Phase", "CLOSED")}
