@@ -738,22 +738,110 @@ def containing_sets(spark, sf):
 
 # ---- extraction -------------------------------------------------------------------------------------------------------------
 
-#: Small sources by part key, with what is in them: path, text, nodes (id after the path, label, type, visibility) and edges.
+#: Small sources by part key, in all languages, with what is in them: path, text, nodes (id after the path, label, type, visibility), edges, and what is found about functions and variables.
 SOURCES = (
     (
         "a/P{n}.sol", "contract P{n} {\n  uint total;\n  function put(uint a) external { total = a; }\n  function get() public view returns (uint) { return total; }\n}\n",
         (("P{n}", "P{n}", "contract", ""), ("P{n}.total", "total", "state_var", ""), ("P{n}.put(uint)", "put", "function", "external"), ("P{n}.get()", "get", "function", "public")),
         (("P{n}", "P{n}.total", "contains"), ("P{n}", "P{n}.put(uint)", "contains"), ("P{n}", "P{n}.get()", "contains"), ("P{n}.put(uint)", "P{n}.total", "writes_state"), ("P{n}.get()", "P{n}.total", "reads_state")),
+        (("put", "no_input_validation"), ("get", "view")),
     ),
     (
         "x/k{n}.go", "package k\ntype K{n} struct {\n\ttotal int\n}\nfunc (k *K{n}) Put(a int) {\n\tk.total = a\n}\nfunc (k *K{n}) add(a int) {\n\tk.total += a\n\tk.Put(a)\n}\n",
         (("K{n}", "K{n}", "struct", ""), ("K{n}.total", "total", "state_var", ""), ("K{n}.Put", "Put", "function", "public"), ("K{n}.add", "add", "function", "internal")),
         (("K{n}", "K{n}.total", "contains"), ("K{n}", "K{n}.Put", "contains"), ("K{n}", "K{n}.add", "contains"), ("K{n}.Put", "K{n}.total", "writes_state"), ("K{n}.add", "K{n}.total", "writes_state"), ("K{n}.add", "K{n}.total", "reads_state"), ("K{n}.add", "_::Put", "calls")),
+        (("Put", "no_input_validation"),),
     ),
     (
         "p/m{n}.py", "class A{n}:\n    def run(self, x):\n        self._go()\n    def _go(self):\n        return 1\n",
         (("A{n}", "A{n}", "class", ""), ("A{n}.run", "run", "function", "public"), ("A{n}._go", "_go", "function", "internal")),
         (("A{n}", "A{n}.run", "contains"), ("A{n}", "A{n}._go", "contains"), ("A{n}.run", "A{n}._go", "calls")),
+        (("run", "no_input_validation"),),
+    ),
+    (
+        "v/v{n}.vy", "owner: address\n\n@external\ndef pay(to: address):\n    self.owner = to\n    send(to, 1)\n",
+        (("owner", "owner", "state_var", ""), ("pay", "pay", "function", "external")),
+        (("pay", "owner", "writes_state"), ("pay", "_::send", "calls")),
+        (("pay", "access_controls"), ("pay", "no_input_validation")),
+    ),
+    (
+        "m/m{n}.move", "module a::bank{n} {\n  struct Vault has key { v: u64 }\n  public entry fun put(x: u64) { move_to<Vault>(x); check(x); }\n  fun check(x: u64) { assert!(x > 0, 1); }\n}\n",
+        (("a::bank{n}", "a::bank{n}", "module", ""), ("a::bank{n}.Vault", "Vault", "state_var", ""), ("a::bank{n}.put", "put", "function", "public"), ("a::bank{n}.check", "check", "function", "internal")),
+        (("a::bank{n}", "a::bank{n}.Vault", "contains"), ("a::bank{n}", "a::bank{n}.put", "contains"), ("a::bank{n}", "a::bank{n}.check", "contains"), ("a::bank{n}.put", "a::bank{n}.Vault", "writes_state"), ("a::bank{n}.put", "a::bank{n}.check", "calls")),
+        (("put", "move_entry"),),
+    ),
+    (
+        "c/c{n}.clar", "(define-data-var total uint u0)\n(define-public (add{n} (n uint))\n  (begin (var-set total n) (ok n)))\n(define-read-only (sum)\n  (var-get total))\n",
+        (("total", "total", "state_var", ""), ("add{n}", "add{n}", "function", "public"), ("sum", "sum", "function", "internal")),
+        (("add{n}", "total", "writes_state"), ("add{n}", "_::var-set", "calls"), ("sum", "total", "reads_state"), ("sum", "_::var-get", "calls")),
+        (("add{n}", "no_input_validation"), ("sum", "view")),
+    ),
+    (
+        "k/k{n}.cairo", "#[starknet::contract]\nmod Bank{n} {\n    #[storage]\n    struct Storage {\n        total: u256,\n    }\n    fn put(ref self: ContractState, n: u256) {\n        self.total.write(n);\n    }\n}\n",
+        (("Bank{n}", "Bank{n}", "mod", ""), ("Bank{n}.total", "total", "state_var", ""), ("Bank{n}.put", "put", "function", "internal")),
+        (("Bank{n}", "Bank{n}.total", "contains"), ("Bank{n}", "Bank{n}.put", "contains"), ("Bank{n}.put", "Bank{n}.total", "writes_state"), ("Bank{n}.put", "_::write", "calls")),
+        (),
+    ),
+    (
+        "s/s{n}.sw", "contract;\nstorage {\n    total: u64 = 0,\n}\nimpl Bank{n} for Contract {\n    fn put(n: u64) {\n        storage.total.write(n);\n    }\n}\n",
+        (("total", "total", "state_var", ""), ("Bank{n}.put", "put", "function", "internal")),
+        (("Bank{n}", "Bank{n}.put", "contains"), ("Bank{n}.put", "total", "writes_state"), ("Bank{n}.put", "_::write", "calls")),
+        (),
+    ),
+    (
+        "t/t{n}.tact", "contract Bank{n} {\n    total: Int;\n    fun put(n: Int) {\n        self.total = n;\n    }\n}\n",
+        (("Bank{n}", "Bank{n}", "contract", ""), ("Bank{n}.total", "total", "state_var", ""), ("Bank{n}.put", "put", "function", "internal")),
+        (("Bank{n}", "Bank{n}.total", "contains"), ("Bank{n}", "Bank{n}.put", "contains"), ("Bank{n}.put", "Bank{n}.total", "writes_state")),
+        (),
+    ),
+    (
+        "o/o{n}.proto", "service Bank{n} {\n  rpc Withdraw (Req) returns (stream Res);\n}\nmessage Req {\n}\n",
+        (("Bank{n}", "Bank{n}", "service", ""), ("Req", "Req", "message", ""), ("Bank{n}.Withdraw", "Withdraw", "function", "public")),
+        (("Bank{n}", "Bank{n}.Withdraw", "contains"),),
+        (("Withdraw", "auth_boundary"), ("Withdraw", "streaming_rpc")),
+    ),
+    ("x/x{n}.x", "struct Pay{n} {\n    int n;\n};\n", (("Pay{n}", "Pay{n}", "struct", ""),), (), ()),
+    (
+        "w/w{n}.ts", "export class W{n} {\n  private key: string;\n}\nexport function put(k: string) { this.key = k; keep(k); eval(k); }\nfunction keep(k: string) { return k; }\n",
+        (("W{n}", "W{n}", "class", ""), ("W{n}.key", "key", "state_var", ""), ("put", "put", "function", "public"), ("keep", "keep", "function", "internal")),
+        (("W{n}", "W{n}.key", "contains"), ("put", "W{n}.key", "writes_state"), ("put", "keep", "calls"), ("put", "_::eval", "calls")),
+        (("put", "command_injection_risk"), ("put", "no_input_validation")),
+    ),
+    (
+        "b/b{n}.cpp", "int total;\nint put(int n) {\n  total = n;\n  return add(n);\n}\nint add(int n) {\n  char b[4];\n  strcpy(b, n);\n  return total + n;\n}\n",
+        (("total", "total", "state_var", ""), ("put", "put", "function", "public"), ("add", "add", "function", "public")),
+        (("put", "total", "writes_state"), ("put", "add", "calls"), ("add", "total", "reads_state"), ("add", "_::strcpy", "calls")),
+        (("add", "buffer_overflow_risk"), ("add", "no_input_validation"), ("put", "no_input_validation")),
+    ),
+    (
+        "j/J{n}.java", "public class J{n} {\n  private int total;\n  public void put(int n) {\n    this.total = n;\n    log(n);\n  }\n  private void log(int n) {\n    try { n++; } catch (Exception e) { }\n  }\n}\n",
+        (("J{n}", "J{n}", "class", ""), ("J{n}.total", "total", "state_var", ""), ("J{n}.put", "put", "function", "public"), ("J{n}.log", "log", "function", "private")),
+        (("J{n}", "J{n}.total", "contains"), ("J{n}", "J{n}.put", "contains"), ("J{n}", "J{n}.log", "contains"), ("J{n}.put", "J{n}.total", "writes_state"), ("J{n}.put", "J{n}.log", "calls")),
+        (("log", "swallowed_exceptions"), ("put", "no_input_validation")),
+    ),
+    (
+        "r/r{n}.rs", "pub struct Bank{n} {\n    total: u64,\n}\nimpl Bank{n} {\n    pub fn put(&mut self, n: u64) {\n        self.total = n;\n        log(n);\n    }\n}\nfn log(n: u64) {\n    unsafe { n.unwrap() }\n}\n",
+        (("Bank{n}", "Bank{n}", "struct", ""), ("Bank{n}.total", "total", "state_var", ""), ("Bank{n}.put", "put", "function", "pub"), ("log", "log", "function", "private")),
+        (("Bank{n}", "Bank{n}.total", "contains"), ("Bank{n}", "Bank{n}.put", "contains"), ("Bank{n}.put", "Bank{n}.total", "writes_state"), ("Bank{n}.put", "log", "calls"), ("log", "_::unwrap", "calls")),
+        (("log", "panic_paths"), ("log", "unsafe_blocks"), ("put", "no_input_validation")),
+    ),
+    (
+        "a/a{n}.rs", "use anchor_lang::prelude::*;\n#[program]\npub mod bank{n} {\n    pub fn put(ctx: Context<Put>, n: u64) -> Result<()> {\n        ctx.accounts.vault.total = n;\n        Ok(())\n    }\n}\n#[account]\npub struct Vault {\n    pub total: u64,\n}\n",
+        (("bank{n}", "bank{n}", "mod", ""), ("Vault", "Vault", "struct", ""), ("Vault.total", "total", "state_var", ""), ("bank{n}.put", "put", "function", "public")),
+        (("Vault", "Vault.total", "contains"), ("bank{n}", "bank{n}.put", "contains"), ("bank{n}.put", "Vault.total", "writes_state")),
+        (("put", "context_type"), ("put", "no_input_validation")),
+    ),
+    (
+        "u/u{n}.rs", "#[frame_support::pallet]\npub mod pallet {\n    pub type Total{n}<T: Config> = StorageValue<_, Vec<u64>>;\n    pub fn put(origin: OriginFor<T>, n: u64) {\n        let who = ensure_signed(origin);\n        Total{n}::<T>::put(n);\n    }\n    fn on_runtime_upgrade() {\n    }\n}\n",
+        (("pallet", "pallet", "mod", ""), ("pallet.Total{n}", "Total{n}", "state_var", ""), ("pallet.put", "put", "function", "public"), ("pallet.on_runtime_upgrade", "on_runtime_upgrade", "function", "internal")),
+        (("pallet", "pallet.Total{n}", "contains"), ("pallet", "pallet.put", "contains"), ("pallet", "pallet.on_runtime_upgrade", "contains"), ("pallet.put", "pallet.Total{n}", "writes_state"), ("pallet.put", "_::ensure_signed", "calls")),
+        (("Total{n}", "storage_type"), ("Total{n}", "unbounded"), ("put", "origin_checks"), ("on_runtime_upgrade", "hook_type"), ("on_runtime_upgrade", "is_migration")),
+    ),
+    (
+        "z/z{n}.rs", "use soroban_sdk::{contract, contractimpl};\n#[contract]\npub struct Bank{n};\n#[contractimpl]\nimpl Bank{n} {\n    pub fn put(env: Env, n: u64) {\n        env.storage().instance().set(&KEY, &n);\n    }\n}\n",
+        (("Bank{n}", "Bank{n}", "struct", ""), ("Bank{n}.put", "put", "function", "public")),
+        (("Bank{n}", "Bank{n}.put", "contains"), ("Bank{n}.put", "_::storage", "calls"), ("Bank{n}.put", "_::instance", "calls"), ("Bank{n}.put", "_::set", "calls"), ("Bank{n}.put", "_storage_instance_KEY", "writes_state")),
+        (("put", "no_input_validation"), ("put", "soroban_risks"), ("put", "storage_ops")),
     ),
 )
 
@@ -772,17 +860,24 @@ def _sources(spark, sf) -> DataFrame:
     parts = tables(spark, sf, "part")["part"].withColumn("k", (F.col("p_partkey") % len(SOURCES)).cast("int"))
     pick = lambda i: F.replace(F.element_at(F.array(*(F.lit(x[i]) for x in SOURCES)), F.col("k") + 1), F.lit("{n}"), F.col("p_partkey").cast("string"))
     files = parts.select(pick(0).alias("path"), pick(1).alias("content"))
-    return files.select("path", "content", walk.language("path").alias("language"), walk.source_context("path").alias("source_context"))
+    each = files.select("path", "content", walk.language("path", F.col("content")).alias("language"), walk.source_context("path").alias("source_context"))
+    return extract.extracted(each).where(F.col("pos") < extract.PER_EXTRACTOR)  # what the generic extractor says about a dialect besides is that of Rust
 
 
 @query(" UNION ALL ".join(_part_rows(k, n, ("id", "label", "type", "visibility"), (0,)) for k, x in enumerate(SOURCES) for n in x[2]))
 def extracted_nodes(spark, sf):
-    return extract.extracted(_sources(spark, sf)).where("kind = 'node'").select("path", "id", "label", "type", "visibility")
+    return _sources(spark, sf).where("kind = 'node'").select("path", "id", "label", "type", "visibility")
 
 
 @query(" UNION ALL ".join(_part_rows(k, e, ("source", "target", "relation"), (0, 1)) for k, x in enumerate(SOURCES) for e in x[3]))
 def extracted_edges(spark, sf):
-    return extract.extracted(_sources(spark, sf)).where("kind = 'edge'").select("path", "source", "target", "relation")
+    return _sources(spark, sf).where("kind = 'edge'").select("path", "source", "target", "relation")
+
+
+@query(" UNION ALL ".join(_part_rows(k, f, ("label", "flag"), ()) for k, x in enumerate(SOURCES) for f in x[4]))
+def extracted_flags(spark, sf):
+    rows = _sources(spark, sf).where("kind = 'node'").select("path", "label", "type", F.explode(p.top_keys("metadata")).alias("flag"))
+    return rows.where("flag <> 'language' and type in ('function', 'state_var')").drop("type")
 
 
 #: JSON values of all kinds with what they mean by the three rules: an attribute that is enabled, raw JSON that is true, a value that is not empty.

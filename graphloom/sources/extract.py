@@ -20,7 +20,7 @@ from graphloom.sources.store import Graph
 from graphloom.sources.walk import extractors
 
 # What is no call, and words that hint at access checks, validation, time, transfers and calls across a boundary.
-NO_CALLS = frozenset("if for while switch catch return require assert let const var function new typeof sizeof match else try begin ok err some none and or not emit revert".split())
+NO_CALLS = frozenset("Ok Err Some define-public define-private define-read-only define-map define-data-var define-constant try! unwrap! asserts! if for while switch catch return require assert let const var function new typeof sizeof match else try begin ok err some none and or not emit revert".split())
 ACCESS = ("onlyowner", "only_owner", "owner", "admin", "authority", "auth", "permission", "role", "has_role", "msg.sender", "tx-sender", "contract-caller", "ctx.sender", "signer", "require_auth")
 VALIDATION = ("assert", "require", "ensure", "abort", "raise", "throw", "revert", "try!", "unwrap!", "asserts!", "Validate", "validate", "check")
 TIME = ("block.timestamp", "block.number", "block-height", "burn-block-height", "get_block_timestamp", "timestamp", "Clock", "SYSVAR_CLOCK")
@@ -114,9 +114,38 @@ _ANCHOR = (
     ("context_type", lambda f: (re.findall(r"Context<[^A-Z>]*([A-Z]\w*)", f["params"]) or [""])[-1]),
     ("cpi_calls", found(r"\b(invoke(?:_signed)?|CpiContext::new(?:_with_signer)?)\b")),
 )
-_SUBSTRATE = (("origin_checks", found(r"\b(ensure_signed|ensure_root|ensure_none)\b")), ("transfer_sinks", found(r"(?:Currency|T::Currency)::(transfer|deposit_creating|slash)\b")), ("cross_contract_calls", found(r"\b(T::\w+::\w+)\(")))
+# Hooks of a pallet and those that migrate; kinds of storage, the first that is found; tiers of storage with their calls; functions for administrators.
+HOOKS = ("on_initialize", "on_finalize", "on_idle", "offchain_worker", "integrity_test", "on_runtime_upgrade", "pre_upgrade", "post_upgrade")
+MIGRATIONS = ("on_runtime_upgrade", "pre_upgrade", "post_upgrade")
+STORAGE_KINDS = ("StorageDoubleMap", "CountedStorageMap", "StorageMap", "StorageValue")
+TIERS = ("instance", "persistent", "temporary")
+TIER_CALLS = {"reads": ("get", "has", "contains_key"), "writes": ("set", "remove", "update"), "ttl": ("extend_ttl",)}
+ADMIN = re.compile(r"(?i)(set_admin|upgrade|pause|unpause|mint|clawback|set_fee|set_oracle|set_config|emergency|freeze|update_current_contract_wasm|initialize)$")
+_TIER = re.compile(rf"\.({'|'.join(TIERS)})\(\)\s*\.\s*({'|'.join(c for calls in TIER_CALLS.values() for c in calls)})\s*\(\s*&?(\w+(?:::\w+)?)?")
+
+
+def _storage_ops(f: dict) -> dict:
+    """{tier: {reads, writes or ttl: calls}} of a function."""
+    ops: dict = {}
+    for tier, call, _ in _TIER.findall(f["body"]):
+        kind = next(k for k, calls in TIER_CALLS.items() if call in calls)
+        calls = ops.setdefault(tier, {}).setdefault(kind, [])
+        if call not in calls:
+            calls.append(call)
+    return ops
+
+
+def _storage_facts(line: str) -> dict:
+    """What kind a pallet's storage is of, and whether its values may grow without bound."""
+    kind = next((k for k in STORAGE_KINDS if k in line), "")
+    grows = re.search(r"(?<!Bounded)(?:(?:Vec|BTreeMap|BTreeSet|HashMap|HashSet)<|String\s*[,>])", line)
+    return ({"storage_type": kind} if kind else {}) | ({"unbounded": True} if kind and grows else {})
+
+
+_SUBSTRATE = (("hook_type", lambda f: f["name"] if f["name"] in HOOKS else ""), ("is_migration", lambda f: f["name"] in MIGRATIONS), ("origin_checks", found(r"\b(ensure_signed|ensure_root|ensure_none)\b")), ("transfer_sinks", found(r"(?:Currency|T::Currency)::(transfer|deposit_creating|slash)\b")), ("cross_contract_calls", found(r"\b(T::\w+::\w+)\(")))
 _SOROBAN = (
-    ("soroban_risks", typed(("missing_auth", r"storage\(\)\.\w+\(\)\.set", r"require_auth"), ("unsafe_unwrap", r"\.unwrap\(\)", ""), ("unsafe_expect", r"\.expect\(", ""), ("unstructured_panic", r"\bpanic!\(", ""), ("unbounded_loop", r"\bwhile\b|\bloop\b", ""), ("insecure_prng", r"\.prng\(\)", ""), ("timestamp_randomness", r"timestamp\(\)\s*%", ""), ("unprotected_upgrade", r"update_current_contract_wasm", r"require_auth"), ("missing_extend_ttl", r"persistent\(\)\.set", r"extend_ttl"))),
+    ("storage_ops", _storage_ops),
+    ("soroban_risks", typed(("missing_auth", r"storage\(\)\.\w+\(\)\.set", r"require_auth"), ("unsafe_unwrap", r"\.unwrap\(\)", ""), ("unsafe_expect", r"\.expect\(", ""), ("unstructured_panic", r"\bpanic!\(", ""), ("unbounded_loop", r"\bwhile\b|\bloop\b", ""), ("insecure_prng", r"\.prng\(\)", ""), ("timestamp_randomness", r"timestamp\(\)\s*%", ""), ("unprotected_upgrade", r"update_current_contract_wasm", r"require_auth"), ("missing_extend_ttl", r"persistent\(\)\.set", r"extend_ttl"), ("unbounded_instance_storage", r"(?=.*instance\(\)\.set).*\bVec\b.*\.push_back\(", ""))),
     ("cross_contract_calls", found(r"\b(invoke_contract|\w+Client::new)\b")),
 )
 _C = (
@@ -170,7 +199,7 @@ SPECS: dict[str, Spec] = {
     "clarity": Spec(r"\(define-(?P<mods>public|private|read-only)\s+\((?P<name>[\w\-!?]+)(?P<params>[^\n]*)", state=r"\(define-(?:data-var|map)\s+(?P<name>[\w\-!?]+)", comments=r";;[^\n]*", body="parens", write=r"\((?:var-set|map-set|map-insert|map-delete)\s+{v}\b", call=CLARITY_CALL, detectors=(*_TRANSFERS, ("view", lambda f: f["mods"] == "read-only"), ("cross_contract_calls", found(r"\((contract-call\?)")))),
     "cairo": Spec(r"(?P<mods>(?:pub\s+)?)fn\s+(?P<name>\w+)[^(]*\((?P<params>[^)]*)\)[^{;]*(?=[{;])", r"\b(?P<kind>mod|trait|impl)\s+(?P<name>\w+)", r"(?m)^\s{4,}(?P<name>\w+)\s*:\s*(?:felt252|u\d+|bool|Contract\w*|Map<|LegacyMap|StoragePointer)", public=r"\bpub\b|external", write=r"self\.{v}\.(?:write|entry)", self_prefix="self.", event=r"emit\(\s*(?P<name>\w+)", detectors=(*_TRANSFERS, ("cross_contract_calls", found(r"\b(call_contract_syscall|library_call_syscall)\b")))),
     "sway": Spec(r"(?P<mods>(?:pub\s+)?)fn\s+(?P<name>\w+)[^(]*\((?P<params>[^)]*)\)[^{;]*(?=[{;])", r"\b(?P<kind>contract|library|abi|impl)\s+(?P<name>\w+)", r"(?m)^\s+(?P<name>\w+)\s*:\s*(?:u\d+|bool|b256|StorageMap)[^=\n]*=", write=r"storage\.{v}\.(?:write|insert|remove)", detectors=_TRANSFERS),
-    "ton": Spec(r"(?m)^\s*(?:[\w()\s,]*?\s)?(?:fun\s+|receive\s*)?(?P<name>[a-z_]\w*)\s*\((?P<params>[^)]*)\)(?P<mods>[^{};]*)\{", r"\b(?P<kind>contract|trait)\s+(?P<name>\w+)", r"(?m)^\s*(?:global\s+\w+\s+|)(?P<name>\w+)\s*:\s*(?:Int|Bool|Address|map)", comments=r";;[^\n]*|//[^\n]*", public=r"method_id|\bget\b|receive|recv_", detectors=(*_TRANSFERS, ("ton_accept_message", flag(r"accept_message|acceptMessage")), ("ton_validation", flag(r"throw_unless|throw_if|require\(")), ("ignored_bounce", flag(r"send_raw_message|send\(", r"bounce")))),
+    "ton": Spec(r"(?m)^\s*(?:[\w()\s,]*?\s)?(?:fun\s+|receive\s*)?(?P<name>[a-z_]\w*)\s*\((?P<params>[^)]*)\)(?P<mods>[^{};]*)(?=\{)", r"\b(?P<kind>contract|trait)\s+(?P<name>\w+)", r"(?m)^\s*(?:global\s+\w+\s+|)(?P<name>\w+)\s*:\s*(?:Int|Bool|Address|map)", comments=r";;[^\n]*|//[^\n]*", write=r"(?:\bself\.|(?<![\w.])){v}(?:\[[^\]]*\])?\s*(?:[-+*/]?=(?!=))", public=r"method_id|\bget\b|receive|recv_", detectors=(*_TRANSFERS, ("ton_accept_message", flag(r"accept_message|acceptMessage")), ("ton_validation", flag(r"throw_unless|throw_if|require\(")), ("ignored_bounce", flag(r"send_raw_message|send\(", r"bounce")))),
     "proto": Spec(r"\brpc\s+(?P<name>\w+)\s*\((?P<params>[^)]*)\)\s*returns\s*\((?P<mods>[^)]*)\)", r"\b(?P<kind>service|message|enum)\s+(?P<name>\w+)\s*\{", body="line", default_public=True, detectors=(("streaming_rpc", lambda f: "stream" in f["params"] + f["mods"]), ("auth_boundary", lambda f: bool(re.search(r"(?i)auth|login|token|admin|withdraw|transfer", f["name"]))))),
     "xdr": Spec(r"\b(?P<name>\w+)\s+\w+\s*\((?P<params>[^)]*)\)\s*=\s*\d+", r"\b(?P<kind>struct|union|enum)\s+(?P<name>\w+)", body="line"),
     "typescript": Spec(r"(?P<mods>(?:export\s+|async\s+|public\s+|private\s+|static\s+)*)(?:function\s+(?P<name>\w+)|(?:const|let)\s+(?P<arrow>\w+)\s*=\s*(?:async\s*)?(?=\([^)]*\)\s*(?::[^=]+)?=>))\s*\((?P<params>[^)]*)\)[^{;]*(?=\{)", r"\b(?P<kind>class|interface)\s+(?P<name>\w+)", r"(?m)^\s*(?:private|public|protected)\s+(?P<name>\w+)\s*[:=]", self_prefix="this.", detectors=_SCRIPT),
@@ -233,6 +262,8 @@ def _decorators(text: str, at: int) -> str:
     return " ".join(out)
 
 
+#: Writes that read first.
+_UPDATES = re.compile(r"(?:[-+*/|&^]=|\+\+|--|\b(?:mutate|push|pop|entry|insert|remove|borrow_global_mut\W*<?\W*\w*|move_from\W*\w*))$")
 # Calls of a key-value store with what they do to an entity, and the words of its conditions.
 STORE_CALLS = {"Set": ("*", "exists"), "Delete": ("exists", "deleted"), "Get": ("exists", "exists")}
 _STORE = re.compile(r"\.(Set|Delete|Get)\s*\([^;\n]{0,40}?\btypes\.(\w+?)(?:KeyPrefix|Key)\b")
@@ -321,7 +352,11 @@ def extract(path: str, source: str, lang: str) -> tuple[list[dict], list[dict],
             continue
         start = m.start() + len(m[0]) - len(m[0].lstrip())
         end = _end_of(text, start if spec.body in ("parens",) else m.end(), spec.body)
-        functions.append({"name": name, "params": g.get("params") or "", "mods": g.get("mods") or "", "start": start, "end": end, "body": text[m.end() if spec.body != "parens" else start : end], "line": line_of(start), "owner": g.get("recv") or owner_at(m.start()), "head": _decorators(text, start)})
+        params, inner = g.get("params") or "", m.end()
+        if spec.body == "parens":
+            inner = _end_of(text, text.index("(", start + 1), "parens")
+            params = text[m.start("params") : max(m.start("params"), inner - 1)]
+        functions.append({"name": name, "params": params, "mods": g.get("mods") or "", "start": start, "end": end, "body": text[inner:end], "line": line_of(start), "owner": g.get("recv") or owner_at(m.start()), "head": _decorators(text, start)})
     spans = [(f["start"], f["end"]) for f in functions]
     states: dict[str, tuple[str, str]] = {}
     for m in re.finditer(spec.state, text) if spec.state else ():
@@ -332,7 +367,8 @@ def extract(path: str, source: str, lang: str) -> tuple[list[dict], list[dict],
             continue
         owner = owner_at(m.start())
         states[name] = (full(owner, name), owner)
-        node(full(owner, name), name, "state_var", m.start(), m.end())
+        line = text[m.start() : (text + ";").find(";", m.start())] if lang == "substrate" else ""
+        node(full(owner, name), name, "state_var", m.start(), m.end(), meta=_storage_facts(line))
         if owner:
             edge(f"{path}::{owner}", full(owner, name), "contains")
     guards = {}
@@ -367,11 +403,12 @@ def extract(path: str, source: str, lang: str) -> tuple[list[dict], list[dict],
         if open_ and f["params"].strip() and body.strip("{}; \n") and not checked and f["params"].strip() not in ("&self", "&mut self", "self"):
             meta["no_input_validation"] = True
         touched = {v: target for v, (target, _) in states.items() if re.search(rf"(?<![\w]){re.escape(v)}\b", body)}
-        writes = {}
+        writes, patterns = {}, {}
         for v in touched:
             pattern = spec.write.replace("{v}", (re.escape(spec.self_prefix) + "{v}" if spec.self_prefix and not spec.write.startswith(("self", "\\b")) else "{v}").replace("{v}", re.escape(v)))
             if spec.self_prefix and not spec.write.startswith("self"):
                 pattern = pattern.replace("(?<![\\w.])", "")
+            patterns[v] = pattern
             if m := re.search(pattern, body):
                 writes[v] = max(x.start() for x in re.finditer(pattern, body)) or m.start()
         calls, seen = [], set()
@@ -387,6 +424,12 @@ def extract(path: str, source: str, lang: str) -> tuple[list[dict], list[dict],
         if outside and writes and max(writes.values()) > min(outside) and not any("reentran" in g.lower() for g in used) and lang in ("solidity", "vyper"):
             meta["reentrancy_risk"] = True
             meta["reentrancy_details"] = f"state written after a call out in {f['name']}"
+        if lang == "soroban" and open_ and "require_auth" not in body:
+            exposed = [{"type": "missing_admin_auth", "line": f["line"]}] if ADMIN.match(f["name"]) else []
+            keys = [n for n in re.findall(r"(\w+)\s*:", f["params"]) if n not in ("env", "self") and re.search(rf"\.set\s*\([^,]*\b{n}\b", body)]
+            exposed += [{"type": "unprotected_storage_key", "line": f["line"]}] * bool(keys)
+            if exposed:
+                meta["soroban_risks"] = meta.get("soroban_risks", []) + exposed
         if meta.get("cpi_calls") and writes:
             meta["cpi_reentrancy_risk"] = True
         if meta.get("privileged_operations") and not used and "role_guards" not in meta:
@@ -400,6 +443,7 @@ def extract(path: str, source: str, lang: str) -> tuple[list[dict], list[dict],
             if v in writes:
                 edge(f["id"], target, "writes_state", order=order[writes[v]])
             assigned = re.sub(rf"(?<![\w.])(?:\w+\.)?{re.escape(v)}\s*=(?!=)", "", body)
+            assigned = re.sub(patterns[v], lambda x: x[0] if _UPDATES.search(x[0].rstrip()) else "", assigned)
             if re.search(rf"(?<![\w]){re.escape(v)}\b", assigned):
                 edge(f["id"], target, "reads_state")
         for at, name, foreign in calls:
@@ -418,6 +462,10 @@ def extract(path: str, source: str, lang: str) -> tuple[list[dict], list[dict],
         for m in re.finditer(r"\b(?:self\.|this\.)?(\w*[sS]tat(?:e|us)\w*)\s*=\s*(\w+)(?:::|\.)(\w+)", body):
             before = re.search(rf"{re.escape(m[1])}\s*==\s*{re.escape(m[2])}(?:::|\.)(\w+)", body[: m.start()])
             moves.append({"entity": f"{path}::{m[2]}", "from_state": before[1] if before else "*", "to_state": m[3], "function_id": f["id"], "conditions": json.dumps(used)})
+        for m in _TIER.finditer(body) if lang == "soroban" else ():
+            kind = next(k for k, calls in TIER_CALLS.items() if m[2] in calls)
+            if kind != "ttl":
+                edge(f["id"], f"{path}::_storage_{m[1]}_{m[3] or 'unknown'}", "writes_state" if kind == "writes" else "reads_state", storage_tier=m[1], key=m[3] or "unknown")
         for m in _STORE.finditer(body) if lang == "go" else ():
             conditions = "read" if m[1] == "Get" else "has_validation" if "err != nil" in body else "no_validation"
             moves.append({"entity": m[2], "from_state": STORE_CALLS[m[1]][0], "to_state": STORE_CALLS[m[1]][1], "function_id": f["id"], "conditions": json.dumps([conditions])})
