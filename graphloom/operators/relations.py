@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import payload as p
 from graphloom.operators.caps import cap_per_key
 from graphloom.operators.match import staged_match, state_variables
-from graphloom.operators.traverse import closure, traversal_edges
+from graphloom.operators.traverse import closure, stored, traversal_edges
 
 NODE = ("id", "label", "file", "line_start", "visibility")
 
@@ -20,18 +20,41 @@ def neighbours(nodes: DataFrame, edges: DataFrame, ids: DataFrame, relation: str
     return own.join(nodes, F.col(there) == F.col("id")).select("of", "relation", "attributes", *NODE)
 
 
+def _met(sets: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scope, holder, held), (scope, name, asked) and, of the distinct sets among them, (scope, held, asked, n, first) where held has all of asked; n holders have it, the first one among them.
+
+    Equal sets are merged before they are compared. Wanted sets meet others at their item that is in the fewest of those
+    only, then the whole sets are compared.
+    """
+
+    def whole(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.dropna().groupBy("scope", key).agg(F.array_sort(F.collect_set("item")).alias(name))
+
+    holders, names = whole(sets, "holder", "held"), whole(wanted, "name", "asked")
+    held = stored(holders.groupBy("scope", "held").agg(F.count("*").alias("n"), F.min("holder").alias("first")))
+    asked = stored(names.select("scope", "asked").distinct())
+    each = held.select("scope", F.explode("held").alias("item"), "held", "n", "first")
+    common = each.groupBy("scope", "item").agg(F.count("*").alias("sets"))
+    rare = asked.select("scope", "asked", F.explode("asked").alias("item")).join(common, ["scope", "item"], "left")
+    rare = rare.groupBy("scope", "asked").agg(F.min(F.struct(F.coalesce("sets", F.lit(0)).alias("sets"), "item")).alias("rare")).where("rare.sets > 0")
+    met = rare.select("scope", "asked", F.col("rare.item").alias("item")).join(each, ["scope", "item"])
+    return holders, names, met.where(F.size(F.array_except("asked", "held")) == 0).select("scope", "held", "asked", "n", "first")
+
+
 def containing(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """(scope, holder, name): holders whose set has all items of a wanted set in the same scope.
 
-    sets: (scope, holder, item), wanted: (scope, name, item); repeated rows count once, rows with nulls are in no set. Wanted
-    sets meet holders at their item with the fewest holders only, then the whole sets are compared.
+    sets: (scope, holder, item), wanted: (scope, name, item); repeated rows count once, rows with nulls are in no set.
     """
-    sets, wanted = sets.dropna().distinct(), wanted.dropna().distinct()
-    common = sets.groupBy("scope", "item").agg(F.count("*").alias("n"))
-    asked = wanted.join(common, ["scope", "item"], "left").groupBy("scope", "name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "item")).alias("rare"), F.collect_set("item").alias("asked"))
-    held = sets.groupBy("scope", "holder").agg(F.collect_set("item").alias("held"))
-    met = asked.where("rare.n > 0").withColumn("item", F.col("rare.item")).join(sets, ["scope", "item"]).join(held, ["scope", "holder"])
-    return met.where(F.size(F.array_except("asked", "held")) == 0).select("scope", "holder", "name")
+    holders, names, met = _met(sets, wanted)
+    return met.select("scope", "held", "asked").join(names, ["scope", "asked"]).join(holders, ["scope", "held"]).select("scope", "holder", "name")
+
+
+def containing_counts(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(scope, name, holders, first_holder): how many containing() has of each wanted set, and the first one; names of equal sets are counted together, so pairs are never made."""
+    _, names, met = _met(sets, wanted)
+    counted = met.groupBy("scope", "asked").agg(F.sum("n").alias("holders"), F.min("first").alias("first_holder"))
+    return counted.join(names, ["scope", "asked"]).select("scope", "name", "holders", "first_holder")
 
 
 def accessors(nodes: DataFrame, edges: DataFrame, variables: DataFrame) -> DataFrame:

@@ -183,6 +183,26 @@ def test_containing_sets(spark):
     assert containing(sets.limit(0), wanted).count() == 0 and containing(sets, wanted.limit(0)).count() == 0
 
 
+def test_containing_sets_are_counted_without_their_pairs(spark):
+    from graphloom.operators.relations import containing, containing_counts
+
+    sets = spark.range(3000).selectExpr("concat('s', id % 2) AS scope", "id AS holder", "explode(sequence(0, id % 5)) AS item")
+    wanted = spark.range(2000).selectExpr("concat('s', id % 2) AS scope", "id AS name", "explode(sequence(id % 3, id % 4)) AS item").union(spark.sql("SELECT 's0', 9999L, 77L UNION ALL SELECT NULL, 1L, 1L"))
+    counts = containing_counts(sets, wanted)
+    held, asked = {}, {}
+    for rows, out in ((sets.collect(), held), (wanted.collect(), asked)):
+        for scope, key, item in rows:
+            if scope:
+                out.setdefault((scope, key), set()).add(item)
+    want = {}
+    for (scope, name), a in asked.items():
+        if own := [h for (s, h), x in held.items() if s == scope and a <= x]:
+            want[scope, name] = (len(own), min(own))
+    assert {(r.scope, r.name): (r.holders, r.first_holder) for r in counts.collect()} == want
+    assert containing(sets, wanted).count() == sum(n for n, _ in want.values())
+    assert counts.count() == len(want)
+
+
 def test_accounts_and_interfaces_in_a_build(spark, tmp_path):
     from graphloom.plans import queries
 
