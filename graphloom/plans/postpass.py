@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import payload as p
 from graphloom.functions.names import bare_id, contract_key, short_variable
 from graphloom.operators.relations import containing
-from graphloom.operators.traverse import all_callers_guarded, cut, inherited_member
+from graphloom.operators.traverse import all_callers_guarded, cut, inherited_member, stored
 from graphloom.sources.store import Graph, last_wins
 
 #: Fixed value: the attributes of a call that was resolved to another file.
@@ -128,7 +128,7 @@ def context_risks(contexts: DataFrame) -> DataFrame:
 
 def link_contexts(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Structs of accounts guard the functions that take them; what they close is a sink of those; what they leave open goes into the functions' metadata."""
-    found = cut(account_contexts(nodes))
+    found = stored(account_contexts(nodes))
     controls = p.value("metadata", "access_controls")
     guards = found.where(controls.isNotNull()).select(F.col("context").alias("source"), F.col("function").alias("target"), F.lit("guards").alias("relation"), F.concat(F.lit('{"access_controls": '), controls, F.lit("}")).alias("attributes"), "seq")
     closed = found.select("*", F.explode(F.from_json(p.value("metadata", "close_targets"), "map<string, string>")).alias("field", "to"))

@@ -218,3 +218,32 @@ def test_accounts_and_interfaces_in_a_build(spark, tmp_path):
     assert [r["type"] for r in nodes["lib.rs::p.open"]["anchor_risks"]] == ["missing_bump", "missing_signer", "unchecked_no_owner", "weak_pda_seeds"] and "anchor_risks" not in nodes["lib.rs::p.pay"]
     assert nodes["lib.rs::_sink_close_Pay_vault"]["sink_type"] == "fund_destruction" and nodes["P.java::Phase"]["variants"] == ["OPEN", "CLOSED"]
     assert {(r.entity, r.to_state) for r in g.transitions.collect()} == {("Item", "exists"), ("Item", "deleted"), ("Phase", "OPEN"), ("Phase", "CLOSED")}
+
+
+def test_files_of_equal_content_share_their_rows(spark):
+    from graphloom.plans import queries
+    from graphloom.sources import extract
+
+    texts = (("rs", "anchor", queries._ANCHOR), ("go", "go", queries._GO), ("java", "java", queries._JAVA))
+    files = [(f"{d}/f.{end}", text, lang, context) for d in ("a", "a/test/b", "test") for end, lang, text in texts for context in ("production", "script")]
+    got = extract.extracted(spark.createDataFrame(files, "path string, content string, language string, source_context string").coalesce(1)).collect()
+    kinds = dict(zip(("node", "edge", "transition"), range(3), strict=True))
+    for path, text, lang, context in files:
+        parts = extract.extract(path, text, lang)
+        for kind, k in kinds.items():
+            rows = [r.asDict() for r in got if r.path == path and r.kind == kind and r.pos < extract.PER_EXTRACTOR]
+            for want in parts[k]:
+                mine = [r for r in rows if all(r[c] == v for c, v in want.items() if c != "metadata")]
+                assert len(mine) == 2 * sum(all(x[c] == v for c, v in want.items() if c != "metadata") for x in parts[k]), (path, want)
+            assert len(rows) == 2 * len(parts[k])
+    only = extract.extracted(spark.createDataFrame(files, "path string, content string, language string, source_context string"), ("transition",)).collect()
+    assert sorted(map(str, only)) == sorted(str(r) for r in got if r.kind == "transition")
+
+
+def test_files_of_parts_are_dealt_out_and_meet_no_table_of_paths(spark):
+    from graphloom.plans import queries
+
+    g = queries._program(spark, "/root/testdata/sf0.001", "node", "edge", "transition")
+    for table in (g.nodes, g.edges, g.transitions):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan and "Join" not in plan
