@@ -14,12 +14,15 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.bits import all_reached
 from graphloom.sources.store import TRAVERSAL
 
 #: Rounds between checkpoints of all that is known.
 EVERY = 4
 #: The longest stride, and how many edges for each start make strides worth their while.
 STRIDE, MANY = 8, 16
+#: Edges that the driver and each task may hold, as two numbers each.
+FEW_EDGES = 2_000_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -96,6 +99,12 @@ def _strides(step: DataFrame, most: int) -> tuple[DataFrame, int]:
 
 def cyclic_closure(edges: DataFrame) -> DataFrame:
     """(start, node, distance) of all that each source reaches over one edge or more; itself by its shortest cycle, if it lies on one."""
+    step = stored(edges.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target")).dropna().distinct())
+    return all_reached(step) if step.count() <= FEW_EDGES else joined_closure(edges)
+
+
+def joined_closure(edges: DataFrame) -> DataFrame:
+    """cyclic_closure() by joins, for edges that are too many for one task."""
     pairs = closure(edges.select("source"), edges)
     back = edges.select(F.col("source").alias("node"), F.col("target").alias("start"))
     cycles = pairs.join(back, ["start", "node"]).groupBy("start").agg((F.min("distance") + 1).alias("distance"))

@@ -36,6 +36,25 @@ def test_closure_goes_round_cycles_to_its_end(spark):
     assert len(got) == len(want) and {(r.start, r.node): r.distance for r in got} == want
 
 
+def test_closure_by_bits_is_that_by_joins(spark, monkeypatch):
+    from graphloom.operators import bits
+
+    monkeypatch.setattr(bits, "WIDTH", 2)
+    rng = random.Random(5)
+    dense = {(f"d{rng.randrange(300)}", f"d{rng.randrange(300)}") for _ in range(2500)}
+    edges = sorted(dense | {(f"c{i}", f"c{i + 1}") for i in range(150)} | {("c150", "d0"), ("c9", "c9")})
+    want = walked(edges)
+    frame = spark.createDataFrame([*edges, *edges[:9], ("d1", None), (None, "d1")], "source string, target string")
+    plan = traverse.cyclic_closure(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # a join makes a row for each pair and edge on
+    got = traverse.cyclic_closure(frame).collect()
+    assert len(got) == len(want) and {(r.start, r.node): r.distance for r in got} == want
+    monkeypatch.setattr(traverse, "FEW_EDGES", 10)
+    got = traverse.cyclic_closure(frame).collect()
+    assert len(got) == len(want) and {(r.start, r.node): r.distance for r in got} == want
+    assert bits.all_reached(frame.where("false")).count() == 0
+
+
 def test_cyclic_closure_has_users_that_reach_themselves(spark):
     from graphloom.plans import projection, queries
 
