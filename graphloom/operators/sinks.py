@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import payload as p
 from graphloom.functions.names import has_parameters, is_entry
 from graphloom.operators.caps import cap_per_key
-from graphloom.operators.traverse import call_edges, closure, reversed_edges, traversal_edges
+from graphloom.operators.traverse import Shelf, call_edges, closure, closure_in_parts, hashes_tell_apart, reversed_edges, traversal_edges, two_hashes
+from graphloom.sources.store import TRAVERSAL
 
 
 def sinks(nodes: DataFrame, sink_type: str = "") -> DataFrame:
@@ -65,12 +66,28 @@ def attack_surface(nodes: DataFrame, edges: DataFrame, sets: DataFrame | None =
     return entries.join(summed, "id").select("id", "label", "file", "signature", "reachable_count", "state_writes", "metadata", "seq")
 
 
+def _sinks_of(entries: DataFrame, own: DataFrame, edges: DataFrame) -> DataFrame:
+    """(start, node): entries and the sinks that they reach. Sinks are few, so it goes backwards from them; what reaches none is never stored."""
+    shelf = Shelf()
+    steps = shelf.keep(edges.where(F.col("relation").isin(*TRAVERSAL)).select("source", "target").dropna().select(*two_hashes("source", "s", "s2"), *two_hashes("target", "t", "t2")))
+    starts = entries.where("id is not null").select(F.col("id").alias("start")).distinct()
+    ends = own.where("node is not null").select("node").distinct()
+    every = steps.select(F.col("s").alias("h"), F.col("s2").alias("h2")).union(steps.select("t", "t2")).union(starts.select(*two_hashes("start"))).union(ends.select(*two_hashes("node")))
+    if not hashes_tell_apart(every):
+        shelf.clear()
+        back = closure(ends, reversed_edges(traversal_edges(edges)))
+        return back.select(F.col("start").alias("sink"), F.col("node").alias("start")).join(starts, "start", "left_semi").withColumnRenamed("sink", "node")
+    back = closure_in_parts(ends.select(F.xxhash64("node")), steps.select(F.col("t").alias("source"), F.col("s").alias("target")), lambda pairs: pairs.select("start", "node"))
+    shelf.clear()
+    back = back.select(F.col("start").alias("h_sink"), F.col("node").alias("h_start"))
+    return back.join(starts.withColumn("h_start", F.xxhash64("start")), "h_start").join(ends.withColumn("h_sink", F.xxhash64("node")), "h_sink").select("start", "node")
+
+
 def taint(nodes: DataFrame, edges: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """Entry points with parameters, neither view nor pure, that reach sinks: id, label, file, visibility, guarded, reachable_sinks, sinks (ids, sorted), risk."""
     entries = nodes.where((F.col("type") == "function") & is_entry() & has_parameters("signature") & ~p.truthy("metadata", "view") & ~p.truthy("metadata", "pure"))
-    reached = closure(entries.select("id"), traversal_edges(edges)) if sets is None else sets
     own = sinks(nodes).select(F.col("id").alias("node"), F.col("label").alias("sink"), "sink_type")
-    hit = reached.join(own, "node").groupBy(F.col("start").alias("id")).agg(F.count("*").alias("reachable_sinks"), F.slice(F.array_sort(F.collect_list(F.struct("node", "sink", "sink_type"))), 1, 5).alias("sinks"))
+    hit = (_sinks_of(entries, own, edges) if sets is None else sets).join(own, "node").groupBy(F.col("start").alias("id")).agg(F.count("*").alias("reachable_sinks"), F.slice(F.array_sort(F.collect_list(F.struct("node", "sink", "sink_type"))), 1, 5).alias("sinks"))
     guarded = edges.where("relation = 'guards'").select(F.col("target").alias("id")).distinct().withColumn("guarded", F.lit(True))
     rows = entries.join(hit, "id").join(guarded, "id", "left").withColumn("guarded", F.coalesce("guarded", F.lit(False)))
     return rows.select("id", "label", "file", "visibility", "guarded", "reachable_sinks", "sinks", F.when(F.col("guarded"), "MEDIUM").otherwise("HIGH").alias("risk"), p.source_context("metadata").alias("source_context"), "seq")

@@ -7,7 +7,9 @@ which takes an eighth of the rounds. All state is in tables, cut off by checkpoi
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from collections.abc import Callable
 from functools import reduce
 from uuid import uuid4
 
@@ -21,9 +23,14 @@ from graphloom.sources.store import TRAVERSAL
 EVERY = 4
 #: The longest stride, and how many edges for each start make strides worth their while.
 STRIDE, MANY = 8, 16
+#: Starts whose pairs are stored at once, and the longest stride then: longer ones take more room than the pairs.
+PART, PART_STRIDE = 2_500_000, 4
 #: Edges that the driver and each task may hold, as two numbers each.
 FEW_EDGES = 2_000_000
 
+#: How a table is stored.
+Keep = Callable[[DataFrame], DataFrame]
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a copy in the shared folder of spark.checkpoint.dir; on one machine one of our own will do where that is unset."""
@@ -36,15 +43,51 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As cut(), compressed and by columns: readers get the columns that they ask for, and plans know how large the table is."""
+def stored(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """As cut(), compressed and by columns: readers get the columns that they ask for, and plans know how large the table is. Its path is added to paths."""
     spark = df.sparkSession
     cut(spark.range(0))  # sets the folder where it is unset
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid4().hex}"
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """Stored tables that go together, once what was made of them is stored elsewhere."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.spark = None
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """stored(); what Spark shuffled for the table goes now and not when its driver happens to collect garbage."""
+        out, self.spark = stored(df, self.paths), df.sparkSession
+        self.sweep()
+        return out
+
+    def sweep(self) -> None:
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def clear(self, but_last: int = 0) -> None:
+        gone = self.paths[: len(self.paths) - but_last]
+        self.paths = self.paths[len(gone) :]
+        for p in gone:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def hashes_tell_apart(ids: DataFrame) -> bool:
+    """Whether no two of the ids (h, h2: xxhash64 with two seeds) have the same h."""
+    return ids.groupBy("h").agg((F.min("h2") != F.max("h2")).alias("two")).where("two").isEmpty()
+
+
+def two_hashes(column: str, h: str = "h", h2: str = "h2"):
+    return F.xxhash64(column).alias(h), F.xxhash64(F.lit(7), column).alias(h2)
+
+
 def traversal_edges(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("relation").isin(*TRAVERSAL)).select("source", "target").distinct()
 
@@ -62,38 +105,64 @@ def closure(starts: DataFrame, edges: DataFrame, max_hops: int = 0) -> DataFrame
 
     starts: a column of ids, read as `start`. Ids without a node row count. max_hops 0: without bound.
     """
-    step = cut(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).where("node <> next").distinct())
-    seen = cut(starts.toDF("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("distance")))
-    stride = 1
+    seen, step, stride = _steps(starts, edges, max_hops, cut)
+    return _rounds(seen, step, stride, max_hops, cut)
+
+
+def closure_in_parts(starts: DataFrame, edges: DataFrame, made_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """made_of(closure()) of all starts, for what is made of the pairs of each start by itself: of so many starts at a time, so that all pairs are never stored at once."""
+    shelf, steps, done = Shelf(), Shelf(), []
+    seen, step, stride = _steps(starts, edges, 0, shelf.keep, steps.keep, PART_STRIDE, lambda: steps.clear(but_last=1))
+    parts = -(-seen.count() // PART) or 1
+    for k in range(parts):
+        own = Shelf()
+        pairs = _rounds(seen.where(F.pmod(F.xxhash64("start"), F.lit(parts)) == k), step, stride, 0, own.keep)
+        done.append(stored(made_of(pairs)))
+        own.clear()
+    shelf.sweep()
+    shelf.clear()
+    steps.clear()
+    return reduce(DataFrame.union, done)
+
+
+def _steps(starts: DataFrame, edges: DataFrame, max_hops: int, keep: Keep, keep_step: Keep | None = None, most: int = STRIDE, accepted: Callable[[], None] = lambda: None) -> tuple[DataFrame, DataFrame, int]:
+    keep_step = keep_step or keep
+    step = keep_step(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).where("node <> next").distinct())
+    seen = keep(starts.toDF("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("distance")))
     step = step.withColumn("hops", F.lit(1))
     if seen.count() * MANY > step.count():
-        step, stride = _strides(step, min(STRIDE, max_hops or STRIDE))
+        return seen, *_strides(step, min(most, max_hops or most), keep_step, accepted)
+    return seen, step, 1
+
+
+def _rounds(seen: DataFrame, step: DataFrame, stride: int, max_hops: int, keep: Keep) -> DataFrame:
     front, done, rounds = seen, 0, 0
     while not max_hops or done < max_hops:
         found = front.join(step, "node").select("start", F.col("next").alias("node"), (F.col("distance") + F.col("hops")).alias("distance"))
         if max_hops:
             found = found.where(F.col("distance") <= max_hops)
         found = found.groupBy("start", "node").agg(F.min("distance").alias("distance"))
-        new = cut(found.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+        new = keep(found.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         if new.isEmpty():
             break
         rounds, done = rounds + 1, done + stride
-        seen = cut(seen.unionByName(new)) if rounds % EVERY == 0 else seen.unionByName(new)
+        seen = keep(seen.unionByName(new)) if rounds % EVERY == 0 else seen.unionByName(new)
         # what lies further is reached through a node at just this distance
         front = new.where(F.col("distance") == done)
     return seen
 
 
-def _strides(step: DataFrame, most: int) -> tuple[DataFrame, int]:
+def _strides(step: DataFrame, most: int, keep: Keep, accepted: Callable[[], None] = lambda: None) -> tuple[DataFrame, int]:
     """(node, next, hops) of all that is reached in 1 to n hops, and n: doubled up to `most` while the table no more than triples."""
     n, reach = step.count(), 1
     while 2 * reach <= most:
         on = step.select(F.col("node").alias("next"), F.col("next").alias("end"), F.col("hops").alias("more"))
         longer = step.join(on, "next").select("node", F.col("end").alias("next"), (F.col("hops") + F.col("more")).alias("hops")).where("node <> next")
-        both = cut(step.unionByName(longer).groupBy("node", "next").agg(F.min("hops").alias("hops")))
+        both = keep(step.unionByName(longer).groupBy("node", "next").agg(F.min("hops").alias("hops")))
         if (now := both.count()) > 3 * n:
             break
         step, n, reach = both, now, 2 * reach
+        accepted()  # the steps before are not read any more
     return step, reach
 
 

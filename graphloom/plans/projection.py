@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -118,10 +119,10 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
-def built(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph as plans over the tables."""
+def built(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFrame] = lambda functions: functions) -> Graph:
+    """The graph as plans over the tables. keep() may store the functions, of which most of it is made."""
     t = tables(spark, sf_dir, "orders", "part", "supplier", "lineitem", "events")
-    functions = cut(_spark(spark, FUNCTIONS, orders=t["orders"]))
+    functions = keep(_spark(spark, FUNCTIONS, orders=t["orders"]))
     nodes = _spark(spark, NODES, functions=functions, part=t["part"], supplier=t["supplier"])
     edges = _spark(spark, EDGES, functions=functions, part=t["part"], lineitem=t["lineitem"])
     return Graph(nodes, edges, _spark(spark, TRANSITIONS, events=t["events"]))
@@ -136,7 +137,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     if key not in _stored:
         cut(spark.range(0))  # sets the folder where it is unset
         path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/graph-{len(_stored)}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}"
-        g = built(spark, sf_dir)
+        g = built(spark, sf_dir, cut)
         Graph(cut(g.nodes), cut(g.edges), cut(g.transitions)).save(path)
         _stored[key] = path
     return Graph.load(spark, _stored[key])

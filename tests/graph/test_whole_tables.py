@@ -122,3 +122,31 @@ def test_edges_of_all_orders_are_merged(spark):
         want[key] = merged
     got = queries.QUERIES["merged_edges"](spark, SF).collect()
     assert len(got) == len(want) and {(r.source, r.target): json.loads(r.attributes) for r in got} == want
+
+
+def test_closure_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    edges = sorted({(f"p{rng.randrange(40)}", f"p{rng.randrange(40)}") for _ in range(60)})
+    frame = spark.createDataFrame(edges, "source string, target string")
+    starts = frame.select("source")
+    want = sorted(map(tuple, traverse.closure(starts, frame).collect()))
+    monkeypatch.setattr(traverse, "PART", 12)
+    assert sorted(map(tuple, traverse.closure_in_parts(starts, frame, lambda pairs: pairs).collect())) == want
+
+
+def test_surface_and_taint_store_no_whole_graph(spark, monkeypatch):
+    from graphloom.operators import sinks
+    from graphloom.plans import projection, queries
+
+    tables = "/root/testdata/sf0.01"  # the smallest that has sinks
+    db = duckdb.connect()
+    for t in ("orders", "part", "supplier", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tables}/{t}.parquet'")
+    monkeypatch.setattr(projection, "_stored", {})
+    for together in (False, True):
+        for name in ("tainted_entries",):
+            found = queries.QUERIES[name](spark, tables)
+            want = db.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.SQL[name]})").fetchall()
+            assert want and sorted(map(tuple, found.collect())) == sorted(want)
+        monkeypatch.setattr(sinks, "hashes_tell_apart", lambda ids: False)  # as if two ids had one hash
+    assert not projection._stored
