@@ -58,12 +58,32 @@ def attack_surface(nodes: DataFrame, edges: DataFrame, sets: DataFrame | None =
     sets: closure() of the entry points, if there is one already. valid_only counts ids that have a node only.
     """
     entries = nodes.where((F.col("type") == "function") & is_entry())
-    reached = closure(entries.select("id"), traversal_edges(edges)) if sets is None else sets
-    if valid_only:
-        reached = reached.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
+    shelf = Shelf()
+    steps = shelf.keep(edges.where(F.col("relation").isin(*TRAVERSAL)).select("source", "target").dropna().select(*two_hashes("source", "s", "s2"), *two_hashes("target", "t", "t2"))) if sets is None else None
     writes = edges.where("relation = 'writes_state'").groupBy(F.col("source").alias("node")).agg(F.count("*").alias("writes"))
-    summed = reached.join(writes, "node", "left").groupBy(F.col("start").alias("id")).agg(F.count("*").alias("reachable_count"), F.coalesce(F.sum("writes"), F.lit(0)).alias("state_writes"))
-    return entries.join(summed, "id").select("id", "label", "file", "signature", "reachable_count", "state_writes", "metadata", "seq")
+    ids = nodes.select("id")
+    short = False
+    if sets is None:
+        hashed = shelf.keep(writes.where("node is not null").select(*two_hashes("node"), "writes"))
+        known = shelf.keep((nodes if valid_only else entries).where("id is not null").select(*two_hashes("id")).distinct())
+        every = steps.select(F.col("s").alias("h"), F.col("s2").alias("h2")).union(steps.select("t", "t2")).union(hashed.select("h", "h2")).union(known)
+        short = hashes_tell_apart(every)  # so that pairs are of numbers, which take a fraction of the room
+        shelf.sweep()
+        if short:
+            writes, ids = hashed.select(F.col("h").alias("node"), "writes"), known.select(F.col("h").alias("id"))
+
+    def summed(reached: DataFrame) -> DataFrame:
+        if valid_only:
+            reached = reached.join(ids.withColumnRenamed("id", "node"), "node", "left_semi")
+        return reached.join(writes, "node", "left").groupBy("start").agg(F.count("*").alias("reachable_count"), F.coalesce(F.sum("writes"), F.lit(0)).alias("state_writes"))
+
+    key = F.xxhash64("id") if short else F.col("id")
+    if sets is not None:
+        sums = summed(sets)
+    else:
+        sums = closure_in_parts(entries.where("id is not null").select(key.alias("start")), steps.select(F.col("s").alias("source"), F.col("t").alias("target")) if short else traversal_edges(edges), summed)
+        shelf.clear()
+    return entries.where("id is not null").withColumn("start", key).join(sums, "start").select("id", "label", "file", "signature", "reachable_count", "state_writes", "metadata", "seq")
 
 
 def _sinks_of(entries: DataFrame, own: DataFrame, edges: DataFrame) -> DataFrame:

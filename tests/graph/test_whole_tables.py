@@ -144,7 +144,7 @@ def test_surface_and_taint_store_no_whole_graph(spark, monkeypatch):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tables}/{t}.parquet'")
     monkeypatch.setattr(projection, "_stored", {})
     for together in (False, True):
-        for name in ("tainted_entries",):
+        for name in ("tainted_entries", "attack_surface"):
             found = queries.QUERIES[name](spark, tables)
             want = db.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.SQL[name]})").fetchall()
             assert want and sorted(map(tuple, found.collect())) == sorted(want)
