@@ -8,11 +8,14 @@ verified on their words, and the later one goes. Lines that are equal, byte for
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import checkpoint, joinable
-from graphloom.llm.setjoin import entries, later_sets, prefix, signatures
+from graphloom.llm.setjoin import entries, later_sets, prefix, signature
 
 #: Places of the sketch of word counts (a power of two); its 4 MB are all that goes to every task.
 PLACES = 1 << 22
@@ -30,16 +33,11 @@ def words_of(line: Column) -> Column:
     return F.when(untidy, F.array_remove(F.split(plain, " "), "")).otherwise(F.split(line, " "))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _lines(rows: DataFrame) -> DataFrame:
     """at (the place in the order of all lines) and line, of all lines that have a word."""
     each = rows.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "ln").alias("at")
-    return each.where(F.btrim("line", F.lit(SPACES)) != "").select(at, "line")
+    return each.where(F.ltrim("line", F.lit(SPACES)) != "").select(at, "line")
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
@@ -52,8 +50,11 @@ def _place(hashed: Column) -> Column:
 
 
 def _classes(lines: DataFrame) -> DataFrame:
-    """One row: an array with the class of each place. Eight classes at a time travel in a long."""
-    words = lines.select(F.explode(words_of(F.col("line"))).alias("w"))
+    """One row: an array with the class of each place, of the words of line, which may hold line breaks. Eight classes at a time travel in a long."""
+    line = F.col("line")
+    odd = reduce(or_, (F.contains(line, F.lit(c)) for c in SPACES[1:]))
+    plain = F.when(odd, F.translate(line, SPACES[1:] + "\n", " " * len(SPACES))).otherwise(F.replace(line, F.lit("\n"), F.lit(" ")))
+    words = lines.select(F.explode(F.split(plain, " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(_place(F.xxhash64("w")).alias("place")).agg(F.count("*").alias("n"))
     grade = F.least(F.floor(4 * F.log2(F.col("n").cast("double"))), F.lit(127)).cast("long")
     eight = F.shiftright("place", 3).alias("q")
@@ -69,19 +70,20 @@ def _class(token: Column) -> Column:
 
 
 def _set_of(line: Column, classes: Column) -> Column:
-    """n, s0, s1 and tokens, the prefix and one token more, without words that are found once. A token: its class in 7 bits, then 56 bits of hash."""
-    hashes = F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
+    """The tokens of a line, each once. A token: its class in 7 bits, then 56 bits of hash."""
+
+    def token(h: Column) -> Column:
+        rank = F.coalesce(F.get(classes, _place(h)), F.lit(0).cast("tinyint")).cast("long")
+        return F.call_function("shiftleft", rank, F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    def token(h: Column, c: Column) -> Column:
-        return F.call_function("shiftleft", F.get(c, _place(h)).cast("long"), F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return F.array_distinct(F.transform(words_of(line), lambda w: token(F.xxhash64(w))))
 
-    def made(h: Column) -> Column:
-        s0, s1 = signatures(h)
-        tokens = _let(classes, lambda c: F.sort_array(F.transform(h, lambda x: token(x, c))))
-        first = F.filter(F.slice(tokens, F.lit(1), prefix(F.size(h)) + 1), lambda t: _class(t) != 0)
-        return F.struct(F.size(h).alias("n"), s0.alias("s0"), s1.alias("s1"), first.alias("tokens"))
 
-    return _let(hashes, made)
+def _entry(tokens: Column) -> list[Column]:
+    """n, s0, odd and tokens, the prefix and one token more."""
+    n = F.when(tokens.isNotNull(), F.size(tokens))
+    s0, odd = signature(tokens, n)
+    return [n.alias("n"), s0.alias("s0"), odd.alias("odd"), F.slice(F.sort_array(tokens), F.lit(1), prefix(n) + 1).alias("tokens")]
 
 
 _LAST = (1 << 63) - 1
@@ -93,13 +95,13 @@ def _marked(lines: DataFrame, twice: DataFrame) -> DataFrame:
     return _hashed(lines).join(twice, ["l", "l2"], "left").select("at", "line", "l", (first.isNull() | (F.col("at") == first)).alias("own"), first.isNull().alias("single"))
 
 
-def _firsts(lines: DataFrame, twice: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets, again): a row for each distinct line, with l, doc, n, s0, s1 and tokens; at of the copies of earlier lines."""
-    marked = _marked(lines, twice).withColumn("classes", _classes(lines).scalar())
-    rows = marked.select("l", F.coalesce("at.doc_id", F.lit(_LAST)).alias("doc"), F.when(~F.col("single"), F.col("at")).alias("at"), F.when(F.col("own"), _set_of(F.col("line"), F.col("classes"))).alias("s"))
-    rows = checkpoint(rows.select("l", "doc", "at", "s.*"))
+def _firsts(lines: DataFrame, twice: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets, again): a row for each distinct line, with l, doc, n, s0, odd and tokens; at of the copies of earlier lines."""
+    marked = _marked(lines, twice).withColumn("classes", classes.scalar())
+    rows = marked.select("l", F.coalesce("at.doc_id", F.lit(_LAST)).alias("doc"), F.when(~F.col("single"), F.col("at")).alias("at"), F.when(F.col("own"), _set_of(F.col("line"), F.col("classes"))).alias("t"))
+    rows = checkpoint(rows.select("l", "doc", "at", *_entry(F.col("t"))))
     # a first line is there as often as its row repeats
-    once = rows.where("at is not null and n is not null").groupBy("l", "at").agg(F.max(F.struct("doc", "n", "s0", "s1", "tokens")).alias("s")).select("l", "s.*")
+    once = checkpoint(rows.where("at is not null and n is not null").groupBy("l", "at").agg(F.max(F.struct("doc", "n", "s0", "odd", "tokens")).alias("s")).select("l", "s.*"))
     return rows.where("at is null").select(once.columns).union(once), rows.where("n is null").select("at")
 
 
@@ -111,16 +113,18 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     tabs and the like part, as they are written. Lines without words stay. Repeated rows are one document. Null and
     empty texts have no lines; an empty table gives no rows.
     """
-    lines = _lines(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    lines, classes = _lines(docs), _classes(docs.select(F.col("text").alias("line")))
     twice = _hashed(lines).groupBy("l", "l2").agg(F.min("at").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     twice = joinable(checkpoint(twice.select("l", "l2", "first")))
-    sets, again = _firsts(lines, twice)
-    rare, often = entries(sets, lambda t: _class(t) > COMMON)
 
     def known_of(ids: DataFrame) -> DataFrame:
-        return _marked(lines, twice).where("own").join(joinable(ids), "l", "left_semi").groupBy("l", "at").agg(F.max("line").alias("items"))
+        wanted = lines.withColumn("l", F.xxhash64("line")).join(joinable(ids), "l", "left_semi").select("at", "line")
+        return _marked(wanted, twice).where("own").groupBy("l", "at").agg(F.max("line").alias("items"))
 
-    near = later_sets(rare, often, known_of, lambda line: F.array_distinct(words_of(line)), f"coalesce(at.doc_id, {_LAST})")
+    sets, again = _firsts(lines, twice, classes)
+    rare, often = entries(sets, lambda t: _class(t) > COMMON, lambda t: _class(t) == 0)
+    near = later_sets(rare, often, known_of, words_of, f"coalesce(at.doc_id, {_LAST})")
     return near.union(again).distinct().select("at.doc_id", "at.th", "at.ln")
 
 
@@ -135,7 +139,8 @@ def _of(row: DataFrame, gone: DataFrame) -> DataFrame:
 
 def count_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_lines, n_removed, removed (the numbers of the lines, comma-joined)."""
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    breaks = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    n = F.when(F.col(text).isNull(), 0).otherwise(breaks + 1).cast("long")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("th"), n.alias("n_lines"))
     gone = F.col("g.gone")
     numbers = F.array_join(F.transform(gone, lambda x: x.cast("string")), ",")

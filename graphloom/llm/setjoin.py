@@ -29,8 +29,10 @@ from graphloom.llm.common import checkpoint, joinable
 GROUP = 64
 #: Tokens in a set from which on a single common token is a key.
 LONG = 100
-#: ni is n and i, the size of the set and the place of the key in it, in one number.
-ENTRY = ("key", "l", "ni")
+#: nm is n, the size of the set, and the size of the largest set that may be like it by the place of the key in it, in one number.
+ENTRY = ("key", "l", "nm")
+#: Tokens in a set beyond which its signature has 128 bits.
+WIDE = 100
 #: Sizes up to this one stand for themselves, larger ones in classes, each 1.05 times the one before.
 EXACT_SIZES = 32
 
@@ -40,28 +42,30 @@ def prefix(n: Column) -> Column:
     return (n - F.floor((4 * n + 4) / 5) + 1).cast("int")
 
 
-def signatures(tokens: Column) -> tuple[Column, Column]:
-    """s0 and s1: parities of tokens by hash in 128 places: two sets differ in as many tokens at least as their signatures in bits."""
+def signature(tokens: Column, n: Column) -> tuple[Column, Column]:
+    """s0 and odd: parities of tokens by their lowest bits in 64 places; of sets of over WIDE tokens, the share in s0 of tokens with the next bit too.
 
-    def half(flip: int) -> Column:
-        chosen = lambda x: F.call_function("shiftright", x.bitwiseXOR(F.lit(flip)), F.lit(6)).bitwiseAND(F.lit(1))
-        bit = lambda x: F.call_function("shiftleft", chosen(x), x.bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+    Two sets differ in as many tokens at least as their signatures in bits.
+    """
+
+    def parities(bit: Callable[[Column], Column]) -> Column:
+        return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", bit(x), x.bitwiseAND(F.lit(63)).cast("int"))))
 
-    return half(0), half(64)
+    one = F.lit(1).cast("long")
+    return parities(lambda _: one), F.when(n > WIDE, parities(lambda x: F.call_function("shiftright", x, F.lit(6)).bitwiseAND(one))).otherwise(F.lit(0).cast("long"))
 
 
 def entries(sets: DataFrame, common: Callable[[Column], Column], useless: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """The keys of sets by rare tokens, and those by common ones.
 
     sets: l (id), doc (a long by which sets go roughly in order), n (size), s0, s1 and so on, a signature in as many
-    longs as sets of that kind need, and tokens, the first prefix(n) + 1 tokens; the first of these may be left out if no other set has them. common(token) tells which are common,
+    longs as sets of that kind need, or s0 and odd, see signature(), and tokens, the first prefix(n) + 1 tokens; the first of these may be left out if no other set has them. common(token) tells which are common,
     useless(token) which no two sets share.
     """
     entry = (*ENTRY[1:], *_signature(sets))
     named = sets.withColumn("p", prefix(F.col("n"))).withColumn("left_out", F.least("n", F.col("p") + 1) - F.size("tokens"))
     each = named.select("*", F.posexplode("tokens").alias("at_token", "tok")).withColumn("i", F.col("at_token") + F.col("left_out")).where(F.col("i") < F.col("p"))
-    each = each.withColumn("ni", _packed("n", "i"))
+    each = each.withColumn("nm", _sizes(F.col("n"), F.col("i")))
     tok = F.col("tok")
     alone = ~common(tok) if useless is None else ~common(tok) & ~useless(tok)
     rare = each.where(alone).select(tok.alias("key"), *entry)
@@ -69,27 +73,33 @@ def entries(sets: DataFrame, common: Callable[[Column], Column], useless: Callab
     single = often.where((F.col("n") == 1) | (5 * F.col("n") >= 4 * LONG)).select(tok.alias("key"), *entry, "doc")
     double = often.where((F.col("n") > 1) & (F.col("n") <= LONG)).select("*", F.posexplode(F.slice("tokens", F.col("at_token") + 2, F.size("tokens"))).alias("k", "next"))
     # with the second common token where it is, one token before it is common
-    double = double.withColumn("ni", _packed("n", F.col("i") + F.col("k"))).select(F.xxhash64("tok", "next").alias("key"), *entry, "doc")
+    double = double.withColumn("nm", _sizes(F.col("n"), F.col("i") + F.col("k"))).select(F.xxhash64("tok", "next").alias("key"), *entry, "doc")
     return rare, single.union(double)
 
 
-def _packed(n, i) -> Column:
-    return F.shiftleft(F.col(n).cast("long"), 32).bitwiseOR(i if isinstance(i, Column) else F.col(i))
+def _sizes(n: Column, i: Column) -> Column:
+    """nm, by the length filter and the positional filter for the first common token: a set of m tokens may be alike if 4 m <= 5 n and 4 (n + m) <= 9 (n - i)."""
+    most = F.least(F.floor(5 * n / 4), F.floor(9 * (n - i) / 4) - n).cast("long")
+    return F.shiftleft(n.cast("long"), 32).bitwiseOR(most)
 
 
-def _n_and_i(ni: Column) -> tuple[Column, Column]:
-    return F.shiftright(ni, 32).cast("int"), ni.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+def _n_and_most(nm: Column) -> tuple[Column, Column]:
+    return F.shiftright(nm, 32), nm.bitwiseAND(F.lit((1 << 32) - 1))
 
 
 def _signature(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if re.fullmatch(r"s\d+", c)]
+    return [c for c in df.columns if re.fullmatch(r"s\d+|odd", c)]
 
 
 def _fits(a: str, b: str, signature: list[str]) -> Column:
-    """The length filter, the positional filter for the first common token, and the bound that signatures give."""
-    (na, ia), (nb, ib) = _n_and_i(F.col(f"{a}.ni")), _n_and_i(F.col(f"{b}.ni"))
-    apart = reduce(add, (F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in signature))
-    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (9 * F.least(na - ia, nb - ib) >= 4 * (na + nb)) & (9 * apart <= na + nb)
+    """Each is no larger than the other allows, and the bound that signatures give."""
+    (na, most_a), (nb, most_b) = _n_and_most(F.col(f"{a}.nm")), _n_and_most(F.col(f"{b}.nm"))
+    differ = {s: F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")) for s in signature}
+    odd = differ.pop("odd", None)
+    near = 9 * reduce(add, map(F.bit_count, differ.values())) <= na + nb
+    if odd is not None:
+        near = near & ((na <= WIDE) | (nb <= WIDE) | (9 * (F.bit_count(odd) + F.bit_count(odd.bitwiseXOR(differ["s0"]))) <= na + nb))
+    return (nb <= most_a) & (na <= most_b) & near
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
@@ -107,9 +117,9 @@ def _size_class(n: Column) -> Column:
 
 def _by_size(many: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(stands, looks): entries under the class of their own size, if a set of that size or more may be like them, and under those of the sizes that are no larger."""
-    n, i = _n_and_i(F.col("ni"))
-    stands = many.where(9 * (n - i) >= 8 * n).withColumn("size", _size_class(n))
-    least, most = F.floor((4 * n + 4) / 5).cast("int"), F.least(n, (F.floor(9 * (n - i) / 4) - n).cast("int"))
+    n, most = (x.cast("int") for x in _n_and_most(F.col("nm")))
+    stands = many.where(most >= n).withColumn("size", _size_class(n))
+    least, most = F.floor((4 * n + 4) / 5).cast("int"), F.least(n, most)
     return stands, many.where(least <= most).withColumn("size", F.explode(F.sequence(_size_class(least), _size_class(most))))
 
 
@@ -123,7 +133,7 @@ def _meet(x: DataFrame, y: DataFrame) -> DataFrame:
 def _with_first(many: DataFrame) -> DataFrame:
     """Pairs of each set and the first one under its keys and sizes: linear, however large the group."""
     stands, looks = _by_size(many)
-    first = stands.groupBy("key", "size").agg(F.min(F.struct("doc", "l", "ni", *_signature(many))).alias("y")).select("key", "size", "y.*")
+    first = stands.groupBy("key", "size").agg(F.min(F.struct("doc", "l", "nm", *_signature(many))).alias("y")).select("key", "size", "y.*")
     return _meet(looks, first)
 
 
@@ -135,13 +145,12 @@ def _with_others(many: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def _later(pairs: DataFrame, known: DataFrame, elements: Callable[[Column], Column]) -> DataFrame:
-    """(l, at) of the later sets of pairs that are alike. known: l, at and items, of which elements() makes the whole sets."""
-    known = checkpoint(known)
-    a = known.select(F.col("l").alias("a"), F.col("at").alias("at_a"), F.col("items").alias("items_a"))
-    b = known.select(F.col("l").alias("b"), F.col("at").alias("at_b"), F.col("items").alias("items_b"))
+    """(l, at) of the later sets of pairs that are alike. known: l, at and items, of which elements() makes the whole sets, repeats included."""
+    known = checkpoint(known.withColumn("size", F.size(F.array_distinct(elements(F.col("items"))))))
+    a, b = (known.select(F.col("l").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("at", "items", "size"))) for x in "ab")
     both = pairs.join(a, "a").join(b, "b").where(F.col("at_a") != F.col("at_b"))
-    enough = F.transform(F.array(F.struct(elements(F.col("items_a")).alias("a"), elements(F.col("items_b")).alias("b"))), lambda x: 9 * F.size(F.array_intersect(x["a"], x["b"])) >= 4 * (F.size(x["a"]) + F.size(x["b"])))
-    alike = both.where(F.get(enough, F.lit(0)))
+    common = F.size(F.array_intersect(elements(F.col("items_a")), elements(F.col("items_b"))))
+    alike = both.where(9 * common >= 4 * (F.col("size_a") + F.col("size_b")))
     later = F.when(F.col("at_a") > F.col("at_b"), F.struct(F.col("a").alias("l"), F.col("at_a").alias("at"))).otherwise(F.struct(F.col("b").alias("l"), F.col("at_b").alias("at")))
     return alike.select(later.alias("x")).select("x.*").distinct()
 
@@ -150,7 +159,7 @@ def later_sets(rare: DataFrame, often: DataFrame, known_of: Callable[[DataFrame]
     """at of the sets that an earlier one, gone itself or not, is like.
 
     rare, often: see entries(). known_of(ids), ids being a table of l, gives l, at (an order that tells sets apart)
-    and items of these sets, of which elements() makes the array of their elements; two sets of one id are both given
+    and items of these sets, of which elements() makes the array of their elements, repeats included; two sets of one id are both given
     and compared. doc: an expression of at, what entries have as doc. screen(pairs) may leave out pairs (a, b) of ids
     whose sets can't be alike, before items are fetched.
     """

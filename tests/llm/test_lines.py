@@ -140,3 +140,25 @@ def test_counts_stay_out_of_the_rows(spark):
     placed = hashed.withColumn("classes", lines._classes(hashed).scalar())
     plan = placed.select(lines._set_of(F.col("line"), F.col("classes")))._jdf.queryExecution().executedPlan().toString()
     assert "AS classes" not in plan
+
+
+def test_tokens_are_made_once_and_sorted_in_generated_code(spark):
+    """Nothing but the loops over words is left to lambdas, which run interpreted with all that they hold."""
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    placed = lines._lines(docs).withColumn("classes", lines._classes(docs.select(F.col("text").alias("line"))).scalar())
+    sets = placed.select("at", lines._set_of(F.col("line"), F.col("classes")).alias("t")).select("at", *lines._entry(F.col("t")))
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct(transform(") == 1 and "sort_array(t#" in plan and "AS classes" not in plan
+
+
+@pytest.mark.parametrize("wide", [0, 12, 1000])
+def test_signatures_of_either_width(spark, monkeypatch, wide):
+    """Sets on both sides of the size from which signatures are wider meet."""
+    set_to(monkeypatch, {"WIDE": wide})
+    rng = random.Random(11)
+    docs = []
+    for i in range(120):
+        own = [f"w{rng.randrange(90)}" for _ in range(rng.choice((10, 14, 16, 60, 130)))]
+        other = [*own, *(f"x{i}y{k}" for k in range(rng.randrange(len(own) // 4 + 2)))]
+        docs += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    assert 30 < len(check(spark, spark.createDataFrame(docs, "doc_id long, text string"))) < 120
