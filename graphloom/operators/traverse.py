@@ -25,8 +25,8 @@ EVERY = 4
 STRIDE, MANY = 8, 16
 #: Starts whose pairs are stored at once, and the longest stride then: longer ones take more room than the pairs.
 PART, PART_STRIDE = 2_500_000, 4
-#: Edges that the driver and each task may hold, as two numbers each.
-FEW_EDGES = 2_000_000
+#: Edges and names of nodes that the driver and each task may hold; an edge is four numbers.
+FEW_EDGES, FEW_NODES = 16_000_000, 4_000_000
 
 #: How a table is stored.
 Keep = Callable[[DataFrame], DataFrame]
@@ -169,7 +169,13 @@ def _strides(step: DataFrame, most: int, keep: Keep, accepted: Callable[[], None
 def cyclic_closure(edges: DataFrame) -> DataFrame:
     """(start, node, distance) of all that each source reaches over one edge or more; itself by its shortest cycle, if it lies on one."""
     step = stored(edges.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target")).dropna().distinct())
-    return all_reached(step) if step.count() <= FEW_EDGES else joined_closure(edges)
+    return all_reached(step) if _held(step) else joined_closure(edges)
+
+
+def _held(step: DataFrame) -> bool:
+    """Whether the edges are few enough for all_reached()."""
+    n = step.count()
+    return n <= FEW_EDGES and (2 * n <= FEW_NODES or step.select("source").union(step.select("target")).distinct().count() <= FEW_NODES)
 
 
 def joined_closure(edges: DataFrame) -> DataFrame:

@@ -55,6 +55,29 @@ def test_closure_by_bits_is_that_by_joins(spark, monkeypatch):
     assert bits.all_reached(frame.where("false")).count() == 0
 
 
+def test_closure_of_millions_of_edges_goes_by_bits(spark):
+    n = 1600
+    frame = spark.range(n * n).selectExpr(f"'a' || id % {n} AS source", f"'b' || id DIV {n} AS target")
+    got = traverse.cyclic_closure(frame)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # joins store all pairs, time and again
+    assert got.selectExpr("count(*)", "count(DISTINCT start, node)", "min(distance)", "max(distance)").first()[:] == (n * n, n * n, 1, 1)
+
+
+def test_closure_numbers_nodes_in_tasks(spark, monkeypatch):
+    from graphloom.operators import bits
+
+    rng = random.Random(7)
+    dense = {(f"d{rng.randrange(200)}", f"d{rng.randrange(200)}") for _ in range(700)}
+    edges = sorted(dense | {(f"c{i}", f"c{i + 1}") for i in range(90)} | {(f"x{i}", f"y{i}") for i in range(80)} | {("d7", "c5")})
+    want = walked(edges)
+    monkeypatch.setattr(bits, "AT_ONCE", 0)
+    for roots in (64, 3):  # 3: most starts have no place in the order
+        monkeypatch.setattr(bits, "ROOTS", roots)
+        got = bits.all_reached(spark.createDataFrame(edges, "source string, target string")).collect()
+        assert len(got) == len(want) and {(r.start, r.node): r.distance for r in got} == want
+    assert bits.all_reached(spark.createDataFrame(edges, "source string, target string").where("false")).count() == 0
+
+
 def test_cyclic_closure_has_users_that_reach_themselves(spark):
     from graphloom.plans import projection, queries
 
